@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, quality_rules, token_store
+from . import byte_bpe, language_id, pii, quality_rules, token_store
 from .common import shared_path, table
 
 
@@ -26,5 +27,18 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path)
 
 
-QUERIES = {f.__name__: f for f in (op4_token_store, op5_byte_bpe, op10_quality_rules)}
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    out = language_id.learn_and_predict(docs, public_tokenizers.path("piece_bpe_32k.model"), F.col("held_out"), ("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    counts = ["n_email", "n_ip", "n_card", "n_phone"]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+QUERIES = {f.__name__: f for f in (op4_token_store, op5_byte_bpe, op7_language_id, op8_pii, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
