@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, pii, quality_rules, token_store
-from .common import shared_path, table
+from . import byte_bpe, language_id, pii, quality_rules, simhash_dedup, token_store, va_file
+from .common import shared_path, table, written
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,5 +40,32 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_store, op5_byte_bpe, op7_language_id, op8_pii, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = written(simhash_dedup.fingerprints(table(spark, sf_dir, "documents"), 3, 64), "prints")
+    return simhash_dedup.components(prints, 3, 64).select("doc_id", "fingerprint", "component_id")
+
+
+def op9_va_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_file.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256.0)
+
+
+_OP9 = """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM ints q JOIN ints c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_token_store, op5_byte_bpe, op7_language_id, op8_pii, op9_va_file, op10_quality_rules)}
+ORACLES: dict[str, str] = {"op9_va_file": _OP9}
