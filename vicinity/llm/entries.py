@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, pii, quality_rules, simhash_dedup, token_store, va_file
+from . import byte_bpe, context_tree, language_id, pii, quality_rules, simhash_dedup, token_store, va_file
 from .common import shared_path, table, written
 
 
@@ -40,6 +40,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
+def op1_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return context_tree.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = written(simhash_dedup.fingerprints(table(spark, sf_dir, "documents"), 3, 64), "prints")
     return simhash_dedup.components(prints, 3, 64).select("doc_id", "fingerprint", "component_id")
@@ -67,5 +72,5 @@ WHERE rank <= 5
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_token_store, op5_byte_bpe, op7_language_id, op8_pii, op9_va_file, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_simhash, op4_token_store, op5_byte_bpe, op7_language_id, op8_pii, op9_va_file, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op9_va_file": _OP9}
