@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, context_tree, language_id, pii, quality_rules, simhash_dedup, token_store, va_file
+from . import byte_bpe, context_tree, language_id, mixing, pii, quality_rules, simhash_dedup, token_store, va_file
 from .common import shared_path, table, written
 
 
@@ -27,6 +27,12 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, path)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.weigh(table(spark, sf_dir, "documents"))
+    named = [F.col(f"mix_{a}").alias(a) for a in mixing.AXES]
+    return out.select("doc_id", *named, "n_tokens", F.round("weight", 6).alias("weight"), F.round("rate", 6).alias("rate"), "kept")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
@@ -72,5 +78,5 @@ WHERE rank <= 5
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op2_simhash, op4_token_store, op5_byte_bpe, op7_language_id, op8_pii, op9_va_file, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_simhash, op4_token_store, op5_byte_bpe, op6_mixing, op7_language_id, op8_pii, op9_va_file, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op9_va_file": _OP9}

@@ -196,15 +196,18 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     schema = docs.select(*keep, *[F.lit(0).cast("long").alias(c) for c in counts], *[F.lit("").alias(c) for c in ("base_spans", "spans", "redacted")]).schema
     schema = StructType([StructField(f.name, f.dataType, True) for f in schema])
 
+    place = keep.index(text) if text in keep else len(keep)  # the text crosses to Python once
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 rows = []
-                for x in batch.column(batch.num_columns - 1).to_pylist():
+                for x in batch.column(place).to_pylist():
                     base, every = all_spans(x or "")
                     rows.append((*[len(base[k]) for k in KINDS], listed(base), listed(every), x if not x or not any(every.values()) else redacted(x, every)))
                 cols = [pa.array(c, pa.int64() if k < len(KINDS) else pa.string()) for k, c in enumerate(zip(*rows, strict=True))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *cols], names=[f.name for f in schema])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    return rows.mapInArrow(run, schema)
