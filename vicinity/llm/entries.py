@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, context_tree, language_id, mixing, pii, quality_rules, simhash_dedup, token_store, va_file
+from . import byte_bpe, context_tree, language_id, mixing, pii, quality_rules, repeats, simhash_dedup, token_store, va_file
 from .common import shared_path, table, written
 
 
@@ -21,6 +21,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-store")
     token_store.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2, vocabulary=49_408)
@@ -78,5 +82,5 @@ WHERE rank <= 5
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op2_simhash, op4_token_store, op5_byte_bpe, op6_mixing, op7_language_id, op8_pii, op9_va_file, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_simhash, op3_repeats, op4_token_store, op5_byte_bpe, op6_mixing, op7_language_id, op8_pii, op9_va_file, op10_quality_rules)}
 ORACLES: dict[str, str] = {"op9_va_file": _OP9}
