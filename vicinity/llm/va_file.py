@@ -27,6 +27,7 @@ from .common import written
 CELLS = 64
 WAVE_BYTES = 32 << 20
 BLOCK = 4096
+_TOP = 2.0**63
 
 
 def integers(vectors: DataFrame, scale: float, vector: str, key: str) -> DataFrame:
@@ -114,6 +115,8 @@ class Search:
         lo, hi = self.low[at, cells], self.high[at, cells]
         upper = self.plus @ hi.T + self.minus @ lo.T
         lower = self.plus @ lo.T + self.minus @ hi.T
+        if max(np.abs(upper).max(initial=0), np.abs(lower).max(initial=0)) >= _TOP:  # scores saturate, so bounds do
+            upper, lower = np.clip(upper, -_TOP, _TOP), np.clip(lower, -_TOP, _TOP)
         own = self.ids[:, None] == ids[None, :]
         lower[own] = -np.inf
         k = self.k
