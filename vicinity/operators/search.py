@@ -61,9 +61,12 @@ def search(
 ) -> DataFrame:
     """qid, ref_id, is_fraud, dist, rank: k nearest of the probed clusters; ambiguous queries get their exact answer."""
     probed = probes(queries, centroids, config, border=border)
+    if repair:  # both are used again below; what is lost with an executor is redone
+        probed = probed.persist()
     top = ranked(scan(queries, probed, postings, dims, other_than_self=other_than_self), config.k)
     if not repair:
         return top
+    top = top.persist()
     more = scan(queries, repair_candidates(queries, top, probed, boxes, config, dims), postings, dims, other_than_self=other_than_self)
     return ranked(top.drop("rank").unionByName(more), config.k)
 

@@ -352,8 +352,8 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY di
 
 
 def _probe(spark: SparkSession, sf: str, config: SearchConfig = PLAIN, repair: bool = False) -> DataFrame:
-    b = t.boxes(spark, sf)
-    return search.search(t.queries(spark, sf), t.seeds(spark, sf), t.postings(spark, sf), b, config, t.DIMS, repair=repair, other_than_self=True)
+    c, rows, boxes = t.indexed(spark, sf)
+    return search.search(t.queries(spark, sf), c, rows, boxes, config, t.DIMS, repair=repair, other_than_self=True)
 
 
 @query(f"WITH {_PROBE} SELECT qid, CAST(rank AS INT) AS rank, ref_id, dist, is_fraud FROM top")
@@ -381,10 +381,10 @@ more AS (SELECT q.qid, b.cluster_id, {_BOUND} AS bound FROM doubt q JOIN boxes b
 
 @query(f"WITH {_REPAIR} SELECT * FROM more")
 def q_repair_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    q, c = t.queries(spark, sf), t.seeds(spark, sf)
+    q, (c, rows, boxes) = t.queries(spark, sf), t.indexed(spark, sf)
     probed = search.probes(q, c, PLAIN)
-    top = knn.ranked(search.scan(q, probed, t.postings(spark, sf), t.DIMS, other_than_self=True), 5)
-    return search.repair_candidates(q, top, probed, t.boxes(spark, sf), PLAIN, t.DIMS)
+    top = knn.ranked(search.scan(q, probed, rows, t.DIMS, other_than_self=True), 5)
+    return search.repair_candidates(q, top, probed, boxes, PLAIN, t.DIMS)
 
 
 _FIXED = _REPAIR + f""", every AS (
@@ -451,7 +451,8 @@ CONFIGS = [SearchConfig(nprobe=n) for n in (1, 2, 4, 8)]
 def _sweep(spark: SparkSession, sf: str) -> DataFrame:
     q = t.queries(spark, sf)
     expected = q.select("qid", (F.col("is_fraud") == 0).alias("expected_approved"))
-    return evaluate.sweep(q, expected, t.seeds(spark, sf), t.postings(spark, sf), t.boxes(spark, sf), CONFIGS, t.DIMS, repair=False, other_than_self=True)
+    c, rows, boxes = t.indexed(spark, sf)
+    return evaluate.sweep(q, expected, c, rows, boxes, CONFIGS, t.DIMS, repair=False, other_than_self=True)
 
 
 @query(_SWEEP + " SELECT nprobe, 0 AS nprobe_border, tp, tn, fp, fn FROM sweep")
@@ -620,7 +621,8 @@ def q_index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def q_repair_stepwise(spark: SparkSession, sf: str) -> DataFrame:
     q = t.queries(spark, sf)
-    return search.search_stepwise(q, t.seeds(spark, sf), t.postings(spark, sf), t.boxes(spark, sf), SearchConfig(nprobe=2, repair_min=1, repair_max=4))
+    c, rows, boxes = t.indexed(spark, sf)
+    return search.search_stepwise(q, c, rows, boxes, SearchConfig(nprobe=2, repair_min=1, repair_max=4))
 
 
 @query()

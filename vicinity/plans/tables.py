@@ -35,12 +35,16 @@ def seeds(spark: SparkSession, sf_dir: str) -> np.ndarray:
     return kmeans.seeds(points(spark, sf_dir), SEEDS)
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.assign(points(spark, sf_dir), seeds(spark, sf_dir))
+def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = seeds(spark, sf_dir)
+    return index.boxes(index.assign(points(spark, sf_dir), c), c, DIMS)
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.boxes(postings(spark, sf_dir), seeds(spark, sf_dir), DIMS)
+def indexed(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """(seeds, postings, boxes), assigned once for all uses within a query; what is lost with an executor is redone."""
+    c = seeds(spark, sf_dir)
+    rows = index.assign(points(spark, sf_dir), c).persist()
+    return c, rows, index.boxes(rows, c, DIMS).persist()
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
