@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 UNKNOWN = "und"
-CACHE = 400_000
+CACHE = 800_000
 #: Longer pieces and what is beyond that many characters of a word don't tell languages apart; longer words are cut up.
 MAX_PIECE = 8
 MAX_WORD = 48
@@ -63,35 +63,54 @@ class Model:
         self.languages, self.pieces = languages, pieces
         self.logs = logs
         self.probs = np.exp(logs.astype(np.float64))
-        self.rows = [*map(tuple, self.probs.tolist()), (CHARACTER,) * len(languages)]  # the last is piece -1
-        self.index = {x: i for i, x in enumerate(pieces)}
+        #: By character; "" holds the probabilities of the piece that ends there.
+        self.trie: dict = {}
+        for piece, row in zip(pieces, self.probs.tolist(), strict=True):
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = row
+        self.single = {x for x in pieces if len(x) == 1}
+        #: Piece -> place; -2 for what only begins a piece.
+        self.index = {x[:k]: -2 for x in pieces for k in range(1, len(x))} | {x: i for i, x in enumerate(pieces)}
         self.cache: dict[str, int] = {}
         self.table = np.zeros((1024, len(languages)))
 
     def _edges(self, word: str) -> tuple[str, list[list[tuple[int, int]]]]:
         """For each end in the marked word: (start, piece); -1 stands for a character without a piece."""
         s, get = "^" + word, self.index.get
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(len(s) + 1)]
-        for i in range(len(s)):
-            for j in range(i + 1, min(len(s), i + MAX_PIECE) + 1):
+        n = len(s)
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(i + 1, n + 1):
                 k = get(s[i:j])
-                if k is not None:
+                if k is None:
+                    break
+                if k >= 0:
                     ends[j].append((i, k))
-            if s[i] not in self.index:
+            if get(s[i], -2) < 0:
                 ends[i + 1].append((i, -1))
         return s, ends
 
     def score(self, word: str) -> np.ndarray:
         """Log probability of the word in each language, all segmentations summed."""
-        s, ends = self._edges(word)
-        rows, n = self.rows, len(s)
-        forward: list[list[float]] = [[1.0] * len(self.languages)]
-        for j in range(1, n + 1):
-            at = [0.0] * len(self.languages)
-            for i, k in ends[j]:
-                at = [a + x * y for a, x, y in zip(at, forward[i], rows[k], strict=True)]
-            forward.append(at)
-        return np.log(forward[n])
+        s, trie = "^" + word, self.trie
+        n = len(s)
+        none = [0.0] * len(self.languages)
+        forward = [none] * (n + 1)
+        forward[0] = [1.0] * len(self.languages)
+        for i in range(n):
+            before, node = forward[i], trie
+            for j in range(i, n):
+                node = node.get(s[j])
+                if node is None:
+                    break
+                row = node.get("")
+                if row is not None:
+                    forward[j + 1] = [a + x * y for a, x, y in zip(forward[j + 1], before, row)]  # noqa: B905
+            if s[i] not in self.single:
+                forward[i + 1] = [a + x * CHARACTER for a, x in zip(forward[i + 1], before)]  # noqa: B905
+        return np.array([math.log(x) for x in forward[n]])
 
     def expected(self, word: str, language: int, count: float, into: np.ndarray) -> None:
         """Adds the expected number of uses of each piece in the word to `into`."""
@@ -110,8 +129,8 @@ class Model:
                     if k >= 0:
                         into[k] += count * forward[i] * p[k] * back[j] / forward[n]
 
-    def score_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Sums of log probabilities (texts x languages) and numbers of units."""
+    def score_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of log probabilities (texts x languages), numbers of units and of their letters."""
         cache = self.cache
         if len(cache) >= CACHE:
             cache.clear()
@@ -129,7 +148,7 @@ class Model:
         for k, x in enumerate(found):
             if x:
                 out[k] = self.table[np.fromiter(map(cache.__getitem__, x), np.int64, len(x))].sum(axis=0)
-        return out, np.array([len(x) for x in found])
+        return out, np.array([len(x) for x in found]), np.array([len("".join(x)) for x in found])
 
 
 def fit(docs: DataFrame, model: str, *, text: str = "text", lang: str = "lang", sample_rows: int = 2_000, rounds: int = 2) -> Model | None:
@@ -184,16 +203,17 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", keep: t
     # pieces x languages numbers: bounded by the vocabulary
     state = spark.sparkContext.broadcast(model and (model.languages, model.pieces, model.logs))
     name = uuid.uuid4().hex
+    place = keep.index(text) if text in keep else len(keep)  # the text crosses to Python once
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = _model(name, state)
         for whole in it:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
+                texts = [x or "" for x in batch.column(place).to_pylist()]
                 lang, score, fit_ = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
                 if m is not None:
-                    sums, n = m.score_texts(texts)
+                    sums, n, letters = m.score_texts(texts)
                     evidence = sums - sums.max(axis=1, keepdims=True)
                     evidence *= np.minimum(1.0, TEMPER / np.maximum(n, 1))[:, None]
                     p = np.exp(evidence)
@@ -202,11 +222,12 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", keep: t
                     for k in np.flatnonzero(n):
                         lang[k] = m.languages[best[k]]
                         score[k] = p[k, best[k]]
-                        fit_[k] = sums[k, best[k]] / math.log(10) / sum(map(len, _RUNS.findall(texts[k])))
-                cols = [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(fit_)]
+                        fit_[k] = sums[k, best[k]] / math.log(10) / letters[k]
+                cols = [*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(fit_)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    rows = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    return rows.mapInArrow(run, schema)
 
 
 #: Units of evidence that a posterior counts at most.
