@@ -82,5 +82,23 @@ WHERE rank <= 5
 """
 
 
+_OP3 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 200) AS x FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS s FROM d)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS n FROM w) WHERE n > 1),
+marked AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM again),
+runs AS (
+  SELECT doc_id, min(s) AS a, max(s) + 100 AS b
+  FROM (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM marked) GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs),
+kept AS (
+  SELECT doc_id, count(a) AS n, coalesce(sum(b - a), 0) AS removed,
+         coalesce(string_agg(substr(h, CAST(2 * since + 1 AS BIGINT), CAST(2 * (a - since) AS BIGINT)), '' ORDER BY a), '') || substr(any_value(h), CAST(2 * coalesce(max(b), 0) + 1 AS BIGINT)) AS rest,
+         any_value(len(h) // 2) AS size
+  FROM d LEFT JOIN gaps USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(size AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(n AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM kept
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_context_tree, op2_simhash, op3_repeats, op4_token_store, op5_byte_bpe, op6_mixing, op7_language_id, op8_pii, op9_va_file, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op9_va_file": _OP9}
+ORACLES: dict[str, str] = {"op3_repeats": _OP3, "op9_va_file": _OP9}
