@@ -21,6 +21,7 @@ counted each; without training texts every bit has probability 1/2; other column
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,16 @@ class _Numbers(dict):
         return n
 
 
+def packed(places: np.ndarray) -> bytes:
+    """Byte planes, the lowest first, deflated: the high planes of small numbers take next to nothing."""
+    return zlib.compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 _SPLIT = "batch bigint, word string, place int, train bigint, doc_id array<bigint>, held array<boolean>, tokens array<int>, bytes array<bigint>, places binary"
 
 
@@ -74,7 +85,7 @@ def split(docs: DataFrame, text: str, key: str, held_out: Column) -> tuple[DataF
             head = [pa.array(np.full(k, batch)), pa.array(words, pa.string()), pa.array(np.arange(k, dtype=np.int32)), pa.array(train.astype(np.int64))]
             for at in range(0, k, 100_000):
                 yield pa.RecordBatch.from_arrays([*head, *map(null, kinds)], names=names).slice(at, 100_000)
-            tail = [ids, held, [len(a) for a in arrays], sizes, places.astype("<u4").tobytes()]
+            tail = [ids, held, [len(a) for a in arrays], sizes, packed(places)]
             one = [pa.array([x], t) for x, t in zip(tail, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([batch]), *(pa.nulls(1, t) for t in (pa.string(), pa.int32(), pa.int64())), *one], names=names)
 
@@ -299,11 +310,10 @@ def score(docs: DataFrame, held_out: Column, *, text: str = "text", key: str = "
     trials = spelled.where("n > 1").agg(*[F.sum(c * F.log10(mixed(x, c - 1, n - 1))).alias(str(i)) for i, x in enumerate(SHARES)]).first()
     share = max(zip([t if t is not None else 0 for t in trials], SHARES, strict=True))[1]
     usual = F.log10(F.lit(1 - unknown) * mixed(share, c, n))
-    scored = spelled.select(
-        "word", "n", F.when(c > 0, usual).otherwise(F.lit(math.log10(unknown))).alias("value"),
-        F.when(c > 0, usual).otherwise(F.lit(math.log10(unknown) - math.log10(1 - z)) + F.col("value")).alias("bytes"),
-    )
-    back = words.select("batch", "word", "place").join(scored, "word").select("batch", "place", "n", "value", "bytes")
+    # for unknown words the bytes' own probability, of which the rest follows below
+    scored = spelled.select("word", "n", F.when(c > 0, usual).otherwise(F.col("value")).alias("value"))
+    back = words.select("batch", "word", "place").join(scored, "word").select("batch", "place", "n", "value")
+    rare, spelling = math.log10(unknown), math.log10(unknown) - math.log10(1 - z)
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "byte_score", "bits_per_byte"]
@@ -311,12 +321,12 @@ def score(docs: DataFrame, held_out: Column, *, text: str = "text", key: str = "
         out = []
         place = right["place"].to_numpy()
         value, bytes_, base, known = (np.zeros(len(place)) for _ in range(4))
-        value[place], bytes_[place] = right["value"].to_numpy(), right["bytes"].to_numpy()
-        of = right["n"].to_numpy()
+        of, got = right["n"].to_numpy(), right["value"].to_numpy()
+        value[place], bytes_[place] = np.where(of > 0, got, rare), np.where(of > 0, got, got + spelling)
         base[place] = np.log10((of + 1) / (n + v + 1))
         known[place] = of > 0
         for row in left.to_pylist():
-            at = np.frombuffer(row["places"], "<u4")
+            at = unpacked(row["places"])
             tokens = np.array(row["tokens"])
             starts = np.cumsum(tokens) - tokens
             sums = [np.add.reduceat(x[at], starts) for x in (known, base, value, bytes_)]
