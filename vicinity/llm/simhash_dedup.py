@@ -123,24 +123,30 @@ def components(prints: DataFrame, radius: int, bits: int, *, exact: bool = True,
 
     def deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            prints_ = batch.column(0).to_pylist()
-            values = [int(x, 16) for x in prints_]
+            raw = [bytes.fromhex(x) for x in batch.column(0).to_pylist()]
+            values = [int.from_bytes(x) for x in raw]
+            prints_ = pa.array(raw, pa.binary())
             for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 keys = [k << 48 | v >> (bits - b) & ((1 << (b - a)) - 1) for v in values]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0)], names=["shard", "fingerprint"])
-
-    dealt = distinct.select("fingerprint").mapInArrow(deal, "shard bigint, fingerprint string")
-    sizes = written(dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shards")
-    parts = F.ceil(F.col("n") / F.lit(shard)).cast("int")
-    dealt = dealt.join(sizes.select("shard", parts.alias("parts")), "shard")
-    mine = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
-    pairs = F.when(F.col("parts") == 1, F.array(F.lit("0"))).otherwise(
-        F.transform(
-            F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("mine")),
-            lambda o: F.concat_ws("-", F.least(o, F.col("mine")).cast("string"), F.greatest(o, F.col("mine")).cast("string")),
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), prints_], names=["shard", "fingerprint"])
+
+    dealt = distinct.select("fingerprint").mapInArrow(deal, "shard bigint, fingerprint binary")
+    large = written(dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > shard), "large-shards")
+    n_large = large.count()
+    if not n_large:
+        dealt = dealt.select("shard", F.lit("0").alias("pair"), "fingerprint")
+    else:
+        # One row for each large shard: sent to all tasks while that is a few MB, else joined by shuffling.
+        large = large.select("shard", F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("parts"))
+        dealt = dealt.join(F.broadcast(large) if n_large <= 100_000 else large, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        mine = F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")
+        pairs = F.when(F.col("parts") == 1, F.array(F.lit("0"))).otherwise(
+            F.transform(
+                F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("mine")),
+                lambda o: F.concat_ws("-", F.least(o, F.col("mine")).cast("string"), F.greatest(o, F.col("mine")).cast("string")),
+            )
         )
-    )
-    dealt = dealt.withColumn("mine", mine).select("shard", F.explode(pairs).alias("pair"), "fingerprint")
+        dealt = dealt.withColumn("mine", mine).select("shard", F.explode(pairs).alias("pair"), "fingerprint")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(n, "shard", "pair").sortWithinPartitions("shard", "pair", "fingerprint")
 
@@ -150,9 +156,9 @@ def components(prints: DataFrame, radius: int, bits: int, *, exact: bool = True,
 
         def close() -> None:
             if len(held) > 1:
-                for i, r in enumerate(link([int(x, 16) for x in held], radius)):
+                for i, r in enumerate(link([int.from_bytes(x) for x in held], radius)):
                     if r != i:
-                        out.append((held[i], held[r]))
+                        out.append((held[i].hex(), held[r].hex()))
 
         def batch_of() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["a", "b"])
