@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shingle_sets
 from .common import lower_ascii, words_of, written
 from .components import stars
 
@@ -182,11 +183,10 @@ def components(prints: DataFrame, radius: int, bits: int, *, exact: bool = True,
     return prints.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id", "n_prints")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits: int = 512, **columns: str) -> DataFrame:
-    """components() for texts whose sets of shingles have about that Jaccard similarity.
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, **columns: str) -> DataFrame:
+    """doc_id, component_id: texts are linked whose sets of shingles have that Jaccard similarity, compared in full.
 
-    Similarity s of sets of equal size is a cosine of 2s / (1 + s), and bits differ in the share angle / pi: at 0.8, 77
-    of 512 bits, give or take 8; unrelated texts differ in 256, give or take 11.
+    Bit bands can't find them: at 0.8 some 77 of 512 bits differ, and a band long enough to tell many texts apart is
+    then rarely equal. Candidates come from MinHash bands instead, whose recall doesn't depend on the number of texts.
     """
-    radius = int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    return components(written(fingerprints(docs, shingle, bits, **columns), "prints"), radius, bits, exact=False)
+    return shingle_sets.near_duplicates(docs, shingle, similarity, **columns)
