@@ -44,3 +44,11 @@ def test_every_pair_of_a_bucket_is_settled():
                     old, new = label[a], label[b]
                     label = {k: new if v == old else v for k, v in label.items()}
         assert all(label[a] == label[b] for a in range(n) for b in range(n) if near(a, b))
+
+
+def test_repeats_in_a_text_count_once(spark):
+    rng = random.Random(9)
+    one, two = pair(rng, 40, 0)
+    line = " ".join(f"w{k}" for k in range(10))
+    got = components(spark, [f"{one} {' '.join([line] * 60)}", f"{two} {' '.join([line] * 60)}", one, f"{one} {' '.join(one.split()[:6] * 60)}"])
+    assert got[0] != got[1] and got[2] == got[3]
