@@ -30,30 +30,31 @@ from .common import written
 
 UNKNOWN = "und"
 CACHE = 800_000
-#: Longer pieces and what is beyond that many characters of a word don't tell languages apart; longer words are cut up.
-MAX_PIECE = 8
-MAX_WORD = 48
+#: Words of more letters are scored in logs and not kept by the cache.
+LONG = 48
 #: What a character costs that no piece covers, and the smoothing of a piece's count.
 CHARACTER = 1e-7
 SMOOTH = 0.05
+#: Sums of products below that are taken in logs: what a float loses is far smaller.
+TINY = 1e-280
 _RUNS = re.compile(r"[^\W\d_]+")
 
 
 def pieces_of(model: str) -> list[str]:
-    """The vocabulary's pieces of 1 to MAX_PIECE letters, lower case, after the word mark if there is one."""
+    """The vocabulary's pieces of letters, lower case, after the word mark if there is one."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     found = {sp.id_to_piece(i).replace("▁", "^").lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(x for x in found if x and len(x) <= MAX_PIECE and (x.lstrip("^").isalpha() or x == "^"))
+    return sorted(x for x in found if x and (x.lstrip("^").isalpha() or x == "^"))
 
 
 def units(text: str) -> list[str]:
-    """Lower-case runs of letters, long ones in parts."""
+    """Lower-case runs of letters."""
     found = _RUNS.findall(text.lower())
     if not text.isascii():
         found = [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
-    return [p for w in found for p in ([w] if len(w) <= MAX_WORD else [w[k : k + MAX_WORD] for k in range(0, len(w), MAX_WORD)])]
+    return found
 
 
 class Model:
@@ -94,6 +95,8 @@ class Model:
 
     def score(self, word: str) -> np.ndarray:
         """Log probability of the word in each language, all segmentations summed."""
+        if len(word) > LONG:
+            return self._log_score(word)
         s, trie = "^" + word, self.trie
         n = len(s)
         none = [0.0] * len(self.languages)
@@ -110,8 +113,18 @@ class Model:
                     forward[j + 1] = [a + x * y for a, x, y in zip(forward[j + 1], before, row)]  # noqa: B905
             if s[i] not in self.single:
                 forward[i + 1] = [a + x * CHARACTER for a, x in zip(forward[i + 1], before)]  # noqa: B905
+        if min(forward[n]) < TINY:
+            return self._log_score(word)
         return np.array([math.log(x) for x in forward[n]])
 
+    def _log_score(self, word: str) -> np.ndarray:
+        """score() for words whose probability may be too small for a float."""
+        s, ends = self._edges(word)
+        forward = np.zeros((len(s) + 1, len(self.languages)))
+        for j in range(1, len(s) + 1):
+            forward[j] = np.logaddexp.reduce([forward[i] + (math.log(CHARACTER) if k < 0 else self.logs[k]) for i, k in ends[j]], axis=0)
+        return forward[-1]
+
     def expected(self, word: str, language: int, count: float, into: np.ndarray) -> None:
         """Adds the expected number of uses of each piece in the word to `into`."""
         s, ends = self._edges(word)
@@ -123,11 +136,24 @@ class Model:
         for j in range(n, 0, -1):
             for i, k in ends[j]:
                 back[i] += back[j] * (CHARACTER if k < 0 else p[k])
-        if forward[n] > 0:
+        if forward[n] >= TINY:
             for j in range(1, n + 1):
                 for i, k in ends[j]:
                     if k >= 0:
                         into[k] += count * forward[i] * p[k] * back[j] / forward[n]
+            return
+        cost = lambda k: math.log(CHARACTER) if k < 0 else float(self.logs[k, language])
+        forward, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1)
+        forward[0] = back[n] = 0.0
+        for j in range(1, n + 1):
+            forward[j] = float(np.logaddexp.reduce([-math.inf, *[forward[i] + cost(k) for i, k in ends[j]]]))
+        for j in range(n, 0, -1):
+            for i, k in ends[j]:
+                back[i] = float(np.logaddexp(back[i], back[j] + cost(k)))
+        for j in range(1, n + 1):
+            for i, k in ends[j]:
+                if k >= 0:
+                    into[k] += count * math.exp(forward[i] + cost(k) + back[j] - forward[n])
 
     def score_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sums of log probabilities (texts x languages), numbers of units and of their letters."""
@@ -135,7 +161,9 @@ class Model:
         if len(cache) >= CACHE:
             cache.clear()
         found = [units(x) for x in texts]
-        missing = list(set(chain.from_iterable(found)).difference(cache))
+        new = set(chain.from_iterable(found)).difference(cache)
+        long = {w: self.score(w) for w in new if len(w) > LONG}
+        missing = list(new.difference(long))
         if missing:
             first = len(cache)
             if first + len(missing) > len(self.table):
@@ -147,7 +175,10 @@ class Model:
         out = np.zeros((len(texts), len(self.languages)))
         for k, x in enumerate(found):
             if x:
-                out[k] = self.table[np.fromiter(map(cache.__getitem__, x), np.int64, len(x))].sum(axis=0)
+                short = [w for w in x if w not in long] if long else x
+                out[k] = self.table[np.fromiter(map(cache.__getitem__, short), np.int64, len(short))].sum(axis=0)
+                if len(short) < len(x):
+                    out[k] += sum(long[w] for w in x if w in long)
         return out, np.array([len(x) for x in found]), np.array([len("".join(x)) for x in found])
 
 
