@@ -104,14 +104,18 @@ _TOKEN = re.compile(rf"(?i:{_NUMBER}|{'|'.join(_SIGN_WORDS)})(?![^\W_])|[0-9+.()
 _RUN = re.compile(
     rf"(?i)(?<![^\W_])(?:(?:plus|\+)[\s-]*)?(?:{_NUMBER})(?![^\W_])(?:[\s,-]+(?:(?:{_NUMBER}|dot|point|punkt|punto|dash|hyphen)(?![^\W_])|[0-9]+))+"
 )
-#: Two such words after a separator, which every run has: looked for before anything else.
-_TWO = re.compile(rf"(?i)[\s,-](?=[zoetfsndvqcuh])(?:{_NUMBER})[\s,-]+(?=[zoetfsndvqcuhp])(?:{_NUMBER}|dot|point|punkt|punto)(?![^\W_])")
+#: How every run goes on after its sign: looked for before anything else.
+_TWO = re.compile(
+    rf"(?i)(?<![^\W_])(?=[{''.join(sorted({w[0] for w in _SPELLED}))}])(?:{_NUMBER})[\s,-]+(?:{_NUMBER}|dot|point|punkt|punto|dash|hyphen|[0-9])"
+)
 _AT = re.compile(r"(?i)\s*(?:[\[({<]\s*(?:at|@|arroba)\s*[\])}>]|(?<![^\W_])(?:_at_|-at-))\s*")
 _DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*")
 # The last part of a spelled-out domain.
 _ENDS = "com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|uk|us|ch|at|it|nl|ca|au|in|br|mx|ru|cn|jp|dev|app|example|test"
 #: Plain " at " counts only where the domain is spelled out too.
 _PLAIN = re.compile(r"(?i)(?<![^\W_])[a-z0-9._%+-]+(?: dot [a-z0-9_%+-]+)* at [a-z0-9-]+(?:(?: dot |\.)[a-z0-9-]+)* dot (?:" + _ENDS + r")(?![^\W_])|(?<=@)[a-z0-9-]+(?: dot [a-z0-9-]+)* dot (?:" + _ENDS + r")(?![^\W_])")
+#: What every match of _AT, _DOT and _PLAIN holds.
+_HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|dot|\.|punkt|point|punto)\s*[\])}>]|[_-]at[_-]| dot ")
 _PLAIN_WORD = re.compile(r"(?i) (at|dot) ")
 
 
@@ -137,9 +141,12 @@ class Copy:
 def normalise(text: str) -> Copy | None:
     """The rewritten copy, or None if no transducer has anything to rewrite."""
     odd = not text.isascii() and bool(_MAYBE_ODD.search(text)) and not _ALL_ODD.isdisjoint(text)
-    low = text.casefold() if odd or any(x in text for x in ("dot", "Dot", "DOT", "at]", "at)", "at}", "at>", "AT]", "AT)", "@]", "@)", "unto]", "unkt]", "_at_", "-at-")) else ""
-    if not odd and not low and not _TWO.search(text):
+    if not odd and not _HINT.search(text) and not _TWO.search(text):
         return None
+    return _rewritten(text, odd)
+
+
+def _rewritten(text: str, odd: bool) -> Copy:
     c = Copy(text)
     if odd:
         c.text = text.translate(_MAP)
