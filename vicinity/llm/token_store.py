@@ -9,9 +9,9 @@ of SEGMENT tokens. In a segment, token i belongs to lane i mod LANES; all lanes
 a step over the lanes writes in order. The states in which a segment starts, its place in the stream and a CRC-32 of its
 words are its checkpoint, so each segment can be decoded by itself, in any order. Layout, little endian:
 
-    magic "VRA1", segments u32, documents u32, tokens u64, CRC-32 of what follows u32
+    magic "VRA2", segments u32, documents u32, tokens u64, CRC-32 of what follows u32
     for each segment: tokens u32, words u32, CRC-32 of the words u32
-    for each document: doc_id i64, tokens u32; for each segment: LANES states u64; the words of all segments
+    for each document: doc_id i64, tokens u32; a bit for each document, set where it has no doc_id; for each segment: LANES states u64; the words of all segments
 
 Defined cases: a null or empty text is the end id alone; rows with the same doc_id stay, in the order of their ids as
 bytes; a null doc_id comes first and is kept as null; an empty table gives no block; other columns are ignored.
@@ -26,10 +26,10 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +40,9 @@ PROB_BITS = 22
 LANES = 1024
 SEGMENT = 1 << 17
 BLOCK = 1 << 18
-MAGIC = b"VRA1"
-CACHE = 300_000
+MAGIC = b"VRA2"
+_HEAD = "<4sIIQI"
+CACHE, PIECES = 200_000, 800_000
 CACHED_CHARS = 64
 #: The normaliser and the cut for which Encoder._encode may go piece by piece.
 _NORMALISER = {
@@ -58,7 +59,8 @@ _CUT = {
 #: The same cut for characters below U+0100.
 _PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[^\\W\\d_\xb2\xb3\xb9\xbc-\xbe]+|[\\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\\w\t-\r \x85\xa0]|_)+")
 _LOW = 1 << 31
-_NULL = -(1 << 63)
+#: Signs after a word of letters that are a piece by themselves.
+_ENDS = frozenset(",.;:!?)")
 
 
 class Table:
@@ -144,26 +146,30 @@ def encode_block(t: Table, doc_ids: list[int | None], lengths: list[int], ids: n
         segments.append(struct.pack("<III", len(part), len(w), zlib.crc32(w.tobytes())))
         states.append(x.astype("<u8").tobytes())
         words.append(w.tobytes())
-    docs = np.array([_NULL if i is None else i for i in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes()
+    docs = np.array([i or 0 for i in doc_ids], "<i8").tobytes() + np.array(lengths, "<u4").tobytes() + np.packbits([i is None for i in doc_ids]).tobytes()
     rest = b"".join([*segments, docs, *states, *words])
-    return struct.pack("<4sIIQI", MAGIC, len(segments), len(lengths), len(ids), zlib.crc32(rest)) + rest
+    return struct.pack(_HEAD, MAGIC, len(segments), len(lengths), len(ids), zlib.crc32(rest)) + rest
 
 
 class Block:
     """A block that is read; its segments decode one by one."""
 
     def __init__(self, raw: bytes, table: Table) -> None:
-        magic, n_segments, n_docs, self.n_tokens, crc = struct.unpack_from("<4sIIQI", raw)
-        at = struct.calcsize("<4sIIQI")
+        magic, n_segments, n_docs, self.n_tokens, crc = struct.unpack_from(_HEAD, raw)
+        at = struct.calcsize(_HEAD)
         if magic != MAGIC or zlib.crc32(memoryview(raw)[at:]) != crc:
             raise ValueError("not a block, or a damaged one")
         self.table, self.raw = table, raw
         self.segments = np.frombuffer(raw, "<u4", 3 * n_segments, at).reshape(-1, 3).astype(np.int64)
         at += 12 * n_segments
-        self.doc_ids = [None if i == _NULL else i for i in np.frombuffer(raw, "<i8", n_docs, at).tolist()]
+        ids, n_flags = np.frombuffer(raw, "<i8", n_docs, at).tolist(), -(-n_docs // 8)
         self.lengths = np.frombuffer(raw, "<u4", n_docs, at + 8 * n_docs).astype(np.int64)
-        self.states = np.frombuffer(raw, "<u8", LANES * n_segments, at + 12 * n_docs).reshape(-1, LANES)
-        self.words = np.frombuffer(raw, "<u4", int(self.segments[:, 1].sum()), at + 12 * n_docs + 8 * LANES * n_segments)
+        at += 12 * n_docs
+        none = np.unpackbits(np.frombuffer(raw, np.uint8, n_flags, at), count=n_docs).tolist()
+        self.doc_ids = [None if x else i for i, x in zip(ids, none, strict=True)]
+        at += n_flags
+        self.states = np.frombuffer(raw, "<u8", LANES * n_segments, at).reshape(-1, LANES)
+        self.words = np.frombuffer(raw, "<u4", int(self.segments[:, 1].sum()), at + 8 * LANES * n_segments)
         self.places = np.concatenate([[0], np.cumsum(self.segments[:, 1])])
 
     def segment(self, k: int) -> np.ndarray:
@@ -192,7 +198,7 @@ class Encoder:
         self.code = "H" if self.kind is np.uint16 else "I"
         self.chars = byte_characters()
         self.pieces: dict[str, bytes] = {}
-        self.cache: dict[str, bytes] = {"": b""}
+        self.cache: dict[str, bytes] = {}
 
     def _whole(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
@@ -203,32 +209,57 @@ class Encoder:
         That holds for characters below U+0100 outside special tokens: the canonical form leaves them and lower case
         maps them one by one. Anything else takes the library's whole path.
         """
+        if self.plain and chunk.isascii():
+            low = chunk.lower()
+            if low.isalpha():
+                return self._piece(low)
+            if low[-1:] in _ENDS and low[:-1].isalpha():
+                return self._piece(low[:-1]) + self._piece(low[-1])
         if not self.plain or self.marked(chunk) or not (chunk.isascii() or max(chunk) < "\u0100"):
             return self._whole(chunk)
-        out = []
-        for piece in _PIECES.findall(chunk.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                mapped = piece if piece.isascii() and piece.isprintable() else "".join(map(self.chars.__getitem__, piece.encode()))
-                ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
+        return b"".join(map(self._piece, _PIECES.findall(chunk.lower())))
 
-    def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
-        cache, close = self.cache, self.kind(end).tobytes()
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            mapped = piece if piece.isascii() and piece.isprintable() else "".join(map(self.chars.__getitem__, piece.encode()))
+            ids = self.pieces[piece] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+        return ids
+
+    def encode_column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end ids included, one after the other, and how many each text has.
+
+        Arrow cuts the texts at spaces and finds the distinct chunks; only these cross into Python.
+        """
+        cache = self.cache
         if len(cache) >= CACHE:
             cache.clear()
-            cache[""] = b""
-        if len(self.pieces) >= CACHE:
+        if len(self.pieces) >= PIECES:
             self.pieces.clear()
-        split = [x.split(" ") for x in texts]
-        missing = list(set(chain.from_iterable(split)).difference(cache))
-        cache.update((x, self._encode(x)) for x in missing)
-        out = [b"".join(map(cache.__getitem__, x)) + close for x in split]
-        for x in missing:
-            if len(x) > CACHED_CHARS:
-                del cache[x]
-        return out
+        split = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        coded = split.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(cache.get, chunks))
+        for k, x in enumerate(chunks):
+            if found[k] is None:
+                found[k] = ids = self._encode(x)
+                if len(x) <= CACHED_CHARS:
+                    cache[x] = ids
+        found.append(self.kind(end).tobytes())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind().itemsize
+        flat = np.frombuffer(b"".join(found), self.kind)
+        # the chunks of each text, then the end
+        n = np.diff(split.offsets.to_numpy())
+        place = np.insert(coded.indices.to_numpy(), np.cumsum(n), len(chunks))
+        each = size[place]
+        stop = np.cumsum(each)
+        ids = flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat((np.cumsum(size) - size)[place] - stop + each, each)]
+        per = np.add.reduceat(each, np.cumsum(n + 1) - n - 1) if len(n) else np.zeros(0, np.int64)
+        return ids, per
+
+    def encode_batch(self, texts: list[str], end: int) -> list[bytes]:
+        ids, per = self.encode_column(pa.array(texts, pa.string()), end)
+        return [x.tobytes() for x in np.split(ids, np.cumsum(per)[:-1])] if texts else []
 
 
 _encoders: dict[str, Encoder] = {}
@@ -246,17 +277,27 @@ def _slices(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]
             yield batch.slice(k, rows)
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id and the document's ids with the end id, 2 bytes each where the vocabulary allows it, else 4."""
+_TOKENS = "doc_id bigint, width int, ids binary, counts binary"
+
+
+def tokenise(docs: DataFrame, tokenizer: str, end: int, vocabulary: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id and the document's ids with the end id, 2 bytes each where the vocabulary allows it, else 4; and for each
+    task a row of width 0 whose counts say how often it saw each id of the vocabulary."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
-        for batch in _slices(it, 1000):
-            ids = e.encode_batch([x or "" for x in batch.column(1).to_pylist()], end)
-            wide = pa.array([e.kind().itemsize] * len(ids), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), wide, pa.array(ids, pa.binary())], names=["doc_id", "width", "ids"])
+        names, seen = ["doc_id", "width", "ids", "counts"], np.zeros(vocabulary, np.int64)
+        for batch in _slices(it, 2000):
+            ids, n = e.encode_column(batch.column(1), end)
+            seen += np.bincount(ids, minlength=vocabulary)
+            at = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
+            raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids)]).cast(pa.binary())
+            wide = pa.array(np.full(len(n), ids.itemsize, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), wide, raw, pa.nulls(len(n), pa.binary())], names=names)
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, 0, None, zlib.compress(seen.tobytes(), 1)), kinds, strict=True)], names=names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, width int, ids binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _TOKENS)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end: int, vocabulary: int, *, partitions: int | None = None) -> None:
@@ -267,18 +308,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, vocabulary: int,
     """
     spark = docs.sparkSession
     kept = shared_path(spark, "tokens")
-    tokenise(docs, tokenizer, end).write.parquet(kept)
-    tokens = spark.read.schema("doc_id bigint, width int, ids binary").parquet(kept)
+    tokenise(docs, tokenizer, end, vocabulary).write.parquet(kept)
+    read_kept = spark.read.schema(_TOKENS).parquet(kept)
+    tokens = read_kept.where("width > 0").select("doc_id", "width", "ids")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(vocabulary, np.int64)
         for batch in it:
-            for w, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n += np.bincount(np.frombuffer(raw.as_buffer(), f"<u{w}"), minlength=vocabulary)
+            for raw in batch.column(0):
+                n += np.frombuffer(zlib.decompress(raw.as_buffer()), np.int64)
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n[found], pa.int64())], names=["id", "n"])
 
-    counts = tokens.select("width", "ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = read_kept.where("counts IS NOT NULL").select("counts").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     raw = Table.scaled({r["id"]: r["n"] for r in counts}, vocabulary).to_bytes()
     spark.createDataFrame([(bytearray(raw),)], "freq binary").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(raw)  # 4 bytes for each id of the vocabulary
