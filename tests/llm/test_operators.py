@@ -78,28 +78,100 @@ def test_context_tree(docs, empty):
     n, v = sum(c.values()), len(c)
     want = [(i, is_held(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in words]
     assert pairs((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == pairs(want)
-    assert all(r["score"] < 0 and r["byte_score"] <= r["score"] + 1e-9 and math.isfinite(r["bits_per_byte"]) for r in got)
+    assert all(r["score"] < 0 and math.isfinite(r["bits_per_byte"]) for r in got)
     assert context_tree.score(empty, held).count() == 0
 
 
-def test_context_tree_sums_to_one():
-    words = ["abba", "abab", "ba", "b", "cab"]
-    keys, n = context_tree.grams(words)
-    counts = []
-    for d in range(context_tree.DEPTH + 1):
-        u, back = np.unique(keys & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
-        counts.append((u, np.bincount(back).astype(float)))
+def plain_ctw(texts, least):
+    """A function from a text to its probability, bit by bit the ratio of two weighted probabilities of whole trees."""
+    end, depth = b"\xff", context_tree.DEPTH
+    of = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode() + end
+
+    def events(raw):
+        padded = end * depth + raw
+        return [(padded[k : k + depth], padded[k + depth]) for k in range(len(raw))]
+
+    seen = [e for t in texts for e in events(of(t))]
+    often = Counter(c[depth - d :] for c, _ in seen for d in range(depth + 1))
+    nodes = {c for c, n in often.items() if n >= least}
+    bits = {}
+    for c, x in seen:
+        for k in range(8):
+            bits.setdefault((1 << k) | x >> (8 - k), []).append((c, x >> (7 - k) & 1))
+
+    kt = lambda rows: context_tree.log_kt(np.array([float(sum(not x for _, x in rows))]), np.array([float(sum(x for _, x in rows))]))[0]
+
+    def weighted(rows, d):
+        """Log weighted probability of the node that all rows share at depth d."""
+        if d == depth:
+            return kt(rows)
+        children, rest = {}, []
+        for c, x in rows:
+            if c[depth - d - 1 :] in nodes:
+                children.setdefault(c[depth - d - 1 :], []).append((c, x))
+            else:
+                rest.append((c, x))
+        return np.logaddexp(kt(rows), sum(weighted(r, d + 1) for r in children.values()) + kt(rest)) - math.log(2)
+
+    def score(text):
+        total = 0.0
+        for c, x in events(of(text)):
+            for k in range(8):
+                rows = bits.get((1 << k) | x >> (8 - k), [])
+                if b"" in nodes:
+                    total += weighted([*rows, (c, x >> (7 - k) & 1)], 0) - weighted(rows, 0)
+                else:
+                    total += math.log(0.5)
+        return total / math.log(10)
+
+    return score
+
+
+@pytest.mark.parametrize(("least", "contexts"), [(1, 1 << 17), (3, 1 << 17), (100_000, 1 << 17)])
+def test_context_tree_is_plain_weighting(spark, least, contexts):
+    rows = [(1, "abba ab"), (2, None), (3, ""), (4, "ABBA abab\tba b"), (5, "cab bac"), (5, "x"), (6, "bab\xe9 abba"), (None, "abba ab")]
+    out = [(7, "abba bab"), (8, "\u4e2d q"), (9, None)]
+    docs = spark.createDataFrame([(i, t, False) for i, t in rows] + [(i, t, True) for i, t in out], "doc_id bigint, text string, out boolean")
+    got = context_tree.score(docs, F.col("out"), least=least, contexts=contexts).collect()
+    plain = plain_ctw([t for _, t in rows], least)
+    want = [(i, plain(t)) for i, t in rows + out]
+    assert pairs((r["doc_id"], round(r["score"], 6)) for r in got) == pairs((i, round(x, 6)) for i, x in want)
+
+
+def test_context_tree_of_the_most_frequent(spark):
+    """A bound on contexts leaves a tree with every context that is more frequent than those that go."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abc ", weights=(8, 4, 2, 1), k=300)) for _ in range(6)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    for contexts in (30, 300):
+        tree = context_tree.train(docs, "text", least=2, contexts=contexts)
+        kept = {int(c).to_bytes(int(d), "big")[::-1] for c, d in zip(tree.context, tree.depth, strict=True)}
+        padded = [b"\xff" * 6 + t.encode() + b"\xff" for t in texts]
+        n = Counter(x[k - d : k] for x in padded for k in range(6, len(x)) for d in range(7))
+        longer = [c for c in kept if len(c) >= 3]
+        assert len(longer) <= contexts and all(c[1:] in kept for c in kept if c)
+        assert min(n[c] for c in longer) >= max(n[c] for c in n if len(c) >= 3 and c not in kept) * 0.9
+
+
+def test_context_tree_blocks(monkeypatch):
+    """Texts that cross the ends of blocks score as in one block, and all bytes' probabilities sum to 1."""
+    import pyarrow as pa
+
+    raw, starts = context_tree.stream(pa.array(["abba ab", None, "", "ABBA" * 9, "b", "a b \xe9 abba"]))
+    keys = context_tree.grams(raw, starts, 0, len(raw))
+    assert [int(k >> 8).to_bytes(6, "big")[::-1] for k in keys[8:10]] == [b"\xff" * 6, b"\xff" * 6]
+    counts = [context_tree._merged([(keys & 255 | keys >> 8 * (7 - d) << 8, np.ones(len(keys)))]) for d in range(7)]
     tree = context_tree.Tree.of(counts)
-    for context in (0x20, 0x2061, 0x206162, 0x62, 0x7A7A):  # seen and unseen ones, the nearest byte last
-        near = int.from_bytes(context.to_bytes(6, "big")[::-1].lstrip(b"\0") or b"\0", "big")
-        raw = context.to_bytes((context.bit_length() + 7) // 8, "big")
-        key = sum(b << 8 * (k + 1) for k, b in enumerate(reversed(raw)))
-        assert near >= 0
-        p = 10 ** tree._evaluate(np.arange(256) | key)
-        assert abs(p.sum() - 1) < 1e-9
-    one = tree.score(["abba"])[0]
-    each = tree._evaluate(context_tree.grams(["abba"])[0]).sum()
-    assert abs(one - each) < 1e-9
+    whole = tree.score_texts(raw, starts)
+    for near in (b"ab", b" ", b"zz", b"abba a", b"\xff"):
+        key = int.from_bytes((b"\xff" * 6 + near)[-6:][::-1], "big") << 8
+        assert abs((10 ** tree.score(np.arange(256) | key)).sum() - 1) < 1e-9
+    for size in (1, 3, 7):
+        monkeypatch.setattr(context_tree, "BLOCK", size)
+        assert np.abs(tree.score_texts(raw, starts) - whole).max() < 1e-9
+
+
+def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 7.9, 8, 100.5, 1e6])
     assert np.abs(context_tree._log_gamma(x) - [math.lgamma(v) for v in x]).max() < 1e-8
 

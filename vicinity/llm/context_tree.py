@@ -1,18 +1,19 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is its lower-case words, each followed by a space, and an end byte. A byte is coded bit by bit; each bit has a
-context tree over the bytes before it in its word (the space before the word included, at most DEPTH bytes), whose nodes
-hold Krichevsky-Trofimov estimates. Weighting mixes the estimates of all depths: a node's probability is half its own
-estimate's and half the product of its children's, and the weights that training leaves are used for prediction.
+A text is its UTF-8 bytes, A-Z lower-cased, and an end byte that no text holds. A byte is coded bit by bit, high bit
+first; each bit has a context tree over the DEPTH bytes before it, whatever they are (before a text's start stands the end
+byte), whose nodes hold Krichevsky-Trofimov estimates. Weighting mixes the estimates of all depths: a node's probability
+is half its own estimate's and half the product of its children's, and the weights that training leaves are used for
+prediction. `score` is the log10 probability of all of the text's bytes, and sums to 1 over all texts.
 
-The tree is cut where it gets too fine to matter: a context is a node of its own only if at least one in 2^SHARE of the
-training bytes has it; the other contexts below a node share one leaf. So there are at most 2^SHARE contexts of each
-length whatever the corpus, and the tree may be sent to every task.
+Memory: a context is a node of its own if it occurs at least `least` times in training; the other contexts below a node
+share one leaf. `contexts` bounds the number of those of three bytes or more, since the tree is sent to
+every task: where more would qualify, the most frequent stay, so the tree grows with the corpus up to that bound. The
+counts behind it, and the words of the base model, are gathered without any bound.
 
-Since contexts end at the space before a word, a word's probability doesn't depend on the words around it. One pass
-over the texts splits them, numbers the words of each batch and keeps (batch, word, counts) and the texts as numbers;
-counts and scores are then worked out once for each distinct word and come back to the batches through joins. No
-dictionary is sent anywhere.
+One pass counts grams: a task sends each shard (by the three nearest bytes) its distinct grams as one sorted, deflated
+array, and shards merge them. A second pass splits texts into words for the base model, numbers the words of each batch
+and scores the bytes. Word counts come back to the batches through joins; no dictionary is sent anywhere.
 
 Defined cases: a null or empty text is the end alone; a null doc_id is never held out; repeated rows are scored and
 counted each; without training texts every bit has probability 1/2; other columns are ignored.
@@ -21,115 +22,56 @@ counted each; without training texts every bit has probability 1/2; other column
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, shared_path, words_of, written
+from .common import shared_path, written
 
 DEPTH = 6
-SHARE = 17
-#: Words of a batch: bounds what a task holds.
-BATCH_WORDS = 3_000_000
-#: What the tree's share in a known word's probability may be.
-SHARES = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7)
+LEAST, CONTEXTS = 32, 1 << 17
+#: Text of a batch, bytes that are scored at once, and distinct grams after which a task sends them: bounds of memory.
+BATCH_BYTES, BLOCK, HELD = 24 << 20, 4 << 20, 4_000_000
 #: Stands for the end of a text; no word holds it.
 END = "\n"
-
-
-# --- texts as numbers -------------------------------------------------------------------------------------------------
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-def packed(places: np.ndarray) -> bytes:
-    """Byte planes, the lowest first, deflated: the high planes of small numbers take next to nothing."""
-    return zlib.compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
-_SPLIT = "batch bigint, word string, place int, train bigint, doc_id array<bigint>, held array<boolean>, tokens array<int>, bytes array<bigint>, places binary"
-
-
-def split(docs: DataFrame, text: str, key: str, held_out: Column) -> tuple[DataFrame, DataFrame]:
-    """(words: batch, word, place, train; texts: batch, doc_id, held, tokens, bytes, places), written in one pass."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        first, n = TaskContext.get().partitionId() << 32, 0
-        ids: list = []
-        held: list[bool] = []
-        sizes: list[int] = []
-        arrays: list[np.ndarray] = []
-        numbers, total = _Numbers(), 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            places = np.concatenate(arrays)
-            train = np.bincount(places[np.repeat(~np.array(held), [len(a) for a in arrays])], minlength=len(numbers))
-            words, k = list(numbers), len(numbers)
-            null = lambda kind: pa.nulls(k, kind)
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.binary())
-            names = ["batch", "word", "place", "train", "doc_id", "held", "tokens", "bytes", "places"]
-            batch = first + n
-            head = [pa.array(np.full(k, batch)), pa.array(words, pa.string()), pa.array(np.arange(k, dtype=np.int32)), pa.array(train.astype(np.int64))]
-            for at in range(0, k, 100_000):
-                yield pa.RecordBatch.from_arrays([*head, *map(null, kinds)], names=names).slice(at, 100_000)
-            tail = [ids, held, [len(a) for a in arrays], sizes, packed(places)]
-            one = [pa.array([x], t) for x, t in zip(tail, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([batch]), *(pa.nulls(1, t) for t in (pa.string(), pa.int32(), pa.int64())), *one], names=names)
-
-        for batch in it:
-            for at in range(0, batch.num_rows, 500):
-                for i, h, x in zip(*[c.to_pylist() for c in batch.slice(at, 500).columns], strict=True):
-                    words = words_of(lower_ascii(x)) if x else []
-                    words.append(END)
-                    ids.append(i)
-                    held.append(bool(h))
-                    sizes.append(len(x.encode()) if x else 0)
-                    arrays.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-                    total += len(words)
-                    if total >= BATCH_WORDS:
-                        yield from flush()
-                        n += 1
-                        ids, held, sizes, arrays, numbers, total = [], [], [], [], _Numbers(), 0
-        if arrays:
-            yield from flush()
-
-    path = shared_path(docs.sparkSession, "split-texts")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text).alias("text"))
-    rows.mapInArrow(run, _SPLIT).write.parquet(path)
-    read = lambda: docs.sparkSession.read.schema(_SPLIT).parquet(path)
-    words = read().where("word IS NOT NULL").select("batch", "word", "place", "train")
-    return words, read().where("places IS NOT NULL").select("batch", "doc_id", "held", "tokens", "bytes", "places")
-
-
-# --- grams ------------------------------------------------------------------------------------------------------------
-def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, lengths): for each coded byte of each word the byte (lowest 8 bits) and the DEPTH bytes before it, nearest
-    first; bytes from before the word's space are 0."""
-    raw = [b" \n" if w == END else b" %b " % w.encode() for w in words]
-    n = np.array([len(x) for x in raw])
-    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
-    start = np.repeat(np.cumsum(n) - n, n)
-    at = np.arange(len(flat))
-    keys = flat.copy()
-    for k in range(1, DEPTH + 1):
-        before = np.where(at - k >= start, flat[np.maximum(at - k, 0)], 0)
-        keys |= before << (8 * k)
-    return keys[at > start], n - 1
-
-
+_END = 0xFF
+
+
+# --- texts as bytes ---------------------------------------------------------------------------------------------------
+def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all texts, each followed by the end byte; where each text starts, and the whole length)."""
+    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
+    raw = np.frombuffer(low.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    return np.insert(raw, offsets[1:], _END), offsets + np.arange(len(offsets))
+
+
+def grams(raw: np.ndarray, starts: np.ndarray, begin: int, end: int) -> np.ndarray:
+    """For each byte of raw[begin:end] a key: the DEPTH bytes before it, the nearest highest, then the byte itself."""
+    before = np.full(end - begin + DEPTH, _END, np.uint8)
+    skip = max(0, DEPTH - begin)
+    before[skip:] = raw[begin - DEPTH + skip : end]
+    one = before.astype(np.uint16)
+    two = one[1:] << 8 | one[:-1]  # [i]: bytes i + 1, i
+    four = two[2:].astype(np.uint32) << 16 | two[:-2]  # [i]: bytes i + 3 ... i
+    n = end - begin
+    keys = (four[2 : 2 + n].astype(np.int64) << 24) | (two[:n].astype(np.int64) << 8) | raw[begin:end]
+    first = starts[np.searchsorted(starts, begin - DEPTH) : np.searchsorted(starts, end)]
+    for j in range(DEPTH - 1):  # j bytes into a text, only the bytes of that text and its start are known
+        at = first + j - begin
+        # a position beyond the text's end gets the mask of a later text's start anyway
+        keys[at[(at >= 0) & (at < n)]] |= (1 << 8 * (DEPTH - j)) - 1 & ~0xFF
+    return keys
+
+
+# --- the tree ----------------------------------------------------------------------------------------------------
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of a zeros and b ones."""
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi)
@@ -150,11 +92,25 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """levels[d]: sorted keys (context of d bytes << 8 | bits so far with a leading 1), probability of a one by the
-    node's own estimate, weight of that estimate against what lies below, and the estimate of the shared leaf below."""
+    """levels[d]: sorted keys (context of d bytes << 8 | bits so far with a leading 1), the chance of a one where that
+    context is the deepest node, and where a deeper node is there that never saw these bits."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
         self.levels = levels
+        contexts = [u[(u & 255) == 1] >> 8 for u, _, _ in levels]
+        self.context = np.concatenate([*contexts, np.zeros(0, np.int64)])
+        self.depth = np.repeat(np.arange(len(contexts)), [len(c) for c in contexts])
+        shift = 8 * (DEPTH - self.depth)
+        low, high = self.context << shift, (self.context + 1) << shift
+        self.bounds = np.unique(np.concatenate([low, high, [0]]))
+        #: The deepest node from each bound to the next.
+        self.node = np.full(len(self.bounds), -1, np.int64)
+        a, b = np.searchsorted(self.bounds, low), np.searchsorted(self.bounds, high)
+        for d in range(len(contexts)):
+            k = np.flatnonzero(self.depth == d)
+            n = b[k] - a[k]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[k], n)
+            self.node[at] = np.repeat(k, n)
         self.known = np.zeros(0, np.int64)
         self.value = np.zeros(0)
 
@@ -172,168 +128,345 @@ class Tree:
                 one.append(np.where(is_one, n, 0))
             u, back = np.unique(np.concatenate(every), return_inverse=True)
             nodes.append((u, *(np.bincount(back, np.concatenate(x), len(u)) for x in (zero, one))))
-        levels, below = [], None
-        for d in range(len(nodes) - 1, -1, -1):
-            u, a, b = nodes[d]
-            own = log_kt(a, b)
-            rest_a, rest_b, under = a.copy(), b.copy(), np.zeros(len(u))
-            weight = np.ones(len(u))
-            weighted = own
+        above = lambda keys: keys >> 16 << 8 | keys & 255
+        weights, below = [], None
+        for u, a, b in reversed(nodes):
+            own = weighted = log_kt(a, b)
+            rest_a, rest_b, weight = a.copy(), b.copy(), np.ones(len(u))
             if below is not None:
                 ku, ka, kb, kw = below
-                parent = np.searchsorted(u, (ku >> 8 & ((1 << 8 * d) - 1)) << 8 | ku & 255)
+                parent = np.searchsorted(u, above(ku))
                 rest_a -= np.bincount(parent, ka, len(u))
                 rest_b -= np.bincount(parent, kb, len(u))
                 under = np.bincount(parent, kw, len(u)) + log_kt(rest_a, rest_b)
                 weighted = np.logaddexp(own, under) - math.log(2)
                 weight = 1 / (1 + np.exp(np.clip(under - own, -700, 700)))
-            levels.append((u, (b + 0.5) / (a + b + 1), weight, (rest_b + 0.5) / (rest_a + rest_b + 1)))
+            weights.append((weight, (rest_b + 0.5) / (rest_a + rest_b + 1)))
             below = (u, a, b, weighted)
-        return cls(levels[::-1])
-
-    def _find(self, d: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        u = self.levels[d][0]
-        if not len(u):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(u, keys), len(u) - 1)
-        return at, u[at] == keys
-
-    def _evaluate(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of each gram's byte in its context."""
-        out, byte = np.zeros(len(keys)), keys & 255
-        contexts = [(keys >> 8 & ((1 << 8 * d) - 1)) << 8 for d in range(len(self.levels))]
-        node = [self._find(d, c | 1)[1] for d, c in enumerate(contexts)]
+        levels, upper = [], None
+        for (u, a, b), (weight, rest) in zip(nodes, reversed(weights), strict=True):
+            # what the nodes above have added, and the share that is left for this one and those below
+            sum_, left = np.zeros(len(u)), np.ones(len(u))
+            if upper is not None:
+                parent = np.searchsorted(upper[0], above(u))
+                sum_, left = upper[1][parent], upper[2][parent]
+            sum_ = sum_ + left * weight * (b + 0.5) / (a + b + 1)
+            left = left * (1 - weight)
+            levels.append((u, sum_ + left * rest, sum_ + left * 0.5))
+            upper = (u, sum_, left)
+        return cls(levels)
+
+    def _evaluate(self, context: np.ndarray, depth: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """log10 probability of bytes whose deepest nodes are these (depth -1: there is none)."""
+        out = np.zeros(len(byte))
         for bit in range(8):
             u = 1 << bit | byte >> (8 - bit)
-            p = np.full(len(keys), 0.5)
+            p, open_ = np.full(len(byte), 0.5), np.arange(len(byte))
             for d in range(len(self.levels) - 1, -1, -1):
-                at, there = self._find(d, contexts[d] | u)
-                if not len(self.levels[d][0]):
+                keys, deepest, deeper = self.levels[d]
+                k = open_[depth[open_] >= d]
+                if not len(k) or not len(keys):
                     continue
-                _, own, weight, rest = self.levels[d]
-                # a node that training never reached has estimate and weight 1/2, as all below it
-                own, w = np.where(there, own[at], 0.5), np.where(there, weight[at], 0.5)
-                if d == len(self.levels) - 1:
-                    mixed = own
-                else:
-                    mixed = w * own + (1 - w) * np.where(node[d + 1], p, np.where(there, rest[at], 0.5))
-                p = np.where(node[d], mixed, p)
+                want = context[k] >> 8 * (depth[k] - d) << 8 | u[k]
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                hit = keys[at] == want
+                p[k[hit]] = np.where(depth[k[hit]] == d, deepest[at[hit]], deeper[at[hit]])
+                done = np.zeros(len(byte), bool)
+                done[k[hit]] = True
+                open_ = open_[~done[open_]]
             out += np.log10(np.where((byte >> (7 - bit)) & 1, p, 1 - p))
         return out
 
-    def score(self, words: list[str]) -> np.ndarray:
-        """log10 probability of each word with the space after it; grams that were seen before aren't worked out again."""
-        keys, n = grams(words)
-        u, back = np.unique(keys, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, u), max(0, len(self.known) - 1))
-        new = u[self.known[at] != u] if len(self.known) else u
+    def score(self, keys: np.ndarray) -> np.ndarray:
+        """log10 probability of each gram's byte; what was worked out before isn't worked out again."""
+        order = np.argsort(keys)
+        keys = keys[order]
+        node = self.node[np.searchsorted(self.bounds, keys >> 8, "right") - 1]
+        pair = node << 8 | keys & 255  # negative without a node
+        u = np.unique(pair)
+        new = np.setdiff1d(u, self.known, assume_unique=True)
         if len(new):
-            if len(self.known) > 2_000_000:
+            if len(self.known) > 3_000_000:
                 self.known, self.value, new = np.zeros(0, np.int64), np.zeros(0), u
-            value = self._evaluate(new)
-            order = np.argsort(np.concatenate([self.known, new]), kind="stable")
-            self.known = np.concatenate([self.known, new])[order]
-            self.value = np.concatenate([self.value, value])[order]
-        each = self.value[np.searchsorted(self.known, u)][back]
-        return np.add.reduceat(each, np.cumsum(n) - n)
+            at = new >> 8
+            none = at < 0
+            value = self._evaluate(np.where(none, 0, self.context[at]) if len(self.context) else np.zeros(len(at), np.int64), np.where(none, -1, self.depth[at]) if len(self.depth) else np.full(len(at), -1), new & 255)
+            known = np.concatenate([self.known, new])
+            by = np.argsort(known)
+            self.known, self.value = known[by], np.concatenate([self.value, value])[by]
+        out = np.empty(len(keys))
+        out[order] = self.value[np.searchsorted(self.known, pair)]
+        return out
+
+    def score_texts(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probability of each text of a stream, worked through in blocks."""
+        out = np.zeros(len(starts) - 1)
+        for begin in range(0, len(raw), BLOCK):
+            end = min(len(raw), begin + BLOCK)
+            first, last = np.searchsorted(starts, begin, "right") - 1, np.searchsorted(starts, end) - 1
+            cuts = np.maximum(starts[first : last + 1], begin) - begin
+            out[first : last + 1] += np.add.reduceat(self.score(grams(raw, starts, begin, end)), cuts)
+        return out
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted keys and the sums of their numbers."""
+    keys, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(keys) else n
+
+
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """By the three bytes nearest to the coded one."""
+    return ((keys >> 8 * (DEPTH - 2)) * 0x9E3779B1 & 0xFFFFFFFF) * shards >> 32
+
+
+def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    step = np.diff(keys, prepend=np.int64(0))
+    return zlib.compress(_planes(step) + _planes(n), 1)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes, the lowest first: the high planes of small numbers deflate to next to nothing."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
-def train(words: DataFrame) -> Tree:
-    """The tree of words (word, n). The driver gets the grams of at most 2^SHARE contexts of each length."""
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(2, 8, -1)
+    step, n = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes)
+    return np.cumsum(step), n
+
+
+def _binary(x: np.ndarray, n: np.ndarray) -> pa.Array:
+    """x cut into runs of n members, as bytes."""
+    ends = np.concatenate([[0], np.cumsum(n)]) * x.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
+
+
+def train(docs: DataFrame, text: str, *, least: int = LEAST, contexts: int = CONTEXTS) -> Tree:
+    """The tree of the texts. The driver gets at most `contexts` contexts with the numbers of the bytes after them."""
+    spark = docs.sparkSession
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            u, back = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return u, np.bincount(back, np.concatenate([h[1] for h in held]), len(u))
-
+        def flush() -> pa.RecordBatch:
+            keys, n = _merged(held)
+            held.clear()
+            shard = _shard(keys, shards)
+            order = np.argsort(shard, kind="stable")
+            keys, n, shard = keys[order], n[order], shard[order]
+            which, first = np.unique(shard, return_index=True)
+            parts = zip(np.split(keys, first[1:]), np.split(n, first[1:]), strict=True)
+            raw = [_packed(*x) for x in parts] if len(keys) else []
+            return pa.RecordBatch.from_arrays([pa.array(which[: len(raw)], pa.int32()), pa.array(raw, pa.binary())], names=["shard", "grams"])
+
+        size = 0
         for batch in it:
-            if not batch.num_rows:
-                continue
-            keys, n = grams(batch.column(0).to_pylist())
-            u, back = np.unique(keys, return_inverse=True)
-            held.append((u, np.bincount(back, np.repeat(batch.column(1).to_numpy(), n), len(u))))
-            if len(held) >= 16:
-                held = [merged()]
-                if len(held[0][0]) > 1_500_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1].astype(np.int64))], names=["gram", "n"])
-                    held = []
+            raw, starts = stream(batch.column(0))
+            for begin in range(0, len(raw), BLOCK):
+                keys = np.sort(grams(raw, starts, begin, min(len(raw), begin + BLOCK)))
+                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                held.append((keys[first], np.diff(first, append=len(keys))))
+                size += len(first)
+                if size > HELD:
+                    held[:] = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > HELD // 2:
+                        yield flush()
+                        size = 0
         if held:
-            u, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], names=["gram", "n"])
+            yield flush()
 
-    found = words.where("n > 0").mapInArrow(count, "gram bigint, n bigint")
-    table = written(found.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = table.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // (1 << SHARE)))
+    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in it:
+            for raw in batch.column(1):
+                held.append(_unpacked(raw.as_buffer()))
+                size += len(held[-1][0])
+                if size > 2 * HELD:
+                    held[:] = [_merged(held)]
+                    size = len(held[0][0])
+        if not size:
+            return
+        keys, n = _merged(held)
+        for d in range(DEPTH, -1, -1):
+            if d < DEPTH:  # a byte less of context: keys that were sorted stay so, but for those of equal contexts
+                keys, n = _merged([(keys >> 16 << 8 | keys & 255, n)])
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] >> 8 != keys[:-1] >> 8]))
+            total = np.add.reduceat(n, first)
+            # contexts shorter than what shards are dealt by are summed over the shards before they are judged
+            good = total >= (least if d >= 3 else 1)
+            size_ = np.diff(first, append=len(keys))
+            which = np.repeat(good, size_)
+            cols = [
+                pa.array(np.full(good.sum(), d, np.int32)), pa.array(keys[first[good]] >> 8), pa.array(total[good]),
+                _binary((keys[which] & 255).astype(np.uint8), size_[good]), _binary(n[which].astype("<i8"), size_[good]),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["d", "context", "total", "bytes", "counts"])
+
+    schema = "d int, context bigint, total bigint, bytes binary, counts binary"
+    sent = docs.select(F.col(text).alias("text")).mapInArrow(count, "shard int, grams binary").repartition(shards, "shard")
+    table = written(sent.mapInArrow(merge, schema), "contexts")
+    # a few buckets: numbers of contexts by the logarithm of their total
+    step = F.floor(F.log2("total") * 8).cast("int").alias("step")
+    sizes = {r["step"]: r["n"] for r in table.where("d >= 3").groupBy(step).agg(F.count("*").alias("n")).collect()}
+    room, floor_ = contexts, 0
+    for k in sorted(sizes, reverse=True):
+        room -= sizes[k]
+        if room < 0:
+            floor_ = k + 1
+            break
+    often = table.where((F.col("d") >= 3) & (step >= floor_)).collect()
+
+    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for d, context, raw, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                keys = context << 8 | np.frombuffer(raw, np.uint8).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), d, np.int32)), pa.array(keys), pa.array(np.frombuffer(n, "<i8"))], names=["d", "key", "n"])
+
+    # contexts of at most two bytes: at most 2^16, whatever the corpus
+    short = table.where("d < 3").select("d", "context", "bytes", "counts").mapInArrow(spread, "d int, key bigint, n bigint").groupBy("d", "key").agg(F.sum("n").alias("n")).toPandas()
     counts = []
     for d in range(DEPTH + 1):
-        cut = table.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        cut = cut.withColumn("context", F.shiftright("gram", 8))
-        often = cut.groupBy("context").agg(F.sum("n").alias("of")).where(F.col("of") >= least).select("context")
-        got = cut.join(often, "context", "left_semi").select("gram", "n").toPandas()
-        counts.append((got["gram"].to_numpy(np.int64), got["n"].to_numpy(np.float64)))
+        if d < 3:
+            of = short[short["d"] == d].sort_values("key")
+            keys, n = of["key"].to_numpy(np.int64), of["n"].to_numpy(np.int64)
+            _, back = np.unique(keys >> 8, return_inverse=True)
+            total = np.bincount(back, n)[back] if len(n) else np.zeros(0)
+            good = (total >= least) & (np.floor(np.log2(np.maximum(total, 1)) * 8) >= floor_)
+            keys, n = keys[good], n[good]
+        else:
+            held = [(r["context"] << 8 | np.frombuffer(r["bytes"], np.uint8).astype(np.int64), np.frombuffer(r["counts"], "<i8")) for r in often if r["d"] == d]
+            keys, n = _merged(held) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        counts.append((keys, n.astype(np.float64)))
     return Tree.of(counts)
 
 
-def score(docs: DataFrame, held_out: Column, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, byte_score, bits_per_byte for every row.
+# --- the base model -----------------------------------------------------------------------------------------------
+def packed(places: np.ndarray) -> bytes:
+    """Byte planes, the lowest first, deflated: the high planes of small numbers take next to nothing."""
+    return zlib.compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words with the end; for each text its words and the end as places among them; their number)."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    coded = split.flatten().dictionary_encode()
+    words, places = coded.dictionary, coded.indices.to_numpy()
+    n = np.diff(split.offsets.to_numpy())
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()  # at the ends of texts that start or end in white space
+    words = pa.concat_arrays([words, pa.array([END], words.type)])
+    if empty >= 0:
+        good = places != empty
+        n = np.add.reduceat(np.append(good, False), np.cumsum(n) - n, dtype=np.int64) * (n > 0)
+        places = places[good]
+    return words, np.insert(places, np.cumsum(n), len(words) - 1), n + 1
+
+
+_SPLIT = "batch bigint, word string, place int, train bigint, doc_id array<bigint>, held array<boolean>, tokens array<int>, bytes array<bigint>, score array<double>, places binary"
+_trees: dict[str, Tree] = {}
+
+
+def _tree(name: str, state) -> Tree:
+    """One per worker, kept between its tasks."""
+    if name not in _trees:
+        _trees.clear()
+        _trees[name] = Tree(state.value)
+    return _trees[name]
+
+
+def split(docs: DataFrame, text: str, key: str, held_out: Column, levels: list) -> tuple[DataFrame, DataFrame]:
+    """(words: batch, word, place, train; texts: batch, doc_id, held, tokens, bytes, score, places), in one pass."""
+    state, name = docs.sparkSession.sparkContext.broadcast(levels), uuid.uuid4().hex
+    names = ["batch", "word", "place", "train", "doc_id", "held", "tokens", "bytes", "score", "places"]
+    kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary())
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        tree, number = _tree(name, state), TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            out, texts = pc.fill_null(batch.column(1), False).to_numpy(zero_copy_only=False), batch.column(2)
+            raw, starts = stream(texts)
+            score = tree.score_texts(raw, starts)
+            sizes = np.diff(starts) - 1
+            del raw
+            words, places, n = numbered(texts)
+            k = len(words)
+            train_ = np.bincount(places[np.repeat(~out, n)], minlength=k)
+            head = [pa.array(np.full(k, number)), words.cast(pa.string()), pa.array(np.arange(k, dtype=np.int32)), pa.array(train_.astype(np.int64))]
+            whole = pa.RecordBatch.from_arrays([*head, *(pa.nulls(k, t) for t in kinds)], names=names)
+            for at in range(0, k, 100_000):
+                yield whole.slice(at, 100_000)
+            tail = [batch.column(0).to_pylist(), out, n.astype(np.int32), sizes, score, packed(places)]
+            one = [pa.array([x], t) for x, t in zip(tail, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.nulls(1, t) for t in (pa.string(), pa.int32(), pa.int64())), *one], names=names)
+
+        size = 0
+        for whole in it:
+            for at in range(0, whole.num_rows, 500):
+                held.append(whole.slice(at, 500))
+                size += pc.sum(pc.binary_length(held[-1].column(2))).as_py() or 0
+                if size >= BATCH_BYTES:
+                    yield from flush()
+                    number, size = number + 1, 0
+        if held:
+            yield from flush()
+
+    path = shared_path(docs.sparkSession, "split-texts")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text).alias("text"))
+    rows.mapInArrow(run, _SPLIT).write.parquet(path)
+    read = lambda: docs.sparkSession.read.schema(_SPLIT).parquet(path)
+    words = read().where("word IS NOT NULL").select("batch", "word", "place", "train")
+    return words, read().where("places IS NOT NULL").select("batch", "doc_id", "held", "tokens", "bytes", "score", "places")
+
+
+def score(docs: DataFrame, held_out: Column, *, text: str = "text", key: str = "doc_id", least: int = LEAST, contexts: int = CONTEXTS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row.
 
     held_out: a boolean Column of docs; rows for which it is true are scored but not learned from. base_score is the
-    add-one unigram model of the same words, for which all words that training lacks are one event. score is the
-    tree's log10 probability of the same events: a known word's is that of its bytes among known words, mixed with the
-    estimate that has the whole word as its context; the chance of an unknown word is that of words seen once.
-    byte_score also spells the unknown words, so it sums to 1 over all byte strings; bits_per_byte is its code length.
+    add-one unigram model of the words and the end, for which all words that training lacks are one event. score is the
+    tree's log10 probability of the text's bytes and their end; bits_per_byte its code length for each byte.
     """
-    spark = docs.sparkSession
-    words, texts = split(docs, text, key, held_out)
+    tree = train(docs.where(~held_out), text, least=least, contexts=contexts)
+    words, texts = split(docs, text, key, held_out, tree.levels)
     counts = written(words.groupBy("word").agg(F.sum("train").alias("n")), "word-counts")
     facts = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n, v = facts["n"] or 0, facts["v"] or 0
-    tree = spark.sparkContext.broadcast(train(counts.select("word", "n")).levels)
-
-    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Tree(tree.value)
-        for batch in it:
-            if batch.num_rows:
-                value = t.score(batch.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=["word", "n", "value"])
-
-    spelled = written(counts.mapInArrow(judge, "word string, n bigint, value double"), "spelled-words")
-    # What the whole word as a context adds: a share of its own frequency. Both shares come from training words, each
-    # taken as if it had been seen once less.
-    p, c = F.pow(F.lit(10.0), "value"), F.col("n")
-    known = spelled.agg(F.sum(F.when(c > 0, p)).alias("z"), F.count_if(c == 1).alias("once")).first()
-    z, unknown = min(max(known["z"] or 0.5, 1e-9), 1 - 1e-9), ((known["once"] or 0) + 0.5) / (n + 1)
-    mixed = lambda share, seen, of: F.lit(1 - share) * seen / max(1, of) + F.lit(share / z) * p
-    trials = spelled.where("n > 1").agg(*[F.sum(c * F.log10(mixed(x, c - 1, n - 1))).alias(str(i)) for i, x in enumerate(SHARES)]).first()
-    share = max(zip([t if t is not None else 0 for t in trials], SHARES, strict=True))[1]
-    usual = F.log10(F.lit(1 - unknown) * mixed(share, c, n))
-    # for unknown words the bytes' own probability, of which the rest follows below
-    scored = spelled.select("word", "n", F.when(c > 0, usual).otherwise(F.col("value")).alias("value"))
-    back = words.select("batch", "word", "place").join(scored, "word").select("batch", "place", "n", "value")
-    rare, spelling = math.log10(unknown), math.log10(unknown) - math.log10(1 - z)
+    back = words.select("batch", "word", "place").join(counts, "word").select("batch", "place", "n")
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 3]
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "byte_score", "bits_per_byte"]
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
         out = []
         place = right["place"].to_numpy()
-        value, bytes_, base, known = (np.zeros(len(place)) for _ in range(4))
-        of, got = right["n"].to_numpy(), right["value"].to_numpy()
-        value[place], bytes_[place] = np.where(of > 0, got, rare), np.where(of > 0, got, got + spelling)
+        base, known = np.zeros(len(place)), np.zeros(len(place))
+        of = right["n"].to_numpy()
         base[place] = np.log10((of + 1) / (n + v + 1))
         known[place] = of > 0
         for row in left.to_pylist():
             at = unpacked(row["places"])
             tokens = np.array(row["tokens"])
             starts = np.cumsum(tokens) - tokens
-            sums = [np.add.reduceat(x[at], starts) for x in (known, base, value, bytes_)]
-            bits = -sums[3] * math.log2(10) / np.maximum(1, np.array(row["bytes"]))
-            cols = [row["doc_id"], row["held"], tokens, sums[0].astype(np.int64), np.full(len(tokens), n), *sums[1:], bits]
+            sums = [np.add.reduceat(x[at], starts) for x in (known, base)]
+            bits = -np.array(row["score"]) * math.log2(10) / np.maximum(1, np.array(row["bytes"]))
+            cols = [row["doc_id"], row["held"], tokens, sums[0].astype(np.int64), np.full(len(tokens), n), sums[1], row["score"], bits]
             out.append(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names))
         return pa.concat_tables(out) if out else pa.table({a: pa.array([], k) for a, k in zip(names, kinds, strict=True)})
 
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, byte_score double, bits_per_byte double"
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
     return texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(add, schema)
