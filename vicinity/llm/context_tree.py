@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from .common import shared_path, written
 
 DEPTH = 6
-LEAST, CONTEXTS = 32, 1 << 17
+LEAST, CONTEXTS = 32, 1 << 16
 #: Text of a batch, bytes that are scored at once, and distinct grams after which a task sends them: bounds of memory.
-BATCH_BYTES, BLOCK, HELD = 24 << 20, 4 << 20, 4_000_000
+BATCH_BYTES, BLOCK, HELD = 16 << 20, 2 << 20, 1_200_000
 #: Stands for the end of a text; no word holds it.
 END = "\n"
 _END = 0xFF
@@ -128,6 +128,7 @@ class Tree:
                 one.append(np.where(is_one, n, 0))
             u, back = np.unique(np.concatenate(every), return_inverse=True)
             nodes.append((u, *(np.bincount(back, np.concatenate(x), len(u)) for x in (zero, one))))
+            del every, zero, one, back
         above = lambda keys: keys >> 16 << 8 | keys & 255
         weights, below = [], None
         for u, a, b in reversed(nodes):
@@ -186,7 +187,7 @@ class Tree:
         u = np.unique(pair)
         new = np.setdiff1d(u, self.known, assume_unique=True)
         if len(new):
-            if len(self.known) > 3_000_000:
+            if len(self.known) > 1_000_000:
                 self.known, self.value, new = np.zeros(0, np.int64), np.zeros(0), u
             at = new >> 8
             none = at < 0
@@ -283,14 +284,14 @@ def train(docs: DataFrame, text: str, *, least: int = LEAST, contexts: int = CON
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        size = done = 0
         for batch in it:
             for raw in batch.column(1):
                 held.append(_unpacked(raw.as_buffer()))
                 size += len(held[-1][0])
-                if size > 2 * HELD:
+                if size > max(HELD, 2 * done):
                     held[:] = [_merged(held)]
-                    size = len(held[0][0])
+                    done = size = len(held[0][0])
         if not size:
             return
         keys, n = _merged(held)
@@ -321,7 +322,7 @@ def train(docs: DataFrame, text: str, *, least: int = LEAST, contexts: int = CON
         if room < 0:
             floor_ = k + 1
             break
-    often = table.where((F.col("d") >= 3) & (step >= floor_)).collect()
+    often = table.where((F.col("d") >= 3) & (step >= floor_)).select("d", "context", "bytes", "counts").toArrow().combine_chunks()
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -341,8 +342,11 @@ def train(docs: DataFrame, text: str, *, least: int = LEAST, contexts: int = CON
             good = (total >= least) & (np.floor(np.log2(np.maximum(total, 1)) * 8) >= floor_)
             keys, n = keys[good], n[good]
         else:
-            held = [(r["context"] << 8 | np.frombuffer(r["bytes"], np.uint8).astype(np.int64), np.frombuffer(r["counts"], "<i8")) for r in often if r["d"] == d]
-            keys, n = _merged(held) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            of = often.filter(pc.equal(often["d"], d)).sort_by("context")
+            size_ = pc.binary_length(of["bytes"]).to_numpy()
+            flat = lambda c: b"".join(of[c].to_pylist())  # noqa: B023, E731
+            keys = np.repeat(of["context"].to_numpy(), size_) << 8 | np.frombuffer(flat("bytes"), np.uint8)
+            n = np.frombuffer(flat("counts"), "<i8")
         counts.append((keys, n.astype(np.float64)))
     return Tree.of(counts)
 
@@ -402,8 +406,7 @@ def split(docs: DataFrame, text: str, key: str, held_out: Column, levels: list)
             held.clear()
             out, texts = pc.fill_null(batch.column(1), False).to_numpy(zero_copy_only=False), batch.column(2)
             raw, starts = stream(texts)
-            score = tree.score_texts(raw, starts)
-            sizes = np.diff(starts) - 1
+            score, sizes = tree.score_texts(raw, starts), np.diff(starts) - 1
             del raw
             words, places, n = numbered(texts)
             k = len(words)
@@ -423,6 +426,7 @@ def split(docs: DataFrame, text: str, key: str, held_out: Column, levels: list)
                 size += pc.sum(pc.binary_length(held[-1].column(2))).as_py() or 0
                 if size >= BATCH_BYTES:
                     yield from flush()
+                    pa.default_memory_pool().release_unused()
                     number, size = number + 1, 0
         if held:
             yield from flush()
