@@ -227,7 +227,6 @@ def test_tree_finds_all_links():
 def test_near_duplicates(docs):
     got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicates(docs).collect() if r["doc_id"] is not None}
     assert got[30] == got[31] == got[32] == got[33] == 30 and got[1] == 1 and got[45] == 45
-    assert simhash_dedup.recall(512, 77, 14) > 0.95
 
 
 def test_components(spark):

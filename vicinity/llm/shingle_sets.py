@@ -1,37 +1,23 @@
-"""Near duplicates by the Jaccard similarity of sets of shingles: MinHash bands give candidates, exact sets decide.
+"""Sets of shingles: their hashes, the MinHash bands by which similar sets share a shard, and exact Jaccard similarity.
 
-A set's signature is ROWS x BANDS minima; sets that agree in all ROWS of a band share a bucket. A pair of similarity s
-does so with the chance 1 - (1 - s^ROWS)^BANDS (`recall`), whatever the number of texts: 0.9995 at 0.8. Every link is a
-pair whose sets were compared in full, so no text is joined on the strength of its signature.
-
-Small buckets are compared pair by pair. In a large one a few members are compared with all others; when the links that
-were found join what they can, only pairs of different components are left, and the rounds go on until each of them has
-been compared. Sets are taken once each, so exact copies cost nothing here.
+A set's signature is ROWS x BANDS minima; sets that agree in all ROWS of a band share a shard. A pair of similarity s
+does so with the chance 1 - (1 - s^ROWS)^BANDS (`recall`), whatever the number of texts: 0.9995 at 0.8.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import lower_ascii, words_of, written
-from .components import stars
+from .common import lower_ascii, words_of
 
 ROWS, BANDS = 7, 32
-#: Pairs for each member up to which a bucket is compared at once, and members compared in a round beyond that.
-AT_ONCE, PIVOTS = 12, 8
 _ODD = np.random.default_rng(7).integers(0, 1 << 31, ROWS * BANDS, np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = np.random.default_rng(8).integers(0, 1 << 32, ROWS * BANDS, np.uint32)
 
 
 def recall(similarity: float) -> float:
-    """Chance that two sets of that similarity share a bucket."""
+    """Chance that two sets of that similarity share a shard."""
     return 1 - (1 - similarity**ROWS) ** BANDS
 
 
@@ -45,118 +31,26 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array([digest(g, 42) for g in grams], np.uint64))
 
 
-def buckets_of(hashes: np.ndarray) -> list[int]:
+def shards_of(hashes: np.ndarray) -> np.ndarray:
+    """A number for each band, the band's own among others; none for the empty set."""
     if not len(hashes):
-        return []
+        return np.zeros(0, np.int64)
     x = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
     low = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 512):
         low = np.minimum(low, (_ODD[:, None] * x[at : at + 512] + _ADD[:, None]).min(axis=1))
     raw = low.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(raw[k].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+    return np.array([xxhash.xxh64_intdigest(raw[k].tobytes(), k) - (1 << 63) for k in range(BANDS)], np.int64)
 
 
-def _signed(hashes: np.ndarray) -> int:
+def number_of(hashes: np.ndarray) -> int:
+    """What equal sets share."""
     return xxhash.xxh64_intdigest(hashes.tobytes(), 1) - (1 << 63)
 
 
-def to_compare(members: list[int], labels: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs of different labels to compare now, and the members among which others are left."""
-    n = len(members)
-    size: dict[int, int] = {}
-    for x in labels:
-        size[x] = size.get(x, 0) + 1
-    if len(size) < 2:
-        return [], []
-    if n * n - sum(k * k for k in size.values()) <= 2 * AT_ONCE * n:
-        # the pairs of small groups with all others cover every pair but those within the largest group
-        largest = max(size, key=size.__getitem__)
-        inner = [i for i in range(n) if labels[i] != largest]
-        outer = [i for i in range(n) if labels[i] == largest]
-        pairs = [(i, j) for i, j in combinations(inner, 2) if labels[i] != labels[j]] + [(i, j) for i in inner for j in outer]
-        return [(members[i], members[j]) for i, j in pairs], []
-    order = sorted(range(n), key=lambda i: (size[labels[i]], members[i]))
-    pivots = order[:PIVOTS]
-    pairs = [(members[i], members[j]) for i in pivots for j in range(n) if labels[i] != labels[j]]
-    return pairs, [members[i] for i in order[PIVOTS:]]
-
-
-def near_duplicates(docs: DataFrame, shingle: int, similarity: float, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, component_id (the smallest doc_id that links reach) for every row."""
-    spark = docs.sparkSession
-
-    def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [shingle_set(x, shingle) for x in batch.column(1).to_pylist()]
-                cols = [pa.array(map(_signed, found), pa.int64()), pa.array(map(buckets_of, found), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=["doc_id", "text", "print", "buckets"])
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = written(rows.mapInArrow(sign, "doc_id bigint, text string, print bigint, buckets array<bigint>"), "prints")
-    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    # buckets with the same members are one
-    dealt = prints.select("print", "buckets").dropDuplicates(["print"]).select(F.explode("buckets").alias("bucket"), "print")
-    shared = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list("print")).alias("members")).where(F.size("members") > 1)
-    groups = written(shared.groupBy("members").agg(F.min("bucket").alias("bucket")), "buckets")
-
-    def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in it:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                raw = [shingle_set(x, shingle).tobytes() for x in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["print", "hashes"])
-
-    wanted = groups.select(F.explode("members").alias("print")).distinct()
-    texts = prints.select("print", "text").join(wanted, "print", "left_semi").dropDuplicates(["print"])
-    sets = written(texts.mapInArrow(measure, "print bigint, hashes binary"), "shingle-sets")
-
-    def choose(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of() -> pa.RecordBatch:
-            cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(at, pa.int64()), pa.array(rest, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "bucket", "rest"])
-
-        a, b, at, rest = [], [], [], []
-        for batch in it:
-            for k in range(batch.num_rows):
-                bucket, members, labels = (c[k].as_py() for c in batch.columns)
-                pairs, others = to_compare(members, labels)
-                a += [min(p) for p in pairs]
-                b += [max(p) for p in pairs]
-                at += [None] * len(pairs)
-                rest += [None] * len(pairs)
-                if len(others) > 1:
-                    a, b, at, rest = [*a, None], [*b, None], [*at, bucket], [*rest, others]
-                if len(a) > 100_000:
-                    yield batch_of()
-                    a, b, at, rest = [], [], [], []
-        yield batch_of()
-
-    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(u) + len(v) - len(np.union1d(u, v))
-                good.append(both >= similarity * (len(u) + len(v) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    edges, roots = spark.createDataFrame([], "a bigint, b bigint"), None
-    todo = groups.select("bucket", "members", F.col("members").alias("labels"))
-    while True:
-        chosen = written(todo.mapInArrow(choose, "a bigint, b bigint, bucket bigint, rest array<bigint>"), "pairs")
-        pairs = chosen.where("a IS NOT NULL").select("a", "b").distinct()
-        both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
-        edges = edges.unionByName(written(both.mapInArrow(compare, "a bigint, b bigint"), "links"))
-        roots = stars(edges)
-        left = chosen.where("rest IS NOT NULL").select("bucket", "rest")
-        if not left.limit(1).count():
-            break
-        named = left.select("bucket", F.explode("rest").alias("m")).join(roots, F.col("m") == F.col("a"), "left")
-        todo = named.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("m", F.coalesce("root", "m").alias("l")))).alias("x"))
-        todo = todo.select("bucket", F.col("x.m").alias("members"), F.col("x.l").alias("labels"))
-    named = distinct.join(roots, F.col("print") == F.col("a"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = named.join(least, "root").select("print", "component_id")
-    return prints.select("doc_id", "print").join(labels, "print").select("doc_id", "component_id")
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least that Jaccard similarity."""
+    both = np.concatenate([a, b])
+    both.sort()
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return common >= similarity * (len(both) - common)
