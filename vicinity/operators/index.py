@@ -41,9 +41,9 @@ def balanced(near: DataFrame, k: int) -> DataFrame:
     first = near.select("ref_id", F.col("clusters")[0]["cluster_id"].alias("c1"), F.get("clusters", F.lit(1))["cluster_id"].alias("c2"))
     sizes = first.groupBy("c1").agg(F.count("*").alias("size"))  # one row for each cluster
     place = F.row_number().over(Window.partitionBy("c1").orderBy("ref_id"))
-    leaving = first.join(F.broadcast(sizes.where(F.col("size") > most)), "c1").withColumn("place", place).where((F.col("place") > most) & F.col("c2").isNotNull())
+    leaving = first.join(sizes.where(F.col("size") > most), "c1").withColumn("place", place).where((F.col("place") > most) & F.col("c2").isNotNull())
     room = sizes.select(F.col("c1").alias("c2"), (F.lit(most) - F.col("size")).alias("room"))
-    leaving = leaving.join(F.broadcast(room), "c2", "left").withColumn("room", F.coalesce("room", F.lit(most)))
+    leaving = leaving.join(room, "c2", "left").withColumn("room", F.coalesce("room", F.lit(most)))
     turn = F.row_number().over(Window.partitionBy("c2").orderBy("ref_id"))
     moved = leaving.withColumn("turn", turn).where(F.col("turn") <= F.col("room")).select("ref_id", F.lit(1).alias("pick"))
     return near.join(moved, "ref_id", "left").withColumn("pick", F.coalesce("pick", F.lit(0)))

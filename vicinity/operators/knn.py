@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import blocks, matrix, squared, waves
+from .vectors import Best, blocks, matrix, squared, waves
 
 _NAMES = ("qid", "ref_id", "is_fraud", "dist")
 
@@ -27,35 +27,44 @@ def top_k(queries: DataFrame, refs: DataFrame, k: int = 5, *, key: str = "qid",
 
         def scan(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            best = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0), np.int64)
+            best, every = Best(len(ids), k), np.arange(len(ids))
             for b in blocks(it):
-                if not len(ids):
-                    continue
-                ref = b.column(0).to_numpy()
-                d = squared(q, matrix(b, 2))
-                if other_than_self:
-                    d[ids[:, None] == ref[None, :]] = np.inf
-                d = np.hstack([best[0], d])
-                r = np.hstack([best[1], np.broadcast_to(ref, (len(ids), len(ref)))])
-                y = np.hstack([best[2], np.broadcast_to(b.column(1).to_numpy(zero_copy_only=False), (len(ids), len(ref)))])
-                if d.shape[1] > 4 * k:  # all that tie with the kth stay for the exact order
-                    cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                    width = int((d <= cut).sum(axis=1).max())
-                    order = np.argpartition(d, min(width, d.shape[1]) - 1, axis=1)[:, :width]
-                    d, r, y = (np.take_along_axis(x, order, 1) for x in (d, r, y))
-                order = np.lexsort((r, d), axis=1)[:, :k]
-                best = tuple(np.take_along_axis(x, order, 1) for x in (d, r, y))
-            d, r, y = best
-            at = np.nonzero(np.isfinite(d))
-            cols = [pa.array(ids[at[0]]), pa.array(r[at]), pa.array(y[at].astype(np.int32)), pa.array(d[at].astype(np.int64))]
+                if len(ids) and b.num_rows:
+                    ref = b.column(0).to_numpy()
+                    d = squared(q, matrix(b, 2))
+                    if other_than_self:
+                        d[ids[:, None] == ref[None, :]] = np.inf
+                    best.meet(every, d, ref, b.column(1).to_numpy(zero_copy_only=False))
+            i, r, y, d = best.found()
+            cols = [pa.array(ids[i]), pa.array(r), pa.array(y.astype(np.int32)), pa.array(d)]
             yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
         parts.append(rows.mapInArrow(scan, "qid bigint, ref_id bigint, is_fraud int, dist bigint"))
     return ranked(reduce(DataFrame.unionByName, parts), k)
 
 
-def ranked(candidates: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy("dist", "ref_id")
+def distances(queries: DataFrame, refs: DataFrame, *, key: str = "qid") -> DataFrame:
+    """qid, ref_id, dist: a stated set of queries against every other reference, in blocks."""
+    rows = refs.select(F.col("ref_id").cast("long"), "v")
+    parts = []
+    for ids, q in waves(queries, "v", key):
+        sent = refs.sparkSession.sparkContext.broadcast((ids, q))
+
+        def scan(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            for whole in blocks(it):
+                for at in range(0, whole.num_rows if len(ids) else 0, max(1, (1 << 20) // max(1, len(ids)))):
+                    b = whole.slice(at, max(1, (1 << 20) // len(ids)))
+                    ref, d = b.column(0).to_numpy(), squared(q, matrix(b, 1))
+                    i, j = np.nonzero(ids[:, None] != ref[None, :])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ref[j]), pa.array(d[i, j].astype(np.int64))], names=["qid", "ref_id", "dist"])
+
+        parts.append(rows.mapInArrow(scan, "qid bigint, ref_id bigint, dist bigint"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ranked(candidates: DataFrame, k: int, *by: str) -> DataFrame:
+    w = Window.partitionBy(*by, "qid").orderBy("dist", "ref_id")
     return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

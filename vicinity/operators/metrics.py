@@ -39,6 +39,11 @@ def counters(rows: DataFrame, backend: Column, failed: Column) -> DataFrame:
     return rows.groupBy(backend.alias("backend")).agg(F.count("*").alias("requests"), F.count_if(failed).alias("errors"))
 
 
+def gauge(rows: DataFrame, opened: Column, closed: Column) -> DataFrame:
+    """value: how many are open now, from rows that open one and rows that close one."""
+    return rows.agg((F.count_if(opened) - F.count_if(closed)).alias("value"))
+
+
 def round_robin(connection: Column, backends: int) -> Column:
     return F.pmod(connection, F.lit(backends)).cast("int")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,65 +11,150 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SearchConfig
-from ..functions.distance import box_bound, squared_l2
 from ..functions.rules import approved, borderline, fraud_score
+from ..storage import written
 from . import kmeans
 from .knn import fraud_counts, ranked
+from .vectors import WAVE_BYTES, Best, blocks, matrix, squared
 
 FAR = (1 << 31) - 1
+#: Boxes are sent to every task; an index has one for each cluster, and k is its parameter.
+BOX_BYTES = 256 << 20
+_FOUND = "slot int, qid bigint, ref_id bigint, is_fraud int, dist bigint"
 
 
 def probes(queries: DataFrame, centroids: np.ndarray, config: SearchConfig, *, border: bool = False) -> DataFrame:
     """qid, cluster_id, place: the nearest clusters that each query looks into."""
-    config.check(len(centroids))
-    most = max(config.nprobe, config.nprobe_border if border else 0)
-    near = kmeans.nearest(queries.withColumn("_v", F.col("v")), centroids, most, key="qid", keep=("_v",))
-    limit = F.lit(config.nprobe)
-    if border and config.nprobe_border > 0:
-        limit = F.when(borderline(F.col("_v")), F.lit(config.nprobe_border)).otherwise(limit)
-    return near.select("qid", F.posexplode("clusters").alias("place", "c"), limit.alias("_n")).where("place < _n").select("qid", "c.cluster_id", "place")
+    return probed(queries, centroids, [config], border).select("qid", F.posexplode("clusters").alias("place", "cluster_id")).select("qid", "cluster_id", "place")
 
 
-def scan(queries: DataFrame, pairs: DataFrame, postings: DataFrame, dims: int, *, other_than_self: bool = False) -> DataFrame:
-    """qid, ref_id, is_fraud, dist for the (qid, cluster_id) pairs: an equi-join on the cluster, whose skew Spark can
-    split; the window that follows keeps k rows for each query and task before it shuffles."""
-    asked = pairs.select("qid", "cluster_id").join(queries.select("qid", F.col("v").alias("q")), "qid")
-    hit = asked.join(postings.select("cluster_id", "ref_id", "v", "is_fraud"), "cluster_id")
-    if other_than_self:
-        hit = hit.where("qid <> ref_id")
-    return hit.select("qid", "ref_id", "is_fraud", squared_l2(F.col("q"), F.col("v"), dims).alias("dist"))
+def probed(queries: DataFrame, centroids: np.ndarray, configs: list[SearchConfig], border: bool = False) -> DataFrame:
+    """slot (place of the configuration), qid, v, clusters: what each query looks into, nearest first."""
+    for c in configs:
+        c.check(len(centroids))
+    most = max(max(c.nprobe, c.nprobe_border if border else 0) for c in configs)
+    near = kmeans.nearest(queries.withColumn("_v", F.col("v")), centroids, most, key="qid", keep=("_v",))
+    limits = [F.when(borderline(F.col("_v")), F.lit(c.nprobe_border)).otherwise(F.lit(c.nprobe)) if border and c.nprobe_border > 0 else F.lit(c.nprobe) for c in configs]
+    slots = F.posexplode(F.array(*limits)).alias("slot", "_n")
+    return near.select(slots, "qid", F.col("_v").alias("v"), F.col("clusters.cluster_id").alias("_c")).select("slot", "qid", "v", F.slice("_c", 1, F.col("_n")).alias("clusters"))
 
 
-def repair_candidates(queries: DataFrame, top: DataFrame, probed: DataFrame, boxes: DataFrame, config: SearchConfig, dims: int) -> DataFrame:
-    """qid, cluster_id, bound: unprobed clusters that may hold a nearer reference, for queries with an ambiguous count.
+def scan(asked: DataFrame, postings: DataFrame, k: int, *, other_than_self: bool = False) -> DataFrame:
+    """slot, qid, ref_id, is_fraud, dist of at most k for each task and row of asked (slot, qid, v, clusters).
 
-    boxes has a row for each cluster and goes to every task: k is a parameter of the index. A bound equal to the kth
-    distance stays a candidate, since a tie is decided by the smaller id.
+    Rows of asked go to the tasks in waves of about WAVE_BYTES, whatever their number; a task works through its postings
+    in blocks, the part of each cluster against the rows that look into it.
     """
-    worst = top.groupBy("qid").agg(F.max("dist").alias("_far"), F.count("*").alias("_n"))
-    doubt = fraud_counts(queries, top).where(F.col("fraud_count").between(config.repair_min, config.repair_max))
-    asked = doubt.join(worst, "qid", "left").join(queries.select("qid", F.col("v").alias("q")), "qid")
-    asked = asked.select("qid", "q", F.when(F.col("_n") >= config.k, F.col("_far")).otherwise(F.lit(None)).alias("worst"))
-    box = F.broadcast(boxes.where("cnt > 0").select("cluster_id", "mn", "mx"))
-    near = asked.join(box, box_bound(F.col("q"), F.col("mn"), F.col("mx"), dims) <= F.coalesce("worst", F.lit((1 << 62))))
-    near = near.select("qid", "cluster_id", box_bound(F.col("q"), F.col("mn"), F.col("mx"), dims).alias("bound"))
-    return near.join(probed.select("qid", "cluster_id"), ["qid", "cluster_id"], "left_anti")
-
-
-def search(
-    queries: DataFrame, centroids: np.ndarray, postings: DataFrame, boxes: DataFrame, config: SearchConfig, dims: int, *,
+    spark = postings.sparkSession
+    size = asked.agg(F.sum(F.size("v") * 8 + F.size("clusters") * 12 + 32)).first()[0] or 0
+    n = max(1, -(-size // WAVE_BYTES))
+    rows = postings.select("cluster_id", F.col("ref_id").cast("long"), "is_fraud", "v")
+    parts = []
+    for w in range(n):
+        got = asked.where(F.pmod(F.xxhash64("slot", "qid"), F.lit(n)) == w).collect()  # bounded: a wave
+        if not got:
+            continue
+        into = np.array([c for r in got for c in r["clusters"]], np.int64)
+        row = np.repeat(np.arange(len(got)), [len(r["clusters"]) for r in got])
+        order = np.argsort(into, kind="stable")
+        names = np.array([r["slot"] for r in got], np.int32), np.array([r["qid"] for r in got], np.int64)
+        q = np.array([r["v"] for r in got], np.float64)
+        sent = spark.sparkContext.broadcast((*names, q, into[order], row[order]))
+
+        def look(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            slot, qid, q, into, row = sent.value
+            best = Best(len(qid), k)
+            for b in blocks(it):
+                if not b.num_rows:
+                    continue
+                cluster, ref, y, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), matrix(b, 3)
+                for c in np.unique(cluster):
+                    who = row[np.searchsorted(into, c) : np.searchsorted(into, c, "right")]
+                    here = np.flatnonzero(cluster == c)
+                    for at in range(0, len(who), 4096):
+                        part = who[at : at + 4096]
+                        d = squared(q[part], v[here])
+                        if other_than_self:
+                            d[qid[part][:, None] == ref[here][None, :]] = np.inf
+                        best.meet(part, d, ref[here], y[here])
+            i, r, y, d = best.found()
+            cols = [pa.array(slot[i]), pa.array(qid[i]), pa.array(r), pa.array(y.astype(np.int32)), pa.array(d)]
+            yield pa.RecordBatch.from_arrays(cols, names=["slot", "qid", "ref_id", "is_fraud", "dist"])
+
+        parts.append(rows.mapInArrow(look, _FOUND))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _FOUND)
+
+
+def bounds(asked: DataFrame, boxes: DataFrame, *keep: str) -> DataFrame:
+    """The kept columns, clusters and bounds: the clusters with points that may hold something at most as far as `worst`
+    (null: anything), but for those in `probed`, with the least squared distance of their boxes. asked: v, worst, probed
+    and the kept columns. A bound equal to `worst` stays, since a tie is decided by the smaller id."""
+    spark = asked.sparkSession
+    got = boxes.where("cnt > 0").select("cluster_id", "mn", "mx").collect()
+    ids = np.array([r["cluster_id"] for r in got], np.int64)
+    mn, mx = (np.array([r[c] for r in got], np.float64).reshape(len(got), -1) for c in ("mn", "mx"))
+    if mn.nbytes + mx.nbytes > BOX_BYTES:
+        raise ValueError("the index has too many clusters for its boxes to be sent to every task")
+    sent = spark.sparkContext.broadcast((ids, mn, mx))
+    rows = asked.select(*keep, "worst", "probed", "v")
+    schema = rows.select(*keep, F.expr("CAST(NULL AS ARRAY<INT>)").alias("clusters"), F.expr("CAST(NULL AS ARRAY<BIGINT>)").alias("bounds")).schema
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, mn, mx = sent.value
+        step = max(1, (1 << 21) // max(1, mn.size))
+        for whole in it:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                q = matrix(b, b.num_columns - 1)
+                worst = b.column(len(keep)).to_numpy(zero_copy_only=False).astype(np.float64)
+                worst[np.isnan(worst)] = np.inf
+                low = np.zeros((len(q), len(ids)))
+                if len(ids):
+                    gap = np.maximum(np.maximum(mn[None] - q[:, None], q[:, None] - mx[None]), 0)
+                    low = (gap * gap).sum(axis=2)
+                good = low <= worst[:, None]
+                for i, done in enumerate(b.column(len(keep) + 1).to_pylist()):
+                    good[i] &= ~np.isin(ids, done)
+                r, c = np.nonzero(good)
+                ends = pa.array(np.concatenate([[0], np.cumsum(good.sum(axis=1))]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (ids[c].astype(np.int32), low[r, c].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *lists], names=[f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)
+
+
+def repair_asked(asked: DataFrame, top: DataFrame, configs: list[SearchConfig]) -> DataFrame:
+    """slot, qid, v, worst and probed of the rows of asked whose count of frauds is ambiguous for their configuration."""
+    per = top.groupBy("slot", "qid").agg(F.sum("is_fraud").alias("_f"), F.max("dist").alias("_far"), F.count("*").alias("_n"))
+    at = lambda name: F.element_at(F.array(*[F.lit(getattr(c, name)) for c in configs]), F.col("slot") + 1)
+    both = asked.join(per, ["slot", "qid"], "left")
+    doubt = both.where(F.coalesce("_f", F.lit(0)).between(at("repair_min"), at("repair_max")))
+    return doubt.select("slot", "qid", "v", F.when(F.col("_n") >= at("k"), F.col("_far").cast("double")).alias("worst"), F.col("clusters").alias("probed"))
+
+
+def search_many(
+    queries: DataFrame, centroids: np.ndarray, postings: DataFrame, boxes: DataFrame, configs: list[SearchConfig], *,
     border: bool = False, repair: bool = True, other_than_self: bool = False,
 ) -> DataFrame:
-    """qid, ref_id, is_fraud, dist, rank: k nearest of the probed clusters; ambiguous queries get their exact answer."""
-    probed = probes(queries, centroids, config, border=border)
-    if repair:  # both are used again below; what is lost with an executor is redone
-        probed = probed.persist()
-    top = ranked(scan(queries, probed, postings, dims, other_than_self=other_than_self), config.k)
+    """slot, qid, ref_id, is_fraud, dist, rank for each configuration, by its place: k nearest of the probed clusters;
+    ambiguous queries get their exact answer. All configurations share each pass over the postings; what is found by
+    the first pass is kept in the shared folder."""
+    k = max(c.k for c in configs)
+    asked = probed(queries, centroids, configs, border)
+    if repair:
+        asked = written(asked, "probes")
+    top = ranked(scan(asked, postings, k, other_than_self=other_than_self), k, "slot")
     if not repair:
         return top
-    top = top.persist()
-    more = scan(queries, repair_candidates(queries, top, probed, boxes, config, dims), postings, dims, other_than_self=other_than_self)
-    return ranked(top.drop("rank").unionByName(more), config.k)
+    top = written(top, "nearest")
+    more = bounds(repair_asked(asked, top, configs), boxes, "slot", "qid", "v").where(F.size("clusters") > 0).select("slot", "qid", "v", "clusters")
+    fixed = scan(written(more, "repairs"), postings, k, other_than_self=other_than_self)
+    return ranked(top.drop("rank").unionByName(fixed), k, "slot")
+
+
+def search(queries: DataFrame, centroids: np.ndarray, postings: DataFrame, boxes: DataFrame, config: SearchConfig, **options) -> DataFrame:
+    """qid, ref_id, is_fraud, dist, rank by search_many() with one configuration."""
+    return search_many(queries, centroids, postings, boxes, [config], **options).drop("slot")
 
 
 def answer(queries: DataFrame, neighbours: DataFrame) -> DataFrame:
@@ -77,7 +163,7 @@ def answer(queries: DataFrame, neighbours: DataFrame) -> DataFrame:
     return counts.select("qid", "fraud_count", fraud_score(F.col("fraud_count")).alias("fraud_score"), approved(F.col("fraud_count")).alias("approved"))
 
 
-def search_stepwise(queries: DataFrame, centroids: np.ndarray, postings: DataFrame, boxes: DataFrame, config: SearchConfig, *, border: bool = False, cap: int = 1024) -> DataFrame:
+def search_stepwise(queries: DataFrame, centroids: np.ndarray, postings: DataFrame, boxes: DataFrame, config: SearchConfig, *, border: bool = False, cap: int = 1024, other_than_self: bool = False) -> DataFrame:
     """qid, fraud_count, repaired: the low-latency rule, query by query: candidates of a repair are capped in the order
     of their ids, sorted by bound, and scanned until the bound or the count decides. For an index that one worker can
     hold: it is sent whole, and refused beyond 1 GB."""
@@ -86,15 +172,16 @@ def search_stepwise(queries: DataFrame, centroids: np.ndarray, postings: DataFra
     size = postings.agg(F.sum(F.size("v") * 4 + 12)).first()[0] or 0
     if size > 1 << 30:
         raise ValueError("the index is too large for the stepwise search; use search()")
-    rows = postings.orderBy("cluster_id", "dist_centroid", "ref_id").select("cluster_id", "v", "is_fraud").collect()
+    rows = postings.orderBy("cluster_id", "dist_centroid", "ref_id").select("cluster_id", "ref_id", "v", "is_fraud").collect()
     v, y = np.array([r["v"] for r in rows], np.int64), np.array([r["is_fraud"] for r in rows], np.int64)
+    refs = np.array([r["ref_id"] for r in rows], np.int64)
     cuts = np.searchsorted([r["cluster_id"] for r in rows], np.arange(len(centroids) + 1))
     b = sorted(boxes.collect(), key=lambda r: r["cluster_id"])
-    sent = spark.sparkContext.broadcast((centroids, v, y, cuts, np.array([r["mn"] for r in b], np.int64), np.array([r["mx"] for r in b], np.int64)))
+    sent = spark.sparkContext.broadcast((centroids, v, y, refs, cuts, np.array([r["mn"] for r in b], np.int64), np.array([r["mx"] for r in b], np.int64)))
     asked = queries.select("qid", "v", (borderline(F.col("v")) if border else F.lit(False)).alias("b"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centroids, v, y, cuts, mn, mx = sent.value
+        centroids, v, y, refs, cuts, mn, mx = sent.value
         filled = cuts[1:] > cuts[:-1]
         for batch in it:
             out = []
@@ -106,7 +193,10 @@ def search_stepwise(queries: DataFrame, centroids: np.ndarray, postings: DataFra
 
                 def look(c: int) -> None:
                     d = ((v[cuts[c] : cuts[c + 1]] - q) ** 2).sum(1)  # noqa: B023
-                    for i in np.argsort(d, kind="stable")[: config.k]:
+                    order = np.argsort(d, kind="stable")
+                    if other_than_self:
+                        order = order[refs[cuts[c] + order] != qid]  # noqa: B023
+                    for i in order[: config.k]:
                         best.append((int(d[i]), int(y[cuts[c] + i])))  # noqa: B023
                     best.sort(key=lambda x: x[0])  # noqa: B023
                     del best[config.k :]  # noqa: B023

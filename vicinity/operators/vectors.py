@@ -31,6 +31,35 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
 
 
+class Best:
+    """The k nearest that each query of a set has met: dist, ref and y, ascending by (dist, ref)."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k = k
+        self.dist = np.full((n, k), np.inf)
+        self.ref = np.full((n, k), np.iinfo(np.int64).max)
+        self.y = np.zeros((n, k), np.int64)
+
+    def meet(self, rows: np.ndarray, dist: np.ndarray, ref: np.ndarray, y: np.ndarray) -> None:
+        """dist: of each of the rows' queries to each reference; infinite ones don't count."""
+        near = dist <= self.dist[rows, -1][:, None]
+        some = np.flatnonzero(near.any(axis=1))
+        width = int(near.sum(axis=1).max(initial=0))  # references beyond the kth nearest so far are no news
+        if not width:
+            return
+        rows, dist = rows[some], dist[some]
+        at = np.argpartition(dist, min(width, dist.shape[1]) - 1, axis=1)[:, :width]
+        d = np.hstack([self.dist[rows], np.take_along_axis(dist, at, 1)])
+        r, c = np.hstack([self.ref[rows], ref[at]]), np.hstack([self.y[rows], y[at]])
+        order = np.lexsort((r, d), axis=1)[:, : self.k]
+        self.dist[rows], self.ref[rows], self.y[rows] = (np.take_along_axis(x, order, 1) for x in (d, r, c))
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query, ref, y, dist) of all that was met."""
+        at = np.nonzero(np.isfinite(self.dist))
+        return at[0], self.ref[at], self.y[at], self.dist[at].astype(np.int64)
+
+
 def waves(queries: DataFrame, vector: str, key: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, matrix) of hash parts of the queries, each of about WAVE_BYTES at most, so that sending one to every task
     is bounded whatever the number of queries. At least one wave."""
@@ -39,4 +68,4 @@ def waves(queries: DataFrame, vector: str, key: str) -> Iterator[tuple[np.ndarra
     n = max(1, -(-size // WAVE_BYTES))
     for w in range(n):
         got = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == w).collect()
-        yield np.array([r["id"] for r in got], np.int64), np.array([r["v"] for r in got], np.float64).reshape(len(got), -1)
+        yield np.array([r["id"] for r in got], np.int64), np.array([r["v"] for r in got], np.float64).reshape(len(got), len(got[0]["v"]) if got else 0)

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import NormConfig, SearchConfig
-from ..functions import distance, features, rules
+from ..config import MAX_KNOWN, NormConfig, SearchConfig
+from ..functions import features, rules
 from ..functions.features import quantise_f32
 from ..operators import evaluate, index, kmeans, knn, metrics, search
 from ..sources import readers, sinks
 from ..sources.readers import table
+from ..storage import shared_path
 from ..streaming import scoring
 from . import tables as t
 
@@ -134,7 +134,9 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN km USING (o_custkey)""
 def q_known_merchant_array(spark: SparkSession, sf: str) -> DataFrame:
     """Membership in an array of at most 32 known merchants, the smallest ids of each customer."""
     rows = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_custkey", "l_suppkey").distinct()
-    known = rows.groupBy("o_custkey").agg(F.slice(F.sort_array(F.collect_set("l_suppkey")), 1, 32).alias("known"))
+    first = F.row_number().over(Window.partitionBy("o_custkey").orderBy("l_suppkey"))
+    each = rows.select("o_custkey", "l_suppkey").distinct().withColumn("n", first).where(F.col("n") <= MAX_KNOWN)
+    known = each.groupBy("o_custkey").agg(F.sort_array(F.collect_list("l_suppkey")).alias("known"))
     flag = quantise_f32(features.unknown_merchant(F.col("known"), F.col("l_suppkey")))
     return rows.join(known, "o_custkey").select("o_orderkey", "l_suppkey", flag.alias("unknown_q"))
 
@@ -201,8 +203,7 @@ def q_edge_case_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {CTE_VECTORS} SELECT event_id FROM vectors WHERE NOT (v[1] = 0 AND v[2] = 0)")
 def q_bench_row_filter(spark: SparkSession, sf: str) -> DataFrame:
-    v = event_vectors(spark, sf)
-    return v.where(~((F.get("v", F.lit(0)) == 0) & (F.get("v", F.lit(1)) == 0))).select("event_id")
+    return event_vectors(spark, sf).where(evaluate.countable(F.col("v"))).select("event_id")
 
 
 @query("SELECT CAST(k IS NULL OR k % 10 = 0 AS BOOLEAN) AS rejected, CAST(count(*) AS BIGINT) AS n FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1")
@@ -219,12 +220,10 @@ def q_validity_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # --- exact neighbours -------------------------------------------------------------------------------------------------
-@query(f"WITH {t.CTE_POINTS} SELECT q.qid, p.ref_id, {t.DIST.format(a='q.v', b='p.v')} AS dist FROM queries q JOIN points p ON q.qid <> p.ref_id AND p.ref_id % 100 = 0")
+@query(f"WITH {t.CTE_POINTS} SELECT q.qid, p.ref_id, {t.DIST.format(a='q.v', b='p.v')} AS dist FROM queries q JOIN points p ON q.qid <> p.ref_id")
 def q_l2_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Distances of the queries to each other: a stated set against itself."""
-    q = t.queries(spark, sf)
-    other = q.select(F.col("qid").alias("ref_id"), F.col("v").alias("w"))
-    return q.join(other, F.col("qid") != F.col("ref_id")).select("qid", "ref_id", distance.squared_l2(F.col("v"), F.col("w"), t.DIMS).alias("dist"))
+    """Distances of the stated queries to every other reference."""
+    return knn.distances(t.queries(spark, sf), t.points(spark, sf))
 
 
 def _knn(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,6 +321,8 @@ def q_seed_distance_mass(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- search in the index ----------------------------------------------------------------------------------------------
 PLAIN = SearchConfig(nprobe=4, repair_min=1, repair_max=4)
+#: What the fitted index is asked with: 12 of its 16 clusters.
+FITTED = SearchConfig(nprobe=12, repair_min=1, repair_max=4)
 
 
 @query(f"WITH {t.CTE_CLUSTERS} SELECT qid, cluster_id, CAST(place - 1 AS INT) AS place FROM probed WHERE place <= 4")
@@ -353,7 +354,7 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY di
 
 def _probe(spark: SparkSession, sf: str, config: SearchConfig = PLAIN, repair: bool = False) -> DataFrame:
     c, rows, boxes = t.indexed(spark, sf)
-    return search.search(t.queries(spark, sf), c, rows, boxes, config, t.DIMS, repair=repair, other_than_self=True)
+    return search.search(t.queries(spark, sf), c, rows, boxes, config, repair=repair, other_than_self=True)
 
 
 @query(f"WITH {_PROBE} SELECT qid, CAST(rank AS INT) AS rank, ref_id, dist, is_fraud FROM top")
@@ -367,9 +368,12 @@ _BOUND = "CAST(list_sum(list_transform(list_zip(q.v, b.mn, b.mx), lambda z: CAST
 @query(f"WITH {t.CTE_CLUSTERS} SELECT q.qid, b.cluster_id, {_BOUND} AS bound FROM queries q CROSS JOIN boxes b")
 def q_bbox_lower_bound(spark: SparkSession, sf: str) -> DataFrame:
     """Bounds of the stated queries against every cluster's box (a row for each cluster)."""
-    q, b = t.queries(spark, sf), F.broadcast(t.boxes(spark, sf).where("cnt > 0"))
-    bound = distance.box_bound(F.col("v"), F.col("mn"), F.col("mx"), t.DIMS)
-    return q.join(b, F.lit(True)).select("qid", "cluster_id", bound.alias("bound"))
+    asked = t.queries(spark, sf).select("qid", "v", F.lit(None).cast("double").alias("worst"), F.array().cast("array<int>").alias("probed"))
+    return _spread(search.bounds(asked, t.boxes(spark, sf), "qid"))
+
+
+def _spread(found: DataFrame) -> DataFrame:
+    return found.select("qid", F.explode(F.arrays_zip("clusters", "bounds")).alias("x")).select("qid", F.col("x.clusters").alias("cluster_id"), F.col("x.bounds").alias("bound"))
 
 
 _REPAIR = _PROBE + f""", doubt AS (
@@ -382,9 +386,9 @@ more AS (SELECT q.qid, b.cluster_id, {_BOUND} AS bound FROM doubt q JOIN boxes b
 @query(f"WITH {_REPAIR} SELECT * FROM more")
 def q_repair_candidates(spark: SparkSession, sf: str) -> DataFrame:
     q, (c, rows, boxes) = t.queries(spark, sf), t.indexed(spark, sf)
-    probed = search.probes(q, c, PLAIN)
-    top = knn.ranked(search.scan(q, probed, rows, t.DIMS, other_than_self=True), 5)
-    return search.repair_candidates(q, top, probed, boxes, PLAIN, t.DIMS)
+    asked = search.probed(q, c, [PLAIN])
+    top = knn.ranked(search.scan(asked, rows, 5, other_than_self=True), 5, "slot")
+    return _spread(search.bounds(search.repair_asked(asked, top, [PLAIN]), boxes, "qid"))
 
 
 _FIXED = _REPAIR + f""", every AS (
@@ -452,7 +456,7 @@ def _sweep(spark: SparkSession, sf: str) -> DataFrame:
     q = t.queries(spark, sf)
     expected = q.select("qid", (F.col("is_fraud") == 0).alias("expected_approved"))
     c, rows, boxes = t.indexed(spark, sf)
-    return evaluate.sweep(q, expected, c, rows, boxes, CONFIGS, t.DIMS, repair=False, other_than_self=True)
+    return evaluate.sweep(q, expected, c, rows, boxes, CONFIGS, repair=False, other_than_self=True)
 
 
 @query(_SWEEP + " SELECT nprobe, 0 AS nprobe_border, tp, tn, fp, fn FROM sweep")
@@ -460,15 +464,37 @@ def q_config_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return _sweep(spark, sf)
 
 
-@query(_SWEEP + " SELECT CAST(arg_min(nprobe, (fp + fn) * 1000 + nprobe) AS INT) AS nprobe FROM sweep")
+_BEST = "WITH " + t.CTE_CLUSTERS + ", " + t.CTE_KNN.replace(t.CTE_POINTS, "").lstrip(" ,\n") + f""", configs(nprobe) AS (VALUES (1), (2), (4), (8), (16)),
+cand AS (SELECT c.nprobe, b.qid, p.ref_id, p.is_fraud, {t.DIST.format(a="q.v", b="p.v")} AS dist
+  FROM configs c JOIN probed b ON b.place <= c.nprobe JOIN queries q USING (qid) JOIN postings p ON p.cluster_id = b.cluster_id AND p.ref_id <> b.qid),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nprobe, qid ORDER BY dist, ref_id) AS rank FROM cand) WHERE rank <= 5),
+exact AS (SELECT qid, coalesce(sum(knn.is_fraud), 0) < 3 AS expected FROM queries q LEFT JOIN knn USING (qid) GROUP BY 1),
+wrong AS (SELECT nprobe, count(*) FILTER (WHERE approved <> expected) AS n FROM (
+  SELECT c.nprobe, e.expected, coalesce(sum(t.is_fraud), 0) < 3 AS approved
+  FROM configs c CROSS JOIN exact e LEFT JOIN top t ON t.nprobe = c.nprobe AND t.qid = e.qid GROUP BY c.nprobe, e.qid, e.expected) GROUP BY 1),
+sizes AS (SELECT cluster_id, count(*) AS cnt FROM postings GROUP BY 1),
+cost AS (SELECT nprobe, qid, CAST(sum(cnt) AS BIGINT) AS scanned FROM configs c JOIN probed b ON b.place <= c.nprobe JOIN sizes USING (cluster_id) GROUP BY ALL),
+place AS (SELECT *, row_number() OVER (PARTITION BY nprobe ORDER BY scanned) - 1 AS i, count(*) OVER (PARTITION BY nprobe) AS n FROM cost),
+p99 AS (SELECT nprobe, scanned FROM place WHERE i = least(n - 1, floor(n * 0.99 + 0.5)))
+SELECT CAST(nprobe AS INT) AS nprobe, 0 AS nprobe_border, scanned AS p99 FROM p99 JOIN wrong USING (nprobe) WHERE wrong.n = 0 ORDER BY scanned, nprobe LIMIT 1"""
+WIDER = [*CONFIGS, SearchConfig(nprobe=t.SEEDS)]
+
+
+@query(_BEST)
 def q_best_config(spark: SparkSession, sf: str) -> DataFrame:
-    """The configuration with the fewest errors, and of those the cheapest."""
-    return _sweep(spark, sf).agg(F.min_by("nprobe", (F.col("fp") + F.col("fn")) * 1000 + F.col("nprobe")).alias("nprobe"))
+    """Among configurations that decide as the exact search does, the one with the least p99 of rows scanned a query."""
+    q, (c, rows, boxes) = t.queries(spark, sf), t.indexed(spark, sf)
+    expected = search.answer(q, _knn(spark, sf)).select("qid", F.col("approved").alias("expected_approved"))
+    found = evaluate.sweep(q, expected, c, rows, boxes, WIDER, repair=False, other_than_self=True)
+    cost = evaluate.scanned(q, c, boxes, WIDER)
+    return evaluate.best_configuration(found.join(evaluate.p99_by_configuration(cost, "scanned", WIDER), ["nprobe", "nprobe_border"]))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE label < 5) AS BIGINT) AS n_fraud, CAST(count(*) FILTER (WHERE NOT label < 5) AS BIGINT) AS n_legit, CAST(count(*) FILTER (WHERE label = 4) AS BIGINT) AS n_borderline FROM embeddings")
+@query(f"""WITH {CTE_VECTORS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE value > 50) AS BIGINT) AS n_fraud, CAST(count(*) FILTER (WHERE NOT value > 50) AS BIGINT) AS n_legit,
+  100.0::DOUBLE * count(*) FILTER (WHERE value > 50) / count(*) AS fraud_pct, 100.0::DOUBLE * count(*) FILTER (WHERE NOT value > 50) / count(*) AS legit_pct,
+  CAST(count(*) FILTER (WHERE v[1] <> 0 AND NOT {_LEGIT} AND NOT {_FRAUD}) AS BIGINT) AS n_borderline FROM vectors""")
 def q_dataset_facts(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.dataset_facts(table(spark, sf, "embeddings"), F.col("label") < 5, F.col("label") == 4)
+    return evaluate.dataset_facts(event_vectors(spark, sf), F.col("value") > 50)
 
 
 _NANOS = "latency AS (SELECT event_id, ts, user_id, event_type, CAST(round(value * 1000) AS BIGINT) AS ns FROM events WHERE value IS NOT NULL)"
@@ -480,8 +506,7 @@ def _latency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_NANOS}, s AS (SELECT ns, row_number() OVER (ORDER BY ns) - 1 AS i, count(*) OVER () AS n FROM latency) SELECT p.p AS percent, s.ns AS value FROM (VALUES (50), (90), (99)) p(p) JOIN s ON s.i = least(n - 1, floor(n * p.p / 100.0 + 0.5))")
 def q_pct_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [evaluate.nearest_rank(_latency(spark, sf), "ns", p).select(F.lit(p).alias("percent"), "value") for p in (50, 90, 99)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return evaluate.nearest_rank(_latency(spark, sf), "ns", 50, 90, 99).select(F.col("percent").cast("int").alias("percent"), "value")
 
 
 @query(f"WITH {_NANOS} SELECT CAST(sum(ns) // count(ns) AS BIGINT) AS avg_ns, max(ns) AS max_ns FROM latency")
@@ -510,11 +535,36 @@ def q_hist_pct(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query(f"""WITH {_LE} SELECT 'latency_bucket{{le="' || CASE WHEN bucket = 599 THEN '+Inf' ELSE CAST(bucket + 1 AS VARCHAR) END || '"}} ' || value AS value FROM le""")
+@query(f"""WITH {_LE}, total AS (SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(sum_us) AS BIGINT) AS us FROM hist),
+backends AS (SELECT CAST(user_id % 3 AS INT) AS b, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM latency GROUP BY 1),
+per AS (SELECT r.b, coalesce(n, 0) AS n, coalesce(errors, 0) AS errors FROM range(3) r(b) LEFT JOIN backends USING (b)),
+lines AS (
+  SELECT 0 AS place, unnest(['# HELP latency_ms Latency of a request', '# TYPE latency_ms histogram']) AS value
+  UNION ALL SELECT 1 + bucket, 'latency_ms_bucket{{le="' || printf('%.3f', le) || '"}} ' || value FROM le
+  UNION ALL SELECT 700, unnest(['latency_ms_bucket{{le="+Inf"}} ' || n, 'latency_ms_sum ' || printf('%.6f', us / 1000.0), 'latency_ms_count ' || n]) FROM total
+  UNION ALL SELECT 800, unnest(['# HELP requests_total Requests', '# TYPE requests_total counter', 'requests_total ' || n]) FROM total
+  UNION ALL SELECT 810, unnest(['# HELP repair_total Requests whose answer was repaired', '# TYPE repair_total counter', 'repair_total ' || sum(errors)]) FROM per GROUP BY ()
+  UNION ALL SELECT 820, unnest(['# HELP active_connections Open connections', '# TYPE active_connections gauge', 'active_connections ' || (count(*) FILTER (WHERE event_type = 'signup') - count(*) FILTER (WHERE event_type = 'error'))]) FROM latency
+  UNION ALL SELECT 830, unnest(['# HELP connections_total Connections by backend', '# TYPE connections_total counter'])
+  UNION ALL SELECT 831, 'connections_total{{backend="' || b || '"}} ' || n FROM per
+  UNION ALL SELECT 840, unnest(['# HELP errors_total Failed connections by backend', '# TYPE errors_total counter'])
+  UNION ALL SELECT 841, 'errors_total{{backend="' || b || '"}} ' || errors FROM per)
+SELECT value FROM lines""")
 def q_prometheus_lines(spark: SparkSession, sf: str) -> DataFrame:
-    c = metrics.cumulative(metrics.histogram(_latency(spark, sf), "ns"))
-    le = F.when(F.col("bucket") == metrics.BUCKETS - 1, F.lit("+Inf")).otherwise((F.col("bucket") + 1).cast("string"))
-    return sinks.exposition("latency", c.select(le.alias("le"), "value"))
+    """The whole exposition: a histogram, totals, a gauge (signups open, errors close) and counters of three backends."""
+    rows = _latency(spark, sf)
+    failed = F.col("event_type") == "error"
+    counts = metrics.counters(rows, metrics.round_robin(F.col("user_id"), 3), failed)
+    every = spark.range(3).select(F.col("id").cast("int").alias("backend")).join(counts, "backend", "left").fillna(0)
+    parts = [
+        sinks.exposition("latency_ms", "Latency of a request", metrics.histogram(rows, "ns")),
+        sinks.sample_lines("requests_total", "Requests", "counter", rows.agg(F.count("*").alias("value"))),
+        sinks.sample_lines("repair_total", "Requests whose answer was repaired", "counter", rows.agg(F.count_if(failed).alias("value"))),
+        sinks.sample_lines("active_connections", "Open connections", "gauge", metrics.gauge(rows, F.col("event_type") == "signup", failed)),
+        sinks.sample_lines("connections_total", "Connections by backend", "counter", every.select("backend", F.col("requests").alias("value")), "backend"),
+        sinks.sample_lines("errors_total", "Failed connections by backend", "counter", every.select("backend", F.col("errors").alias("value")), "backend"),
+    ]
+    return reduce(DataFrame.unionByName, parts).select("value")
 
 
 @query(f"WITH {_NANOS} SELECT CAST(user_id % 3 AS INT) AS backend, CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (WHERE event_type = 'error') AS BIGINT) AS errors FROM latency GROUP BY 1")
@@ -579,10 +629,39 @@ def q_rate_window(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.windowed_rate(table(spark, sf, "events"), "ts", "1 hour", "10 minutes")
 
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) / count(*) AS repair_rate FROM events WHERE ts IS NOT NULL GROUP BY 1")
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) / count(*) AS ratio FROM events WHERE ts IS NOT NULL GROUP BY 1")
 def q_repair_rate(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.window("ts", "1 day")["start"].alias("start")
-    return table(spark, sf, "events").where("ts IS NOT NULL").groupBy(w).agg((F.count_if(F.col("event_type") == "error") / F.count("*")).alias("repair_rate"))
+    return scoring.windowed_ratio(table(spark, sf, "events").where("ts IS NOT NULL"), "ts", F.col("event_type") == "error", "1 day")
+
+
+_QUANTILE = """, cumulated AS (SELECT *, CAST(sum(n) OVER w AS DOUBLE) AS upto, CAST(sum(n) OVER (PARTITION BY start) AS DOUBLE) AS total FROM windowed WINDOW w AS (PARTITION BY start ORDER BY bucket)),
+asked AS (SELECT *, q * total AS rank FROM cumulated, (VALUES (0.5::DOUBLE), (0.99::DOUBLE)) qs(q)),
+hit AS (SELECT start, q, min(bucket) AS bucket FROM asked WHERE upto >= rank GROUP BY ALL)
+SELECT start, q, round(CASE WHEN bucket = 599 THEN 0.599 ELSE bucket / 1000.0::DOUBLE + 0.001::DOUBLE * (rank - (upto - n)) / n END, 9) AS value_ms FROM hit JOIN asked USING (start, q, bucket)"""
+_WINDOWED = f"WITH {_NANOS}, windowed AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, CAST(least(599, floor(ns / 1000)) AS INT) AS bucket, CAST(count(*) AS BIGINT) AS n FROM latency WHERE ts IS NOT NULL GROUP BY ALL)"
+
+
+@query(_WINDOWED + _QUANTILE)
+def q_quantile_window(spark: SparkSession, sf: str) -> DataFrame:
+    found = scoring.windowed_quantiles(_latency(spark, sf).where("ts IS NOT NULL"), "ts", "ns", "1 day", qs=(0.5, 0.99))
+    return found.select("start", "q", F.round("value_ms", 9).alias("value_ms"))
+
+
+@query(_WINDOWED + _QUANTILE)
+def q_stream_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a stream with a watermark: a last event a year later closes every window before it."""
+    rows = _latency(spark, sf).where("ts IS NOT NULL").select(F.col("ts").cast("timestamp").alias("ts"), "ns")
+    folder, out = shared_path(spark, "latencies"), shared_path(spark, "quantiles")
+    late = rows.agg((F.max("ts") + F.expr("INTERVAL 1 YEAR")).alias("ts"), F.lit(0).cast("long").alias("ns"))
+    rows.write.parquet(f"{folder}/a")
+    late.write.parquet(f"{folder}/b")
+    end = late.first()["ts"]
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/*")
+    found = scoring.windowed_quantiles(stream, "ts", "ns", "1 day", late="1 day", qs=(0.5, 0.99))
+    running = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "stream")).outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    kept = spark.read.schema(found.schema).parquet(out).where(F.col("start") < F.lit(end) - F.expr("INTERVAL 2 DAYS"))
+    return kept.select(F.col("start").cast("timestamp_ntz").alias("start"), "q", F.round("value_ms", 9).alias("value_ms"))
 
 
 @query(f"WITH {_NANOS} SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, CAST(least(599, floor(ns / 1000)) AS INT) AS bucket, CAST(count(*) AS BIGINT) AS n FROM latency WHERE ts IS NOT NULL GROUP BY ALL")
@@ -590,39 +669,58 @@ def q_windowed_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.windowed_histogram(_latency(spark, sf).where("ts IS NOT NULL"), "ts", "ns", "1 day")
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A folder that all machines see, named by spark.checkpoint.dir; a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query()
 def q_kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
     c, n = kmeans.fit(t.points(spark, sf), 16)
     return spark.createDataFrame([(i, n, x.tolist()) for i, x in enumerate(c)], "cluster_id int, iterations int, centroid array<double>")
 
 
-@query()
+_BALANCED = "WITH " + t.CTE_CLUSTERS + """, cap AS (SELECT greatest(3 * (count(*) // 16) + 1, count(*) // 16 + 10) AS most FROM points),
+firsts AS (SELECT a.ref_id, a.cluster_id AS c1, b.cluster_id AS c2 FROM near a LEFT JOIN near b ON b.ref_id = a.ref_id AND b.place = 2 WHERE a.place = 1),
+sizes AS (SELECT c1 AS c, count(*) AS size FROM firsts GROUP BY 1),
+leaving AS (SELECT ref_id, c2 FROM (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY ref_id) AS place FROM firsts), cap WHERE place > most AND c2 IS NOT NULL),
+moved AS (SELECT ref_id, l.c2 FROM (SELECT *, row_number() OVER (PARTITION BY c2 ORDER BY ref_id) AS turn FROM leaving) l LEFT JOIN sizes ON c = l.c2, cap WHERE turn <= most - coalesce(size, 0))
+SELECT CAST(coalesce(m.c2, f.c1) AS INT) AS cluster_id, CAST(count(*) AS BIGINT) AS cnt FROM firsts f LEFT JOIN moved m USING (ref_id) GROUP BY 1"""
+
+
+@query(_BALANCED)
 def q_balance(spark: SparkSession, sf: str) -> DataFrame:
     return index.assign(t.points(spark, sf), t.seeds(spark, sf), balance=True).groupBy("cluster_id").agg(F.count("*").alias("cnt"))
 
 
-@query()
-def q_index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Builds an index, writes it, reads it back and answers the queries from it."""
-    path = _shared(spark, "index")
+_EXACT = f"WITH {t.CTE_KNN} SELECT qid, CAST(sum(is_fraud) AS INT) AS fraud_count, CAST(sum(is_fraud) / 5.0 AS DOUBLE) AS fraud_score, sum(is_fraud) < 3 AS approved FROM knn GROUP BY qid"
+#: Every answer counts as ambiguous and is repaired, which makes it exact.
+REPAIR_ALL = SearchConfig(nprobe=2, repair_min=0, repair_max=5)
+
+
+def _fitted(spark: SparkSession, sf: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Builds an index with fitted centroids, writes it and reads it back."""
+    path = shared_path(spark, "index")
     index.build(t.points(spark, sf), path, 16, iterations=20)
     _, boxes, postings = readers.index(spark, path)
-    c = np.array([r["qc"] for r in boxes.orderBy("cluster_id").collect()], float)
+    return np.array([r["qc"] for r in boxes.orderBy("cluster_id").collect()], float), postings, boxes
+
+
+@query(_EXACT)
+def q_index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that was built, written and read back answers as the exact search does."""
     q = t.queries(spark, sf)
-    return search.answer(q, search.search(q, c, postings, boxes, PLAIN, t.DIMS, other_than_self=True))
+    return search.answer(q, search.search(q, *_fitted(spark, sf), REPAIR_ALL, other_than_self=True))
 
 
 @query()
+def q_fitted_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours of the exact search that the fitted index finds with FITTED, ambiguous answers repaired."""
+    q = t.queries(spark, sf)
+    got = search.search(q, *_fitted(spark, sf), FITTED, other_than_self=True).select("qid", "ref_id", F.lit(1).alias("hit"))
+    return _knn(spark, sf).join(got, ["qid", "ref_id"], "left").agg(F.count("*").alias("n"), F.count("hit").alias("found"))
+
+
+@query(f"WITH {t.CTE_KNN} SELECT qid, CAST(sum(is_fraud) AS INT) AS fraud_count, true AS repaired FROM knn GROUP BY qid")
 def q_repair_stepwise(spark: SparkSession, sf: str) -> DataFrame:
+    """The low-latency rule where nothing ends it but the bound: exact counts."""
     q = t.queries(spark, sf)
-    c, rows, boxes = t.indexed(spark, sf)
-    return search.search_stepwise(q, c, rows, boxes, SearchConfig(nprobe=2, repair_min=1, repair_max=4))
+    return search.search_stepwise(q, *t.indexed(spark, sf), REPAIR_ALL, other_than_self=True)
 
 
 @query()
@@ -636,15 +734,15 @@ def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.col("event_type").alias("id"), F.lit("5411").alias("mcc"), F.lit(60.0).alias("avg_amount")).alias("merchant"),
         F.struct((F.col("event_type") != "signup").alias("is_online"), F.lit(False).alias("card_present"), k.cast("double").alias("km_from_home")).alias("terminal"),
     )
-    folder, out = _shared(spark, "requests"), _shared(spark, "scores")
+    folder, out = shared_path(spark, "requests"), shared_path(spark, "scores")
     table(spark, sf, "events").select(body.alias("b")).select("b.*").write.json(folder)
     refs = event_vectors(spark, sf).select(F.col("event_id").alias("ref_id"), "v", (F.col("value") > 50).cast("int").alias("is_fraud"))
-    c, at = kmeans.seeds(refs, 64), _shared(spark, "index")
+    c, at = kmeans.seeds(refs, 64), shared_path(spark, "index")
     postings = index.assign(refs, c)
     sinks.write_index(at, {"k": len(c), "dims": 14}, index.boxes(postings, c, 14), postings)
     _, boxes, postings = readers.index(spark, at)
     work = lambda df: scoring.score(df, c, postings, boxes, SearchConfig(nprobe=1))
-    stream = scoring.start(scoring.read_requests(spark, folder), work, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), _shared(spark, "stream"))
+    stream = scoring.start(scoring.read_requests(spark, folder), work, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), shared_path(spark, "stream"))
     stream.awaitTermination()
     if stream.exception():
         raise stream.exception()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.features import quantise
 from ..operators import index, kmeans
 from ..sources.readers import table
+from ..storage import written
 
 DIMS = 64
 SEEDS = 16
@@ -41,23 +42,42 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, DataFrame, DataFrame]:
-    """(seeds, postings, boxes), assigned once for all uses within a query; what is lost with an executor is redone."""
+    """(seeds, postings, boxes), assigned once for all uses within a query and kept in the shared folder."""
     c = seeds(spark, sf_dir)
-    rows = index.assign(points(spark, sf_dir), c).persist()
-    return c, rows, index.boxes(rows, c, DIMS).persist()
+    rows = written(index.assign(points(spark, sf_dir), c), "postings")
+    return c, rows, written(index.boxes(rows, c, DIMS), "boxes")
+
+
+DAY = 86_400_000_000
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with what a request brings along: the customer's count of 24 hours, the last time, the average so far."""
-    by = W.partitionBy("user_id").orderBy("ts", "event_id")
-    day = W.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-86_400_000_000, 0)
-    before = by.rowsBetween(W.unboundedPreceding, -1)
+    """Events with what a request brings along: the customer's count of 24 hours, the last time, the average so far.
+
+    Customers are dealt by days, so that one with many events doesn't fall to one task: a day's group has its events and
+    those of the day before, and what was earlier comes as totals from a table with a row for each customer and day.
+    """
+    e = table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     # sums of whole cents: their order doesn't matter
     cents = F.round(F.col("value") * 100, 0).cast("long")
-    return table(spark, sf_dir, "events").select(
-        "*", F.count("*").over(day).alias("tx_24h"), F.lag("ts").over(by).alias("last_ts"),
-        (F.sum(cents).over(before) / F.count("*").over(before) / 100).alias("avg_before"),
+    rows = e.select("*", micros.alias("_at"), cents.alias("_cents"), F.floor(micros / DAY).alias("_day"))
+    days = rows.groupBy("user_id", "_day").agg(F.sum("_cents").alias("_c"), F.count("_cents").alias("_k"), F.count("*").alias("_n"), F.max("ts").alias("_t"))
+    earlier = W.partitionBy("user_id").orderBy("_day").rangeBetween(W.unboundedPreceding, -2)
+    past = [f.over(earlier).alias(f"_{name}0") for name, f in (("c", F.sum("_c")), ("n", F.sum("_n")), ("t", F.max("_t")))]
+    days = days.select(F.col("user_id").alias("_user"), F.col("_day").alias("_slot"), *past)
+    both = rows.select("*", F.explode(F.array(F.col("_day"), F.col("_day") + 1)).alias("_slot"))
+    both = both.join(days, F.col("user_id").eqNullSafe(F.col("_user")) & (both["_slot"] == days["_slot"])).drop("_user", days["_slot"])
+    by = W.partitionBy("user_id", "_slot").orderBy("ts", "event_id")
+    day = W.partitionBy("user_id", "_slot").orderBy("_at").rangeBetween(-DAY, 0)
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    n = zero(F.count("*").over(before)) + zero(F.col("_n0"))
+    sum_ = F.when(F.sum("_cents").over(before).isNull() & F.col("_c0").isNull(), F.lit(None)).otherwise(zero(F.sum("_cents").over(before)) + zero(F.col("_c0")))
+    out = both.select(
+        "*", F.count("*").over(day).alias("tx_24h"), F.coalesce(F.lag("ts").over(by), F.col("_t0")).alias("last_ts"), F.try_divide(sum_, n).alias("_avg"),
     )
+    return out.where(F.col("_slot") == F.col("_day")).select(*e.columns, "tx_24h", "last_ts", (F.col("_avg") / 100).alias("avg_before"))
 
 
 # The same in SQL.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -14,7 +14,8 @@ from ..config import NormConfig, SearchConfig
 from ..functions.features import vectorise
 from ..functions.rules import response
 from ..operators import metrics, search
-from ..sources.readers import split_valid
+from ..sources.readers import parse_transactions, split_valid
+from ..storage import scope
 
 
 def read_requests(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -27,19 +28,36 @@ def score(requests: DataFrame, centroids: np.ndarray, postings: DataFrame, boxes
     good, bad = split_valid(requests)
     rows = vectorise(good, norm).select("id", F.xxhash64("id").alias("qid"), "v")
     queries = rows.select("qid", "v").dropDuplicates(["qid"])
-    got = search.answer(queries, search.search(queries, centroids, postings, boxes, config, schema.DIMS, border=True))
+    got = search.answer(queries, search.search(queries, centroids, postings, boxes, config, border=True))
     scored = rows.join(got, "qid").select("id", "fraud_count", "fraud_score", "approved", response(F.col("fraud_count")).alias("body"))
     return scored.unionByName(bad.select("id"), allowMissingColumns=True)
 
 
-def start(requests: DataFrame, work: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Runs work on each micro-batch: the search ranks within a query, which streams allow only inside a batch."""
-    return (
-        requests.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(lambda df, n: sink(work(df), n))
-        .start()
-    )
+def route(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of method and body: those to be scored, parsed (any method that starts with P, whatever the path), and the
+    responses (body `OK`) of all others."""
+    scored = F.coalesce(F.col("method").startswith("P"), F.lit(False))
+    return parse_transactions(requests.where(scored)), requests.where(~scored).select("method", F.lit("OK").alias("body"))
+
+
+def start(requests: DataFrame, work: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, *, every: str | None = None) -> StreamingQuery:
+    """Runs work on each micro-batch: the search ranks within a query, which streams allow only inside a batch.
+
+    every: an interval, such as "1 second", at which new requests are looked for; without it what is there is worked
+    through and the stream ends. What work keeps in the shared folder is dropped after the sink has stored the batch.
+    """
+
+    def batch(df: DataFrame, n: int) -> None:
+        with scope(df.sparkSession):
+            sink(work(df), n)
+
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return requests.writeStream.option("checkpointLocation", checkpoint).trigger(**trigger).foreachBatch(batch).start()
+
+
+def ramp(spark: SparkSession, peak: int = 900, seconds: int = 120) -> DataFrame:
+    """timestamp, value: a load that rises from nothing to `peak` rows a second, for soak tests."""
+    return spark.readStream.format("rate").option("rowsPerSecond", peak).option("rampUpTime", f"{seconds}s").load()
 
 
 def windowed_rate(rows: DataFrame, ts: str, length: str, slide: str, late: str | None = None) -> DataFrame:
@@ -50,6 +68,37 @@ def windowed_rate(rows: DataFrame, ts: str, length: str, slide: str, late: str |
     return w.select(F.col("w.start").alias("start"), "n", (F.col("n") / seconds).alias("per_second"))
 
 
-def windowed_histogram(rows: DataFrame, ts: str, nanos: str, length: str) -> DataFrame:
+def windowed_ratio(rows: DataFrame, ts: str, condition: Column, length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
+    """start, ratio: the rate of rows that meet the condition over the rate of all rows."""
+    src = rows.withWatermark(ts, late) if late else rows
+    w = src.groupBy(F.window(ts, length, slide).alias("w")).agg((F.count_if(condition) / F.count("*")).alias("ratio"))
+    return w.select(F.col("w.start").alias("start"), "ratio")
+
+
+def windowed_histogram(rows: DataFrame, ts: str, nanos: str, length: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """start, bucket, n: what quantiles over time are made of."""
-    return rows.groupBy(F.window(ts, length)["start"].alias("start"), metrics.bucket_of(F.col(nanos)).alias("bucket")).agg(F.count("*").alias("n"))
+    return _histogram(rows, ts, nanos, length, slide, late).select(F.col("w.start").alias("start"), "bucket", "n")
+
+
+def _histogram(rows: DataFrame, ts: str, nanos: str, length: str, slide: str | None, late: str | None) -> DataFrame:
+    src = rows.withWatermark(ts, late) if late else rows
+    return src.groupBy(F.window(ts, length, slide).alias("w"), metrics.bucket_of(F.col(nanos)).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def windowed_quantiles(rows: DataFrame, ts: str, nanos: str, length: str, slide: str | None = None, late: str | None = None, qs: tuple[float, ...] = (0.5, 0.99, 0.999)) -> DataFrame:
+    """start, q, value_ms: quantiles of the windows' histograms, linear within a bucket; the last bucket, which has no
+    upper end, gives its lower end. With `late` also on streams, in append mode: a window comes out once the watermark
+    has passed it. State is a row for each open window and bucket."""
+    per = _histogram(rows, ts, nanos, length, slide, late).groupBy("w").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("h"))
+    total = F.aggregate("h", F.lit(0).cast("bigint"), lambda s, x: s + x["n"])
+
+    def value(q: float) -> Column:
+        rank = F.lit(q) * F.col("total")
+        start = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("double").alias("value"))
+        inside = lambda s, x: x["bucket"] / 1000 + (rank - s["upto"]) / x["n"] / 1000
+        here = lambda s, x: F.when(x["bucket"] == metrics.BUCKETS - 1, F.lit((metrics.BUCKETS - 1) / 1000)).otherwise(inside(s, x))
+        step = lambda s, x: F.struct((s["upto"] + x["n"]).alias("upto"), F.when(s["value"].isNull() & (s["upto"] + x["n"] >= rank), here(s, x)).otherwise(s["value"]).alias("value"))
+        return F.aggregate("h", start, step, lambda s: s["value"])
+
+    each = F.array(*[F.struct(F.lit(q).alias("q"), value(q).alias("value_ms")) for q in qs])
+    return per.withColumn("total", total.cast("double")).select(F.col("w.start").alias("start"), F.explode(each).alias("x")).select("start", "x.q", "x.value_ms")
