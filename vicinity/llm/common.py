@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import drop, scope, shared_path, written
+
+__all__ = ["NOT_WORD", "WORD_SPACE", "drop", "lower_ascii", "scope", "shared_path", "table", "words_of", "written"]
+
 #: White space that separates words: space and the five controls 0x09-0x0D.
 WORD_SPACE = "\x20\x09-\x0d"
 NOT_WORD = re.compile(f"[{WORD_SPACE}]+")
@@ -35,26 +37,3 @@ _ODD_ASCII = re.compile("[\x1c-\x1f]")
 def lower_ascii(text: str) -> str:
     """Lower-cases A-Z and nothing else."""
     return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all machines of the session share.
-
-    The cluster names it in spark.checkpoint.dir; only where nothing is set (tests on one machine)
-    a temporary folder is made and set for the session.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='vicinity-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and lost executors cost no rework."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
