@@ -86,3 +86,61 @@ class SearchConfig:
     def from_env(cls, env: dict[str, str], prefix: str = "API_") -> SearchConfig:
         names = {"nprobe": "NPROBE", "nprobe_border": "NPROBE_BORDER", "repair_min": "REPAIR_MIN", "repair_max": "REPAIR_MAX"}
         return cls(**{k: int(env[prefix + v]) for k, v in names.items() if prefix + v in env})
+
+
+def _required(env: dict[str, str], *names: str) -> list[str]:
+    missing = [n for n in names if not env.get(n)]
+    if missing:
+        raise ValueError(f"these must be set: {', '.join(missing)}")
+    return [env[n] for n in names]
+
+
+@dataclass(frozen=True)
+class ServiceConfig:
+    """A scoring service: paths, search, and how it polls. Where it takes requests from (control), the references, the
+    normalisation and the category risks must be given."""
+
+    control: str
+    references: str
+    normalization: str
+    mcc_risk: str
+    search: SearchConfig = field(default_factory=SearchConfig)
+    metrics_port: int = 0
+    warmup_ms: int = 0
+    busy_poll_us: int = 0
+    busy_poll_budget: int = 0
+    prefer_busy_poll: int = 0
+    poll_timeout_ms: int = 1
+
+    @classmethod
+    def from_env(cls, env: dict[str, str], prefix: str = "API_") -> ServiceConfig:
+        paths = _required(env, *(prefix + n for n in ("CTRL", "REFERENCES", "NORMALIZATION", "MCC_RISK")))
+        names = {
+            "metrics_port": "METRICS_PORT", "warmup_ms": "WARMUP_MS", "busy_poll_us": "BUSY_POLL_US", "busy_poll_budget": "BUSY_POLL_BUDGET",
+            "prefer_busy_poll": "PREFER_BUSY_POLL", "poll_timeout_ms": "EPOLL_TIMEOUT_MS",
+        }
+        return cls(*paths, search=SearchConfig.from_env(env, prefix), **{k: int(env[prefix + v]) for k, v in names.items() if prefix + v in env})
+
+    def norm(self) -> NormConfig:
+        return NormConfig.load(self.normalization, self.mcc_risk)
+
+    @property
+    def trigger(self) -> str:
+        """The interval of a stream that stands for the poll's timeout."""
+        return f"{max(1, self.poll_timeout_ms)} milliseconds"
+
+
+@dataclass(frozen=True)
+class BalancerConfig:
+    """A balancer: its port and the backends, which must be given."""
+
+    backends: tuple[str, ...]
+    port: int = 9999
+    metrics_port: int = 0
+
+    @classmethod
+    def from_env(cls, env: dict[str, str], prefix: str = "LB_") -> BalancerConfig:
+        backends = tuple(x for x in _required(env, prefix + "BACKENDS")[0].split(",") if x)
+        if not backends:
+            raise ValueError(f"{prefix}BACKENDS names no backend")
+        return cls(backends, int(env.get(prefix + "PORT", 9999)), int(env.get(prefix + "METRICS_PORT", 0)))

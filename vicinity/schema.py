@@ -20,5 +20,6 @@ EVALUATION = (
     + re.sub(r"(?m)^(\w+) ", r"\1: ", TRANSACTION).strip()
     + ">, expected_approved: BOOLEAN>>"
 )
+STATS = "stats STRUCT<total: BIGINT, fraud_count: BIGINT, legit_count: BIGINT, fraud_rate: DOUBLE, legit_rate: DOUBLE, edge_case_count: BIGINT, edge_case_rate: DOUBLE>"
 POSTINGS = "cluster_id INT, ref_id BIGINT, v ARRAY<INT>, is_fraud INT, dist_centroid DOUBLE"
 CENTROIDS = "cluster_id INT, qc ARRAY<INT>, mn ARRAY<INT>, mx ARRAY<INT>, cnt BIGINT"

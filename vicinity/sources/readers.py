@@ -49,6 +49,11 @@ def evaluation(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("e.request.*", "e.expected_approved")
 
 
+def evaluation_stats(spark: SparkSession, path: str) -> DataFrame:
+    """What an evaluation file says about itself: total, counts and rates of frauds, legitimate rows and edge cases."""
+    return spark.read.schema(schema.STATS).option("multiLine", True).json(path).where("stats IS NOT NULL").select("stats.*")
+
+
 def index(spark: SparkSession, path: str) -> tuple[dict, DataFrame, DataFrame]:
     """(meta, centroids, postings) of an index folder, after checking what it says about itself."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
