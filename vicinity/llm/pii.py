@@ -11,6 +11,7 @@ columns are ignored; matching is linear in the text's length.
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -108,13 +109,15 @@ _RUN = re.compile(
 _TWO = re.compile(
     rf"(?i)(?<![^\W_])(?=[{''.join(sorted({w[0] for w in _SPELLED}))}])(?:{_NUMBER})[\s,-]+(?:{_NUMBER}|dot|point|punkt|punto|dash|hyphen|[0-9])"
 )
-_AT = re.compile(r"(?i)\s*(?:[\[({<]\s*(?:at|@|arroba)\s*[\])}>]|(?<![^\W_])(?:_at_|-at-))\s*")
-_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*")
+_AT = re.compile(r"(?i)[\[({<]\s*+(?:at|@|arroba)\s*+[\])}>]|(?<![^\W_])(?:_at_|-at-)")
+_DOT = re.compile(r"(?i)[\[({<]\s*+(?:dot|\.|punkt|point|punto)\s*+[\])}>]")
 # The last part of a spelled-out domain.
 _ENDS = "com|org|net|edu|gov|info|biz|io|co|eu|de|fr|es|uk|us|ch|at|it|nl|ca|au|in|br|mx|ru|cn|jp|dev|app|example|test"
-#: Plain " at " counts only where the domain is spelled out too.
-_PLAIN = re.compile(r"(?i)(?<![^\W_])[a-z0-9._%+-]+(?: dot [a-z0-9_%+-]+)* at [a-z0-9-]+(?:(?: dot |\.)[a-z0-9-]+)* dot (?:" + _ENDS + r")(?![^\W_])|(?<=@)[a-z0-9-]+(?: dot [a-z0-9-]+)* dot (?:" + _ENDS + r")(?![^\W_])")
-#: What every match of _AT, _DOT and _PLAIN holds.
+#: Plain " at " counts only where a name stands before it and the domain after it is spelled out too.
+_PLAIN_AT = re.compile(r"(?i)(?<=[a-z0-9._%+-]) at (?=[a-z0-9-])")
+_DOMAIN_WORDS = re.compile(r"(?i)[a-z0-9-]++(?:(?: dot |\.)[a-z0-9-]++)* dot (?:" + _ENDS + r")(?![^\W_])")
+_AFTER_SIGN = re.compile(r"(?i)(?<=@)[a-z0-9-]++(?: dot [a-z0-9-]++)* dot (?:" + _ENDS + r")(?![^\W_])")
+#: What every text holds in which _AT, _DOT or words for a domain match.
 _HINT = re.compile(r"(?i)[\[({<]\s*(?:at|@|arroba|dot|\.|punkt|point|punto)\s*[\])}>]|[_-]at[_-]| dot ")
 _PLAIN_WORD = re.compile(r"(?i) (at|dot) ")
 
@@ -146,6 +149,47 @@ def normalise(text: str) -> Copy | None:
     return _rewritten(text, odd)
 
 
+def _with_blanks(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Matches with the white space around them; each blank is looked at twice at most."""
+    last = 0
+    for m in pattern.finditer(text):
+        a, b = m.span()
+        while a > last and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        yield a, b
+        last = b
+
+
+def _before(text: str, end: int, least: int) -> int:
+    """Where a name that ends there starts: a run of its characters, and others that " dot " joins to it."""
+    at = end
+    while True:
+        while at > least and text[at - 1] in _LOCAL:
+            at -= 1
+        # what " dot " joins on has no dots of its own but in the first run
+        if at - 5 <= least or text[at - 5 : at].lower() != " dot " or text[at - 6] not in _LOCAL or "." in text[at:end]:
+            return at
+        end = at = at - 5
+
+
+def _spelled_signs(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, sign) of the words " at " and " dot " in addresses whose domain is spelled out, ascending."""
+    spans, last = [], 0
+    for m in _PLAIN_AT.finditer(text):
+        if m.start() < last:
+            continue
+        domain = _DOMAIN_WORDS.match(text, m.end())
+        start = _before(text, m.start(), last) if domain else 0
+        if domain and (start == 0 or start == last or not text[start - 1].isalnum()):
+            spans.append((start, domain.end()))
+            last = domain.end()
+    spans += [m.span() for m in _AFTER_SIGN.finditer(text)]
+    words = {w.span(): "@" if w[1].lower() == "at" else "." for a, b in spans for w in _PLAIN_WORD.finditer(text, a, b)}
+    return [(a, b, words[a, b]) for a, b in sorted(words)]
+
+
 def _rewritten(text: str, odd: bool) -> Copy:
     c = Copy(text)
     if odd:
@@ -162,9 +206,8 @@ def _rewritten(text: str, odd: bool) -> Copy:
             edits.append((m.start(), m.end(), "".join(new), of))
     c.rewrite(edits)
     for pattern, sign in ((_AT, "@"), (_DOT, ".")):
-        c.rewrite([(m.start(), m.end(), sign, [m.span()]) for m in pattern.finditer(c.text)])
-    words = [w for m in _PLAIN.finditer(c.text) for w in _PLAIN_WORD.finditer(c.text, *m.span())]
-    c.rewrite([(w.start(), w.end(), "@" if w[1].lower() == "at" else ".", [w.span()]) for w in words])
+        c.rewrite([(a, b, sign, [(a, b)]) for a, b in _with_blanks(c.text, pattern)])
+    c.rewrite([(a, b, sign, [(a, b)]) for a, b, sign in _spelled_signs(c.text)])
     return c
 
 
@@ -176,9 +219,15 @@ def all_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, li
         return base, base
     every = {}
     for kind, spans in find(copy.text).items():
-        mapped = [(copy.lo[a], copy.hi[b - 1]) for a, b in spans]
-        mapped = [(a, b) for a, b in mapped if not any(a < y and x < b for x, y in base[kind])]
-        every[kind] = sorted({*base[kind], *mapped})
+        kept = base[kind]
+        ends = [b for _, b in kept]
+        mapped = set()
+        for a, b in spans:
+            x, y = copy.lo[a], copy.hi[b - 1]
+            k = bisect.bisect_right(ends, x)  # the first base span that ends behind x
+            if k == len(kept) or kept[k][0] >= y:
+                mapped.add((x, y))
+        every[kind] = sorted({*kept, *mapped})
     return base, every
 
 
