@@ -465,12 +465,37 @@ def test_va_file_reads_few_vectors():
     v = np.floor(rng.normal(0, 40, (4000, 32))).astype(np.int64)
     lo, width = v.min(0), v.max(0) - v.min(0) + 1
     edges = np.array([[a + -(-c * w // va_file.CELLS) for c in range(va_file.CELLS + 1)] for a, w in zip(lo.tolist(), width.tolist(), strict=True)], object)
-    cells = np.stack([np.clip(np.searchsorted(edges[p].astype(float)[1:], v[:, p], "right"), 0, va_file.CELLS - 1) for p in range(32)], axis=1).astype(np.uint8)
-    s = va_file.Search(np.arange(20), v[:20], edges, 5)
-    s.block(np.arange(4000), cells, v)
-    assert s.read < 20 * 400
-    for i in range(20):
-        assert s.best[i] == sorted((-int(v[i] @ v[j]), j) for j in range(4000) if j != i)[:5]
+    cells = va_file.cells_of(v, edges.astype(float))
+    s = va_file.Scan(np.arange(20), v[:20], edges, 5)
+    for at in range(0, 4000, 500):
+        s.block(np.arange(at, at + 500), np.arange(at, at + 500), cells[at : at + 500])
+    i, row, id_, lower, upper = s.candidates()
+    assert len(i) < 20 * 400
+    exact = (v[:20] @ v.T)[i, row]
+    assert (lower <= exact).all() and (exact <= upper).all() and (row == id_).all()
+    for q in range(20):
+        best = sorted((-int(v[q] @ v[j]), j) for j in range(4000) if j != q)[:5]
+        assert {j for _, j in best} <= set(row[i == q].tolist())
+
+
+def test_va_file_common_vectors(spark, monkeypatch):
+    """A vector that most rows have, ids that repeat, ties, and many rounds of reading."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(0, 0.2, (200, 8)).round(3).tolist()
+    rows = [(i, v[0] if i % 3 else v[i % 200]) for i in range(400)] + [(5, v[0])] * 9 + [(50, v[0])] * 8 + [(100, v[3]), (7, v[3])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4)
+    good = [(i, tuple(math.floor(256 * x) for x in e)) for i, e in rows]
+    want = []
+    for q, a in good:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in good if i != q)[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for first in (1, 32):
+        monkeypatch.setattr(va_file, "FIRST", first)
+        got = [tuple(r) for r in va_file.top_k(df, F.col("id") % 50 == 0).collect()]
+        assert sorted(got) == sorted(want)
+    rows = va_file.integers(df, 256.0, "embedding", "vec_id")
+    assert va_file.stored(rows, 5).where(F.col("v") == F.array(*[F.lit(int(x)).cast("bigint") for x in good[1][1]])).count() <= 5 * 6
 
 
 # --- 10

@@ -7,7 +7,8 @@ repeats. (Tasks do so for their own texts before anything is sent, so a passage
 Runs that share the smallest hash but differ, or that repeat themselves, are settled by their bytes: their windows are
 put in suffix order by linear grouping (suffix_array), equal windows then stand together, and all but the first are
 repeats. Windows whose first and last GRAM bytes have no equal in the group are left out before. A group of more than
-GROUP runs is dealt anew by the hash of each window, so no task holds an unbounded group.
+GROUP runs is dealt anew by the hash of each window; a task sends the first of equal windows alone, the others being
+repeats of it already, so the group of one window has a row for each task that met it.
 
 Order is doc_id, then the text's hash, then position. Defined cases: a null or empty text has no bytes; texts shorter
 than LENGTH lose nothing; rows with the same doc_id and text are one document and don't remove each other; null doc_ids
@@ -30,7 +31,9 @@ from .suffix_array import suffix_array
 
 LENGTH = 100
 GRAM = 32
-GROUP = 4000
+GROUP = 1000
+#: Windows that a task holds to find equal ones among them.
+HELD = 200_000
 #: Bytes of text that a task cuts up at a time.
 CHUNK = 16 << 20
 _WIDTH = LENGTH - GRAM + 1
@@ -224,26 +227,45 @@ def settle(dealt: DataFrame, shards: int, group: int) -> DataFrame:
 
 
 def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """fp, part, doc_id, th, first, bytes of the runs that are asked for; windows one by one where a group has parts."""
+    """fp, part, doc_id, th, first, bytes of the runs that are asked for; windows one by one where a group has parts. Rows
+    without bytes are windows that are known to repeat an earlier one."""
     lists = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("fp", "parts", "first", "last")).alias("asked"))
     both = docs.select(F.coalesce("doc_id", F.lit(_NULL)).alias("doc_id"), "th", F.col("text").cast("binary").alias("text")).join(lists, ["doc_id", "th"])
     names, kinds = ["fp", "part", "doc_id", "th", "first", "bytes"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[int, int, bytes], tuple[int, int, int]] = {}
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
+
+        def one_by_one(fp: int, parts: int, doc: int, th: int, first: int, last: int, text: bytes) -> Iterator[tuple]:
+            for s in range(first, last + 1):
+                key, place = (fp, parts, text[s : s + LENGTH]), (doc, th, s)
+                old = least.setdefault(key, place)
+                if old != place:
+                    least[key], later = min(old, place), max(old, place)
+                    yield (hash(later), -1, *later, None)
+
+        def sent() -> pa.RecordBatch:
+            out = [(fp, int.from_bytes(hashlib.blake2b(w, digest_size=6).digest()) % parts, *place, w) for (fp, parts, w), place in least.items()]
+            least.clear()
+            return batch_of(out)
+
         for whole in it:
             for at in range(0, whole.num_rows, 200):
                 out: list[tuple] = []
                 for row in whole.slice(at, 200).to_pylist():
                     doc, th, text = row["doc_id"], row["th"], row["text"]
-                    for a in {(x["fp"], x["parts"], x["first"], x["last"]) for x in row["asked"]}:
-                        fp, parts, first, last = a
+                    for fp, parts, first, last in {(x["fp"], x["parts"], x["first"], x["last"]) for x in row["asked"]}:
                         if parts == 1:
                             out.append((fp, 0, doc, th, first, text[first : last + LENGTH]))
                         else:
-                            for s in range(first, last + 1):
-                                w = text[s : s + LENGTH]
-                                out.append((fp, int.from_bytes(hashlib.blake2b(w, digest_size=6).digest()) % parts, doc, th, s, w))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
+                            out += one_by_one(fp, parts, doc, th, first, last, text)
+                yield batch_of(out)
+                if len(least) >= HELD:
+                    yield sent()
+        yield sent()
 
     return both.mapInArrow(run, "fp bigint, part int, doc_id bigint, th bigint, first bigint, bytes binary").dropDuplicates(["fp", "part", "doc_id", "th", "first"])
 
@@ -319,6 +341,9 @@ def compare(found: DataFrame, partitions: int) -> DataFrame:
         for batch in it:
             out: list[tuple] = []
             for fp, part, doc, th, first, raw in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if raw is None:
+                    out.append((doc, th, first, first + LENGTH))
+                    continue
                 if (fp, part) != key:
                     if held:
                         close(out)
