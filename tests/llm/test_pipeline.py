@@ -41,6 +41,29 @@ def test_stages(spark):
     assert len(five) == four.count() and all(r["n_tokens"] == len(r["token_ids"]) for r in five)
 
 
+def test_rows_that_share_a_number(spark):
+    """Equal rows are one; another text of the same number is judged as any other."""
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, a), (1, b), (2, b + " end"), (3, c), (4, a + " x"), (4, c + " y"), (None, a), (None, a), (5, None), (6, ""), (6, None), (0, c + " z")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "z") for i, t in rows], SCHEMA)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(1, a), (1, b), (0, c + " z"), (None, a), (None, a), (5, None)], key=repr)
+
+
+def test_run_over_a_folder(spark, tmp_path):
+    """The whole pipeline, its parts in the shared folder gone but for the last table that it reads."""
+    from vicinity import storage
+
+    spark.createDataFrame(table(), SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    before = len(storage._paths)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    rows = got.collect()
+    assert rows and {r["doc_id"] for r in rows} <= {r[0] for r in table()} - {101, 102, 110, 111, 112}
+    assert [p.split("/")[-1].split("-")[1] for p in storage._paths[before:] if "stage-" in p] == ["mixture"]
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, f in corpus_pipeline.STAGES:

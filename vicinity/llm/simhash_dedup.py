@@ -39,6 +39,8 @@ from .components import stars
 from .shingle_sets import alike, number_of, shards_of, shingle_set
 
 SHARD = 20_000
+#: Rows of 8 bytes that may be sent to every task.
+SENT = 1_000_000
 _LANES = np.random.default_rng(64).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -223,6 +225,13 @@ def radius_of(similarity: float, bits: int, deviations: float = 3.0) -> int:
     return math.floor(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
+def small(numbers: DataFrame) -> DataFrame:
+    """A table of one number a row, to be sent to all tasks while it has at most SENT rows, by a count; else joined as
+    any other."""
+    kept = written(numbers, "numbers")
+    return F.broadcast(kept) if kept.count() <= SENT else kept
+
+
 def sharded(dealt: DataFrame, shard: int) -> DataFrame:
     """shard, pair and fingerprint of (shard, fingerprint), dealt to partitions and sorted: all of a shard together, or
     of one above `shard` fingerprints its parts, each pair of them together."""
@@ -292,9 +301,10 @@ def components(prints: DataFrame, radius: int, bits: int, *, shard: int = SHARD)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits: int = 512, text: str = "text", key: str = "doc_id", shard: int = SHARD) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id that links reach) for every row.
+    """doc_id, print (equal for rows with equal sets of shingles, which are one text), component_id (the smallest doc_id
+    that links reach) and first (whether the row's text is its component's first, by doc_id and print) for every row.
 
-    Rows with equal sets of shingles are one text. Fingerprints count each distinct shingle once.
+    Fingerprints count each distinct shingle once.
     """
     radius, width = radius_of(similarity, bits), bits // 8
 
@@ -310,13 +320,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = written(rows.mapInArrow(sign, "doc_id bigint, print bigint, fingerprint binary, shards array<bigint>"), "prints")
-    distinct = written(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct-texts")
-    once = prints.select("print", "fingerprint", "shards").dropDuplicates(["print"])
-    # a shard of one text has no edge; what is left are texts that share one with another
-    dealt = written(once.select(F.explode("shards").alias("shard"), "print"), "dealt")
-    shared = dealt.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
-    dealt = written(dealt.join(shared, "shard", "left_semi"), "shared")
-    wanted = written(dealt.select("print").distinct(), "wanted")
+    distinct = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    # A shard of one text has no edge. Sums are taken before anything is sent, so copies cost a row for each task.
+    dealt = prints.select(F.explode("shards").alias("shard"), "print")
+    ends = dealt.groupBy("shard").agg(F.min("print").alias("a"), F.max("print").alias("b"), F.count("*").alias("n")).where("a <> b")
+    ends = written(ends, "shared-shards")
+    two = ends.where("n = 2").select("shard", F.explode(F.array("a", "b")).alias("print"))
+    more = small(ends.where("n > 2").select("shard"))
+    members = written(two.unionByName(dealt.join(more, "shard", "left_semi").distinct()), "shard-members")
+    wanted = small(members.select("print").distinct())
     named = written(prints.select("print", "fingerprint").join(wanted, "print", "left_semi").dropDuplicates(["print"]), "named")
 
     def search(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +345,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
             if last[1]:
                 yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in last[1]], pa.int64()) for f in (min, max)], names=["a", "b"])
 
-    trees = sharded(dealt.join(named, "print").select("shard", "fingerprint"), shard)
+    trees = sharded(members.join(named, "print").select("shard", "fingerprint"), shard)
     pairs = written(trees.mapInArrow(search, "a bigint, b bigint").distinct(), "pairs")
 
     def measure(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,15 +360,33 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct(), "asked")
-    # one row of each text that is compared, by the doc_ids that have it
-    ids = prints.join(asked, "print", "left_semi").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.count_if(F.col("doc_id").isNull()).alias("none"))
-    some = rows.join(ids.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
-    some = some.unionByName(rows.where("doc_id IS NULL")) if ids.where("doc_id IS NULL").limit(1).count() else some
-    sets = some.select("text").mapInArrow(measure, "print bigint, hashes binary").join(asked, "print", "left_semi")
+    # one row of each text that is compared, by a doc_id that has it; rows without one are looked through
+    ids = written(prints.join(small(asked), "print", "left_semi").groupBy("print").agg(F.min("doc_id").alias("doc_id")), "compared")
+    some = rows.join(small(ids.where("doc_id IS NOT NULL").select("doc_id").distinct()), "doc_id", "left_semi")
+    if ids.where("doc_id IS NULL").limit(1).count():
+        some = some.unionByName(rows.where("doc_id IS NULL"))
+    sets = some.select("text").mapInArrow(measure, "print bigint, hashes binary").join(small(asked), "print", "left_semi")
     sets = written(sets.dropDuplicates(["print"]), "shingle-sets")
     both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
     roots = stars(both.mapInArrow(compare, "a bigint, b bigint"))
     named = distinct.join(roots, F.col("print") == F.col("a"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = named.join(least, "root").select("print", "component_id")
-    return prints.select("doc_id", "print").join(labels, "print").select("doc_id", "component_id")
+    # a text's least doc_id and print, the least of its component first; null doc_ids last
+    order = F.struct(F.col("first").isNull(), "first", "print")
+    least = named.groupBy("root").agg(F.min(order).alias("m"))
+    labels = named.join(least, "root").select("print", F.col("m.first").alias("component_id"), (F.col("m.print") == F.col("print")).alias("_first"))
+    first = F.col("_first") & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return prints.select("doc_id", "print").join(labels, "print").select("doc_id", "print", "component_id", first.alias("first"))
+
+
+def numbered(docs: DataFrame, *, shingle: int = 5, text: str = "text") -> DataFrame:
+    """docs with `print`, as near_duplicates() gives it."""
+    schema = docs.withColumn("print", F.lit(0).cast("long")).schema
+
+    place = docs.columns.index(text)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [number_of(shingle_set(x, shingle)) for x in batch.column(place).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=[f.name for f in schema])
+
+    return docs.mapInArrow(run, schema)
