@@ -27,6 +27,7 @@ from vicinity.llm import (
     simhash_dedup,
     suffix_array,
     token_store,
+    topics,
     va_file,
 )
 from vicinity.llm.common import words_of
@@ -353,6 +354,56 @@ def test_mixing(spark, docs, empty, monkeypatch):
         assert abs(share["x"] - 0.8) < 0.05 and got["rate"].max() == 1.0
     monkeypatch.undo()
     assert mixing.weigh(docs).count() == docs.count() and mixing.weigh(empty).count() == 0
+    with pytest.raises(ValueError):
+        mixing.weigh(df, topic=F.lit("t"), targets={"lang": {"x": -1.0}})
+
+
+@pytest.mark.parametrize("cells", [mixing.CELLS, 0])
+def test_mixing_to_some_targets(spark, monkeypatch, cells):
+    """Named values, null among them, get their shares; the others share the rest by tempered shares of their own."""
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 5}" if i % 11 else None, ["x", "y", "z", None][i % 4] if i % 3 else "x") for i in range(3000)] + [(9000, None, "s0", "x"), (9001, "", None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    got = mixing.weigh(df, topic=F.lit("t"), targets={"source": {None: 0.3, "s0": 0.2}, "lang": {"y": 0.5, "gone": 0.1}}, rounds=60).toPandas()
+    assert len(got) == len(rows)
+    mass = got["n_tokens"] * got["weight"]
+    source = (mass.groupby(got["mix_source"].fillna("-")).sum() / mass.sum()).to_dict()
+    lang = (mass.groupby(got["mix_lang"].fillna("-")).sum() / mass.sum()).to_dict()
+    assert abs(source["-"] - 0.3) < 1e-4 and abs(source["s0"] - 0.2) < 1e-4
+    own = {k: sum(len((t or "").split()) for _, t, s, _ in rows if s == k) ** 0.7 for k in ("s1", "s2", "s3", "s4")}
+    assert all(abs(source[k] - 0.5 * v / sum(own.values())) < 1e-4 for k, v in own.items())
+    own = {k: sum(len((t or "").split()) for *_, t, _, s in rows if s == k) ** 0.7 for k in ("x", "z", None)}
+    assert abs(lang["y"] - 0.5 / 0.9) < 1e-4 and all(abs(lang[k or "-"] - 0.4 / 0.9 * v / sum(own.values())) < 1e-4 for k, v in own.items())
+
+
+def test_mixing_samples_by_rate(spark):
+    """Every row is kept or not by its own key; the shares of what is kept come near the targets."""
+    rows = [(i, "a b c", f"s{i % 3}", "x") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    goal = {"source": {"s0": 0.6, "s1": 0.3, "s2": 0.1}}
+    one = {r["doc_id"]: (r["kept"], r["rate"]) for r in mixing.weigh(df, topic=F.lit("t"), targets=goal).collect()}
+    two = {r["doc_id"]: (r["kept"], r["rate"]) for r in mixing.weigh(df.repartition(5), topic=F.lit("t"), targets=goal).collect()}
+    assert {k: v[0] for k, v in one.items()} == {k: v[0] for k, v in two.items()}
+    kept = Counter(i % 3 for i, (k, _) in one.items() if k)
+    n = sum(kept.values())
+    assert kept[0] == 2000 and all(abs(kept[k] / n - v) < 0.03 for k, v in ((0, 0.6), (1, 0.3), (2, 0.1)))
+    half = mixing.weigh(df, topic=F.lit("t"), targets=goal, budget=0.5).where("kept").count()
+    assert abs(half / n - 0.5) < 0.05
+
+
+def test_topics_find_groups_of_words(spark):
+    rng = random.Random(6)
+    pools = [[f"{c}{k}" for k in range(60)] for c in "abcd"]
+    common = [f"the{k}" for k in range(10)]
+    rows = [(i, " ".join(rng.choices(pools[i % 4] + common * 4, k=80))) for i in range(400)] + [(900, None), (901, " \n ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    model = topics.fit(df, 4, sample_rows=200)
+    got = {r["doc_id"]: (r["topic"], r["n_tokens"]) for r in topics.describe(df, model).collect()}
+    assert got[900] == got[901] == ("none", 0) and all(got[i][1] == 80 for i in range(400))
+    best = [Counter(got[i][0] for i in range(g, 400, 4)).most_common(1)[0] for g in range(4)]
+    assert len({b[0] for b in best}) == 4 and sum(b[1] for b in best) >= 390
+    assert topics.fit(df.where("doc_id >= 900"), 4) is None
+    assert {r["topic"] for r in topics.describe(df.where("doc_id < 3"), None).collect()} == {"none"}
 
 
 # --- 7

@@ -10,6 +10,10 @@ from . import byte_bpe, context_tree, language_id, mixing, pii, quality_rules, r
 from .common import shared_path, table, written
 
 
+#: What op6 rakes to; languages that aren't named, sources and topics get tempered shares.
+TARGETS: dict[str, dict[str | None, float]] = {"lang": {"en": 0.5, "de": 0.2}}
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select(
@@ -32,7 +36,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.weigh(table(spark, sf_dir, "documents"))
+    out = mixing.weigh(table(spark, sf_dir, "documents"), targets=TARGETS)
     named = [F.col(f"mix_{a}").alias(a) for a in mixing.AXES]
     return out.select("doc_id", *named, "n_tokens", F.round("weight", 6).alias("weight"), F.round("rate", 6).alias("rate"), "kept")
 
