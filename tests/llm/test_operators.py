@@ -391,6 +391,23 @@ def test_mixing_samples_by_rate(spark):
     assert abs(half / n - 0.5) < 0.05
 
 
+def test_bounded_weights(spark, monkeypatch):
+    """Targets that contradict each other: weights stay bounded, in both ways of fitting alike."""
+    rows = [(i, "a b c d", "s", ["x", "x", "x", "y"][i % 4]) for i in range(800)] + [(5000 + i, "a b", "s", "y") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    topic = F.when((F.col("lang") == "x") | (F.col("doc_id") >= 5000), "one").otherwise("two")
+    goal = {"lang": {"x": 0.3, "y": 0.7}, "topic": {"one": 0.7, "two": 0.3}}
+    found = []
+    for cells in (mixing.CELLS, 0):
+        monkeypatch.setattr(mixing, "CELLS", cells)
+        got = mixing.weigh(df, topic=topic, targets=goal, most=4.0, rounds=12).toPandas()
+        found.append({(a, b): round(w, 4) for a, b, w in zip(got["mix_lang"], got["mix_topic"], got["weight"], strict=True)})
+        assert got["kept"].mean() > 0.2
+    assert found[0] == found[1] and len(found[0]) == 3
+    free = mixing.weigh(df, topic=topic, targets=goal).toPandas()
+    assert free["weight"].max() > 20 > 8 > max(found[0].values())
+
+
 def test_topics_find_groups_of_words(spark):
     rng = random.Random(6)
     pools = [[f"{c}{k}" for k in range(60)] for c in "abcd"]

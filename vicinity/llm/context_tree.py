@@ -6,10 +6,10 @@ byte), whose nodes hold Krichevsky-Trofimov estimates. Weighting mixes the estim
 is half its own estimate's and half the product of its children's, and the weights that training leaves are used for
 prediction. `score` is the log10 probability of all of the text's bytes, and sums to 1 over all texts.
 
-Memory: a context is a node of its own if it occurs at least `least` times in training; the other contexts below a node
-share one leaf. `contexts` bounds the number of those of three bytes or more, since the tree is sent to
-every task: where more would qualify, the most frequent stay, so the tree grows with the corpus up to that bound. The
-counts behind it, and the words of the base model, are gathered without any bound.
+Memory: a context is a node of its own if it occurs at least `least` times in training, and before at least one byte in
+8 x `contexts`; the other contexts below a node share one leaf. `contexts` bounds the number of those of three bytes or
+more, since the tree is sent to every task: where more would qualify, the most frequent stay, so the tree grows with the
+corpus up to that bound. The counts behind it, and the words of the base model, are gathered without any bound.
 
 One pass counts grams: a task sends each shard (by the three nearest bytes) its distinct grams as one sorted, deflated
 array, and shards merge them. A second pass splits texts into words for the base model, numbers the words of each batch
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import shared_path, written
 
 DEPTH = 6
-LEAST, CONTEXTS = 32, 1 << 16
+LEAST, CONTEXTS = 2, 1 << 16
 #: Text of a batch, bytes that are scored at once, and distinct grams after which a task sends them: bounds of memory.
 BATCH_BYTES, BLOCK, HELD = 16 << 20, 2 << 20, 1_200_000
 #: Stands for the end of a text; no word holds it.
@@ -250,6 +250,8 @@ def train(docs: DataFrame, text: str, *, least: int = LEAST, contexts: int = CON
     """The tree of the texts. The driver gets at most `contexts` contexts with the numbers of the bytes after them."""
     spark = docs.sparkSession
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)) + F.count("*")).first()[0]
+    least = max(least, size // (8 * contexts))
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []

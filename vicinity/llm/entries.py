@@ -12,6 +12,8 @@ from .common import shared_path, table, written
 
 #: What op6 rakes to; languages that aren't named, sources and topics get tempered shares.
 TARGETS: dict[str, dict[str | None, float]] = {"lang": {"en": 0.5, "de": 0.2}}
+#: Its largest weight.
+MOST = 5.0
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.weigh(table(spark, sf_dir, "documents"), targets=TARGETS)
+    out = mixing.weigh(table(spark, sf_dir, "documents"), targets=TARGETS, most=MOST)
     named = [F.col(f"mix_{a}").alias(a) for a in mixing.AXES]
     return out.select("doc_id", *named, "n_tokens", F.round("weight", 6).alias("weight"), F.round("rate", 6).alias("rate"), "kept")
 
@@ -104,5 +106,42 @@ SELECT doc_id, CAST(size AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_rem
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_context_tree, op2_simhash, op3_repeats, op4_token_store, op5_byte_bpe, op6_mixing, op7_language_id, op8_pii, op9_va_file, op10_quality_rules)}
-ORACLES: dict[str, str] = {"op3_repeats": _OP3, "op9_va_file": _OP9}
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 counts in every text before any rule is learned."""
+    stats = quality_rules.text_statistics(table(spark, sf_dir, "documents"))
+    return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality_rules.base_failed().alias("base_failed"))
+
+
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much op8 finds of each kind in every text as it is written."""
+    return pii.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+_BASE_QUALITY = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+grams AS (SELECT doc_id, t, w, list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || chr(32) || w[i + 1] || chr(32) || w[i + 2]) AS g,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM w),
+windows AS (SELECT row, i, count(*) OVER (PARTITION BY row, g) AS n FROM (SELECT row, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM (SELECT row_number() OVER () AS row, g FROM grams))),
+covered AS (SELECT row, count(DISTINCT i + k) AS n FROM windows, range(3) r(k) WHERE n > 1 GROUP BY row),
+counts AS (SELECT row_number() OVER () AS row, doc_id, len(w) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines FROM grams)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * coalesce(n, 0) > 50 * n_words AS base_failed FROM counts LEFT JOIN covered USING (row)
+"""
+
+_BASE_PERSONAL_DATA = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)') AS ip,
+  list_transform(regexp_extract_all(t, '[0-9]([\\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+  list_transform(regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM d),
+summed AS (SELECT *, list_transform(list_filter(card, lambda x: length(x) BETWEEN 13 AND 19), lambda x: list_sum(list_transform(range(1, length(x) + 1),
+  lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(x)[i] AS INT) ELSE (2 * CAST(reverse(x)[i] AS INT)) // 10 + (2 * CAST(reverse(x)[i] AS INT)) % 10 END))) AS luhn FROM found)
+SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email,
+  CAST(len(list_filter(ip, lambda x: list_bool_and(list_transform(string_split(x, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND CAST('0' || right(p, 3) AS INT) <= 255)))) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(luhn, lambda s: s % 10 = 0)) AS BIGINT) AS n_card, CAST(len(list_filter(phone, lambda x: length(x) BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM summed
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_context_tree, op2_simhash, op3_repeats, op4_token_store, op5_byte_bpe, op6_mixing, op7_language_id, op8_pii, op9_va_file, op10_quality_rules, base_quality, base_personal_data)}
+ORACLES: dict[str, str] = {"op3_repeats": _OP3, "op9_va_file": _OP9, "base_quality": _BASE_QUALITY, "base_personal_data": _BASE_PERSONAL_DATA}

@@ -5,7 +5,7 @@ sum, over all ways to cut it into pieces, of the product of their probabilities;
 A text's log probability is the sum over its words, so each distinct word is scored once per worker.
 
 Training: expectation-maximisation on the distinct words of at most `sample_rows` labelled texts (whole texts, taken by
-a hash of their text, spread over the languages); the expected counts of a round are summed by Spark, at most one row
+a hash of key and text, spread over the languages); the expected counts of a round are summed by Spark, at most one row
 for each language and piece.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; ties go to the language that sorts first;
@@ -23,7 +23,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -32,6 +32,8 @@ UNKNOWN = "und"
 CACHE = 800_000
 #: Words of more letters are scored in logs and not kept by the cache.
 LONG = 48
+#: Labels that are learned, the most frequent ones: a model holds a probability for each of them and each piece.
+LANGUAGES = 200
 #: What a character costs that no piece covers, and the smoothing of a piece's count.
 CHARACTER = 1e-7
 SMOOTH = 0.05
@@ -182,16 +184,21 @@ class Model:
         return out, np.array([len(x) for x in found]), np.array([len("".join(x)) for x in found])
 
 
-def fit(docs: DataFrame, model: str, *, text: str = "text", lang: str = "lang", sample_rows: int = 2_000, rounds: int = 2) -> Model | None:
-    """Learns from the labelled rows it is given; None if there are none."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    by = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, model: str, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 2_000, rounds: int = 2, languages: int = LANGUAGES) -> Model | None:
+    """Learns from the labelled rows it is given; None if there are none. Each of the `languages` most frequent labels
+    gets an equal part of sample_rows, rows with the least hashes of key and text, or all that it has."""
+    rows = docs.select(F.xxhash64(F.col(key), F.col(text), F.lit(7)).alias("_h"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    by = {r["lang"]: r["n"] for r in often.collect()}
     if not by:
         return None
     languages = sorted(by)
     each = max(1, sample_rows // len(languages))
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, each / n))) for x, n in by.items()])
-    picked = rows.where(F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))
+    # about twice as many as are wanted, of which the window takes the first
+    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, 2 * each / n))) for x, n in by.items()])
+    some = rows.where(F.pmod("_h", F.lit(1 << 30)) < share * (1 << 30))
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h"))
+    picked = some.withColumn("_turn", turn).where(F.col("_turn") <= each).select("text", "lang")
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

@@ -34,7 +34,7 @@ def text_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     kept = lambda pattern: F.char_length(F.regexp_replace("_t", pattern, ""))
     w = F.col("_w")
     d = d.select(
-        *keep,
+        *keep, "_w",
         F.size(w).cast("long").alias("n_words"),
         F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
         count("[#*$%&|<>]+").cast("long").alias("n_symbols"),
@@ -48,20 +48,22 @@ def text_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
             F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))),
         ).otherwise(F.array().cast("array<bigint>")).alias("_h"),
     )
-    # Only texts in which some window occurs again pay for the sort that finds where.
-    h = F.col("_h")
+    # Only texts in which some hash of a window occurs again pay for the sort that finds where; the words decide there.
+    h, word = F.col("_h"), lambda i: F.get("_w", i)
     d = d.withColumn(
         "_s",
         F.when(
-            F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-        ).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")),
-    ).drop("_h")
+            F.size(F.array_distinct(h)) < F.size(h),
+            F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), word(i).alias("a"), word(i + 1).alias("b"), word(i + 2).alias("c"), i.alias("p")))),
+        ).otherwise(F.array().cast("array<struct<h:bigint,a:string,b:string,c:string,p:int>>")),
+    ).drop("_h", "_w")
     s = F.col("_s")
+    same = lambda x, y: x["h"].eqNullSafe(y["h"]) & x["a"].eqNullSafe(y["a"]) & x["b"].eqNullSafe(y["b"]) & x["c"].eqNullSafe(y["c"])
     d = d.withColumn(
         "_p",
         F.sort_array(
             F.transform(
-                F.filter(s, lambda x, i: x["h"].eqNullSafe(F.get(s, i - 1)["h"]) | x["h"].eqNullSafe(F.get(s, i + 1)["h"])),
+                F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1))),
                 lambda x: x["p"],
             )
         ),
@@ -220,6 +222,11 @@ def learn(
     return found
 
 
+def base_failed() -> Column:
+    """Whether a text is too short, or repeats itself too much, for any rule to be asked."""
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judge(docs: DataFrame, labels: DataFrame, **fit) -> tuple[DataFrame, DecisionList]:
     """Statistics of every document with base_failed, rule (0: none fired) and kept; and the list itself.
 
@@ -229,6 +236,5 @@ def judge(docs: DataFrame, labels: DataFrame, **fit) -> tuple[DataFrame, Decisio
     stats = written(text_statistics(docs), "text-statistics")
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad"))
     rules = learn(stats.join(marks, "doc_id"), **fit)
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = stats.withColumn("base_failed", failed).withColumn("rule", rules.column())
+    out = stats.withColumn("base_failed", base_failed()).withColumn("rule", rules.column())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules
