@@ -56,8 +56,8 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rakes tokens to tempered shares of sources, languages and topics, and samples."""
-    return mixing.weigh(docs, temper=0.9, carry=COLUMNS).where("kept").select(*COLUMNS)
+    """Rakes tokens to tempered shares of sources, languages and topics, and samples; no weight is above 2."""
+    return mixing.weigh(docs, temper=0.9, most=2.0, carry=COLUMNS).where("kept").select(*COLUMNS)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
