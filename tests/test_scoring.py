@@ -155,6 +155,28 @@ def test_balance_moves_only_the_surplus(spark):
     assert sum(sizes.values()) == 62 and sizes[0] == index.capacity(62, 5)
 
 
+def test_balance_is_the_sequential_pass(spark):
+    """Clusters that overflow into each other's second choices, as one pass in the order of ref_id leaves them."""
+    rng = np.random.default_rng(5)
+    for seed in range(4):
+        k = 12
+        centres = rng.normal(0, 4000, (k, 2))
+        v = np.clip((centres[rng.choice(k, 700, p=rng.dirichlet(np.full(k, 0.3)))] + rng.normal(0, 1500, (700, 2))).round(), -10000, 10000).astype(int)
+        refs = spark.createDataFrame([(int(i), x.tolist(), 0) for i, x in zip(rng.permutation(2000)[:700], v, strict=True)], "ref_id bigint, v array<int>, is_fraud int")
+        got = {r["ref_id"]: r["cluster_id"] for r in index.assign(refs, centres, balance=True).collect()}
+        near = {r["ref_id"]: [c["cluster_id"] for c in r["clusters"]] for r in kmeans.nearest(refs, centres, 2).collect()}
+        counts, most = np.bincount([c[0] for c in near.values()], minlength=k), index.capacity(700, k)
+        want = {}
+        for i in sorted(near):
+            c1, c2 = near[i]
+            if counts[c1] > most and counts[c2] < most:
+                counts[c1] -= 1
+                counts[c2] += 1
+                c1 = c2
+            want[i] = c1
+        assert got == want, seed
+
+
 def test_nearest_rank(spark):
     df = spark.range(1, 101).select(F.col("id").alias("x"))
     assert {r["percent"]: r["value"] for r in evaluate.nearest_rank(df, "x", 50, 99).collect()} == {50: 51, 99: 100}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import edge_case
 from ..sources import sinks
+from ..storage import written
 from . import kmeans
 
 BLOCK_ROWS = 8
@@ -31,22 +34,37 @@ def capacity(n: int, k: int) -> int:
 def balanced(near: DataFrame, k: int) -> DataFrame:
     """Adds pick: 1 for points that leave a cluster that is over its capacity for their second nearest, else 0.
 
-    Order decides: within a cluster, the points beyond the capacity in the order of ref_id want to leave, and a second
-    cluster takes as many of them, in the order of ref_id, as it has room for. Both ranks are windows by cluster over
-    ids only, and only clusters that are over capacity have any; like the sequential rule it stands for, it may leave a
-    cluster over capacity.
+    The outcome is that of going through the points in the order of ref_id and moving each whose cluster is over its
+    capacity at that time while its second one is under it. Clusters over capacity only lose points and the others only
+    gain some, so this is the greedy matching of leaving points with free places, and it is found in rounds: a point
+    moves if its places among all undecided points of its two clusters are within what both have left, and stays if
+    either has nothing left. Only points that want to leave take part; a cluster may stay over capacity.
     """
-    n = near.count()
-    most = capacity(n, k)
+    spark = near.sparkSession
+    most = capacity(near.count(), k)
     first = near.select("ref_id", F.col("clusters")[0]["cluster_id"].alias("c1"), F.get("clusters", F.lit(1))["cluster_id"].alias("c2"))
-    sizes = first.groupBy("c1").agg(F.count("*").alias("size"))  # one row for each cluster
-    place = F.row_number().over(Window.partitionBy("c1").orderBy("ref_id"))
-    leaving = first.join(sizes.where(F.col("size") > most), "c1").withColumn("place", place).where((F.col("place") > most) & F.col("c2").isNotNull())
-    room = sizes.select(F.col("c1").alias("c2"), (F.lit(most) - F.col("size")).alias("room"))
-    leaving = leaving.join(room, "c2", "left").withColumn("room", F.coalesce("room", F.lit(most)))
-    turn = F.row_number().over(Window.partitionBy("c2").orderBy("ref_id"))
-    moved = leaving.withColumn("turn", turn).where(F.col("turn") <= F.col("room")).select("ref_id", F.lit(1).alias("pick"))
-    return near.join(moved, "ref_id", "left").withColumn("pick", F.coalesce("pick", F.lit(0)))
+    sizes = written(first.groupBy("c1").agg(F.count("*").alias("size")), "sizes")  # one row for each cluster
+    surplus = sizes.where(F.col("size") > most).select("c1", (F.col("size") - most).alias("out"))
+    every = spark.range(k).select(F.col("id").cast("int").alias("c2")).join(sizes.withColumnRenamed("c1", "c2"), "c2", "left")
+    room = every.select("c2", (F.lit(most) - F.coalesce("size", F.lit(0))).alias("into")).where("into > 0")
+    undecided, moved = written(first.where("c2 IS NOT NULL").join(surplus.select("c1"), "c1", "left_semi"), "undecided"), []
+    by = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("ref_id"))
+    while True:
+        open_ = undecided.join(surplus, "c1").join(room, "c2")
+        turn = (by("c1") <= F.col("out")) & (by("c2") <= F.col("into"))
+        state = written(open_.select("ref_id", "c1", "c2", turn.alias("goes")), "undecided")
+        goes = state.where("goes")
+        if not goes.limit(1).count():
+            break
+        moved.append(goes.select("ref_id"))
+        taken = lambda c: goes.groupBy(c).agg(F.count("*").alias("n"))  # noqa: B023, E731
+        surplus = written(surplus.join(taken("c1"), "c1", "left").select("c1", (F.col("out") - F.coalesce("n", F.lit(0))).alias("out")).where("out > 0"), "surplus")
+        room = written(room.join(taken("c2"), "c2", "left").select("c2", (F.col("into") - F.coalesce("n", F.lit(0))).alias("into")).where("into > 0"), "room")
+        undecided = state.where("NOT goes").drop("goes")
+    if not moved:
+        return near.withColumn("pick", F.lit(0))
+    picked = reduce(DataFrame.unionByName, moved).withColumn("pick", F.lit(1))
+    return near.join(picked, "ref_id", "left").withColumn("pick", F.coalesce("pick", F.lit(0)))
 
 
 def boxes(postings: DataFrame, centroids: np.ndarray, dims: int) -> DataFrame:

@@ -675,12 +675,18 @@ def q_kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, n, x.tolist()) for i, x in enumerate(c)], "cluster_id int, iterations int, centroid array<double>")
 
 
-_BALANCED = "WITH " + t.CTE_CLUSTERS + """, cap AS (SELECT greatest(3 * (count(*) // 16) + 1, count(*) // 16 + 10) AS most FROM points),
-firsts AS (SELECT a.ref_id, a.cluster_id AS c1, b.cluster_id AS c2 FROM near a LEFT JOIN near b ON b.ref_id = a.ref_id AND b.place = 2 WHERE a.place = 1),
-sizes AS (SELECT c1 AS c, count(*) AS size FROM firsts GROUP BY 1),
-leaving AS (SELECT ref_id, c2 FROM (SELECT *, row_number() OVER (PARTITION BY c1 ORDER BY ref_id) AS place FROM firsts), cap WHERE place > most AND c2 IS NOT NULL),
-moved AS (SELECT ref_id, l.c2 FROM (SELECT *, row_number() OVER (PARTITION BY c2 ORDER BY ref_id) AS turn FROM leaving) l LEFT JOIN sizes ON c = l.c2, cap WHERE turn <= most - coalesce(size, 0))
-SELECT CAST(coalesce(m.c2, f.c1) AS INT) AS cluster_id, CAST(count(*) AS BIGINT) AS cnt FROM firsts f LEFT JOIN moved m USING (ref_id) GROUP BY 1"""
+_BALANCED = "WITH RECURSIVE " + t.CTE_CLUSTERS + """, cap AS (SELECT greatest(3 * (count(*) // 16) + 1, count(*) // 16 + 10) AS most FROM points),
+firsts AS (SELECT a.ref_id, a.cluster_id AS c1, b.cluster_id AS c2 FROM near a JOIN near b ON b.ref_id = a.ref_id AND b.place = 2 WHERE a.place = 1),
+sizes AS (SELECT s.cluster_id, count(p.ref_id) AS size FROM seeds s LEFT JOIN postings p USING (cluster_id) GROUP BY 1),
+leaving AS (SELECT row_number() OVER (ORDER BY ref_id) AS i, c1, c2 FROM firsts JOIN sizes ON cluster_id = c1, cap WHERE size > most),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, list(size ORDER BY cluster_id) AS counts FROM sizes
+  UNION ALL
+  SELECT l.i, CASE WHEN counts[c1 + 1] > most AND counts[c2 + 1] < most
+    THEN list_transform(range(0, len(counts)), lambda c: counts[c + 1] - CAST(c = c1 AS INT) + CAST(c = c2 AS INT)) ELSE counts END
+  FROM walk JOIN leaving l ON l.i = walk.i + 1, cap),
+last AS (SELECT arg_max(counts, i) AS counts FROM walk)
+SELECT * FROM (SELECT CAST(generate_subscripts(counts, 1) - 1 AS INT) AS cluster_id, CAST(unnest(counts) AS BIGINT) AS cnt FROM last) WHERE cnt > 0"""
 
 
 @query(_BALANCED)
