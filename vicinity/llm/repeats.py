@@ -6,7 +6,8 @@ hash and by a hash of all its bytes. Runs with equal bytes are settled by these
 repeats. (Tasks do so for their own texts before anything is sent, so a passage costs at most one run for each task.)
 Runs that share the smallest hash but differ, or that repeat themselves, are settled by their bytes: their windows are
 put in suffix order by linear grouping (suffix_array), equal windows then stand together, and all but the first are
-repeats. Windows whose first and last GRAM bytes have no equal in the group are left out before. A group of more than
+repeats. Windows whose first and last GRAM bytes have no equal in the group are left out before, and of stretches with
+equal bytes one is ordered for all. A group of more than
 GROUP runs is dealt anew by the hash of each window; a task sends the first of equal windows alone, the others being
 repeats of it already, so the group of one window has a row for each task that met it.
 
@@ -31,9 +32,9 @@ from .suffix_array import suffix_array
 
 LENGTH = 100
 GRAM = 32
-GROUP = 1000
+GROUP = 4000
 #: Windows that a task holds to find equal ones among them.
-HELD = 200_000
+HELD = 20_000
 #: Bytes of text that a task cuts up at a time.
 CHUNK = 16 << 20
 _WIDTH = LENGTH - GRAM + 1
@@ -270,6 +271,18 @@ def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "fp bigint, part int, doc_id bigint, th bigint, first bigint, bytes binary").dropDuplicates(["fp", "part", "doc_id", "th", "first"])
 
 
+def _again(at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What has an equal in `ends`."""
+    _, place, count = np.unique(ends, return_inverse=True, return_counts=True)
+    good = count[place] > 1
+    return at[good], ends[good]
+
+
+def _breaks(at: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where a window doesn't follow the one before it in the same string."""
+    return np.flatnonzero((np.diff(at) > 1) | (np.diff(np.searchsorted(begin, at, "right")) > 0)) + 1
+
+
 def repeated(strings: list[tuple[tuple[int, int], int, bytes]]) -> list[tuple[tuple[int, int], int]]:
     """The windows (document, position) of the strings (document, position, bytes) that repeat an earlier one."""
     raw = b"".join(x[2] for x in strings)
@@ -281,29 +294,45 @@ def repeated(strings: list[tuple[tuple[int, int], int, bytes]]) -> list[tuple[tu
     h = mixed((one[GRAM:] - one[:-GRAM]) * powers(len(flat) + 1)[2][: len(flat) - GRAM + 1])
     at = np.concatenate([np.arange(b, b + k - LENGTH + 1) for b, k in zip(begin, n, strict=True)])
     ends = h[at] * _MIX[1] ^ h[at + LENGTH - GRAM]
-    _, place, count = np.unique(ends, return_inverse=True, return_counts=True)
-    at = at[count[place] > 1]
+    at, ends = _again(at, ends)
     if len(at) < 2:
         return []
+    out: list[tuple[tuple[int, int], int]] = []
+    # of equal stretches, all but the first are repeats of it window by window
+    first: dict[bytes, tuple[tuple[tuple[int, int], int], np.ndarray]] = {}
+
+    def place_of(o: int) -> tuple[tuple[int, int], int]:
+        k = int(np.searchsorted(begin, o, "right")) - 1
+        return strings[k][0], strings[k][1] + o - int(begin[k])
+
+    stretches = np.split(np.arange(len(at)), _breaks(at, begin))
+    for part in stretches:
+        a, b = int(at[part[0]]), int(at[part[-1]]) + LENGTH
+        mine = (place_of(a), part)
+        old = first.setdefault(raw[a:b], mine)
+        if old is not mine:
+            (doc, s), _ = later = max(old, mine, key=lambda x: x[0])
+            first[raw[a:b]] = old if later is mine else mine
+            out += [(doc, s + k) for k in range(len(part))]
+    if len(first) < len(stretches):
+        kept = np.sort(np.concatenate([part for _, part in first.values()]))
+        at, ends = _again(at[kept], ends[kept])
+        if len(at) < 2:
+            return out
     # what is left, stretch by stretch, with a symbol of its own between stretches
-    breaks = np.flatnonzero((np.diff(at) > 1) | (np.diff(np.searchsorted(begin, at, "right")) > 0)) + 1
     symbols: list[int] = []
     origin: list[int] = []
-    for part in np.split(at, breaks):
+    for part in np.split(at, _breaks(at, begin)):
         a, b = int(part[0]), int(part[-1]) + LENGTH
         symbols += [x + 1 for x in raw[a:b]]
         origin += range(a, b)
         symbols.append(0)
         origin.append(-1)
     candidate = set(at.tolist())
-    out: list[tuple[tuple[int, int], int]] = []
     key, held = None, []
 
     def close() -> None:
-        places = []
-        for o in held:
-            k = int(np.searchsorted(begin, o, "right")) - 1
-            places.append((strings[k][0], strings[k][1] + o - int(begin[k])))
+        places = [place_of(o) for o in held]
         least = min(places)
         out.extend(p for p in places if p != least)
 
