@@ -42,6 +42,11 @@ def test_command_line(spark, tmp_path):
     assert got[str(tmp_path / "i")]["n"] == 120 and got[str(tmp_path / "e")]["n"] == risky
     meta, boxes, postings = readers.index(spark, str(tmp_path / "e"))
     assert meta["k"] == 3 and postings.count() == risky and boxes.count() == 3
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    for k in range(3):
+        (lines / f"{k}.json").write_text("\n".join(json.dumps(r) for r in rows[k::3]))
+    assert readers.references(spark, str(lines), lines=True).count() == 120
     a = build.arguments(["x", "y"])
     assert (a.k, a.sample, a.iterations, a.edge_index, a.edge_k) == (4096, 200_000, 1000, None, 256)
 
@@ -156,6 +161,30 @@ def test_polling_stream(spark, tmp_path):
     assert [r["id"] for r in got] == ["r"] and storage._paths == before
 
 
+def test_stream_against_all_pairs(spark, tmp_path):
+    """Scores of a stream of requests whose every answer is repaired are those of all pairs of vectors."""
+    bodies = [request(id=f"r{i}", transaction={"amount": float(53 * i % 9000), "installments": i % 12}, terminal={"km_from_home": 7.0 * i}) for i in range(40)]
+    (tmp_path / "in").mkdir()
+    for k in range(2):
+        (tmp_path / f"in/{k}.json").write_text("\n".join(map(json.dumps, bodies[k::2])))
+    refs, v = points(spark, 250, seed=9)
+    y = np.array([r["is_fraud"] for r in refs.orderBy("ref_id").collect()])
+    c = kmeans.seeds(refs, 10)
+    posts = index.assign(refs, c)
+    boxes = index.boxes(posts, c, 14)
+    work = lambda df: scoring.score(df, c, posts, boxes, SearchConfig(nprobe=1, repair_min=0, repair_max=5))
+    got = {}
+    q = scoring.start(scoring.read_requests(spark, str(tmp_path / "in"), 1), work, lambda df, n: got.update({r["id"]: r["fraud_count"] for r in df.collect()}), str(tmp_path / "cp"))
+    q.awaitTermination()
+    from vicinity.functions import features
+
+    asked = features.vectorise(spark.read.schema(schema.TRANSACTION).json(str(tmp_path / "in"))).select("id", "v").collect()
+    assert len(got) == 40
+    for r in asked:
+        d = ((v - np.array(r["v"])) ** 2).sum(1)
+        assert got[r["id"]] == y[np.lexsort((np.arange(len(v)), d))[:5]].sum()
+
+
 def test_stepwise_is_the_sequential_rule(spark):
     refs, v = points(spark, 300, seed=4)
     y = {r["ref_id"]: r["is_fraud"] for r in refs.collect()}

@@ -1,4 +1,4 @@
-"""Builds index folders: python -m vicinity.build REFERENCES INDEX [k] [sample] [iterations] [EDGE_INDEX] [edge k]"""
+"""Builds index folders: python -m vicinity.build REFERENCES INDEX [k] [sample] [iterations] [EDGE_INDEX] [edge k] [--lines]"""
 
 from __future__ import annotations
 
@@ -21,6 +21,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("iterations", nargs="?", type=int, default=1000, help="at most so many rounds")
     p.add_argument("edge_index", nargs="?", help="folder for an index of the edge cases alone")
     p.add_argument("edge_k", nargs="?", type=int, default=256, help="its clusters")
+    p.add_argument("--lines", action="store_true", help="the references are JSON lines, which many tasks can read at once")
     return p.parse_args(argv)
 
 
@@ -28,7 +29,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     """Builds what is asked for and returns the meta data by folder."""
     a = arguments(argv)
     spark = spark or SparkSession.builder.getOrCreate()
-    refs = readers.references(spark, a.references)
+    refs = readers.references(spark, a.references, lines=a.lines)
     options = {"sample_rows": a.sample, "iterations": a.iterations}
     out = {a.index: index.build(refs, a.index, a.k, **options)}
     if a.edge_index:

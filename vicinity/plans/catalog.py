@@ -27,6 +27,8 @@ INV = NORM.inverse
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query with its SQL; a comment says why one has none."""
+
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
@@ -669,7 +671,7 @@ def q_windowed_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.windowed_histogram(_latency(spark, sf).where("ts IS NOT NULL"), "ts", "ns", "1 day")
 
 
-@query()
+@query()  # fitted from random starts; tests compare its steps with plain ones
 def q_kmeans_fit(spark: SparkSession, sf: str) -> DataFrame:
     c, n = kmeans.fit(t.points(spark, sf), 16)
     return spark.createDataFrame([(i, n, x.tolist()) for i, x in enumerate(c)], "cluster_id int, iterations int, centroid array<double>")
@@ -714,7 +716,7 @@ def q_index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return search.answer(q, search.search(q, *_fitted(spark, sf), REPAIR_ALL, other_than_self=True))
 
 
-@query()
+@query()  # the centroids are fitted from random starts
 def q_fitted_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbours of the exact search that the fitted index finds with FITTED, ambiguous answers repaired."""
     q = t.queries(spark, sf)
@@ -729,7 +731,7 @@ def q_repair_stepwise(spark: SparkSession, sf: str) -> DataFrame:
     return search.search_stepwise(q, *t.indexed(spark, sf), REPAIR_ALL, other_than_self=True)
 
 
-@query()
+@query()  # all events against all events are too many pairs for SQL; tests compare a small stream with all pairs
 def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
     """Events arrive as JSON requests and are scored in micro-batches against an index of event vectors."""
     k = F.from_json("props", "k BIGINT")["k"]

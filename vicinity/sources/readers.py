@@ -15,10 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def references(spark: SparkSession, path: str, dims: int = schema.DIMS) -> DataFrame:
-    """ref_id, v, is_fraud from a JSON array (also .gz). Rows with fewer than `dims` numbers or without a label are
-    skipped, further numbers ignored. Ids follow the file's order."""
-    raw = spark.read.schema(schema.REFERENCE).option("multiLine", True).json(path)
+def references(spark: SparkSession, path: str, dims: int = schema.DIMS, *, lines: bool = False) -> DataFrame:
+    """ref_id, v, is_fraud from a JSON array (also .gz), or with `lines` from a file or folder of one object a line,
+    which many tasks can read at once. Rows with fewer than `dims` numbers or without a label are skipped, further
+    numbers ignored. Ids follow the file's order."""
+    raw = spark.read.schema(schema.REFERENCE).option("multiLine", not lines).json(path)
     good = raw.where((F.size("vector") >= dims) & F.col("label").isNotNull() & F.forall("vector", lambda x: x.isNotNull()))
     return good.select(
         F.monotonically_increasing_id().alias("ref_id"),
