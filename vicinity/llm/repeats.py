@@ -8,7 +8,7 @@ Runs that share the smallest hash but differ, or that repeat themselves, are set
 put in suffix order by linear grouping (suffix_array), equal windows then stand together, and all but the first are
 repeats. Windows whose first and last GRAM bytes have no equal in the group are left out before, and of stretches with
 equal bytes one is ordered for all. A group of more than
-GROUP runs is dealt anew by the hash of each window; a task sends the first of equal windows alone, the others being
+GROUP runs is dealt anew by the hash of each window, SPREAD ways for each GROUP; a task sends the first of equal windows alone, the others being
 repeats of it already, so the group of one window has a row for each task that met it.
 
 Order is doc_id, then the text's hash, then position. Defined cases: a null or empty text has no bytes; texts shorter
@@ -32,7 +32,7 @@ from .suffix_array import suffix_array
 
 LENGTH = 100
 GRAM = 32
-GROUP = 4000
+GROUP, SPREAD = 4000, 64
 #: Windows that a task holds to find equal ones among them.
 HELD = 20_000
 #: Bytes of text that a task cuts up at a time.
@@ -249,7 +249,7 @@ def contexts(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     yield (hash(later), -1, *later, None)
 
         def sent() -> pa.RecordBatch:
-            out = [(fp, int.from_bytes(hashlib.blake2b(w, digest_size=6).digest()) % parts, *place, w) for (fp, parts, w), place in least.items()]
+            out = [(fp, int.from_bytes(hashlib.blake2b(w, digest_size=6).digest()) % (SPREAD * parts), *place, w) for (fp, parts, w), place in least.items()]
             least.clear()
             return batch_of(out)
 
