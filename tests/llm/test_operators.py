@@ -86,7 +86,7 @@ def test_context_tree(docs, empty):
 def plain_ctw(texts, least):
     """A function from a text to its probability, bit by bit the ratio of two weighted probabilities of whole trees."""
     end, depth = b"\xff", context_tree.DEPTH
-    of = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode() + end
+    of = lambda t: "".join(w + " " for w in words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))).encode() + end
 
     def events(raw):
         padded = end * depth + raw
@@ -128,48 +128,77 @@ def plain_ctw(texts, least):
     return score
 
 
-@pytest.mark.parametrize(("least", "contexts"), [(1, 1 << 17), (3, 1 << 17), (100_000, 1 << 17)])
-def test_context_tree_is_plain_weighting(spark, least, contexts):
+@pytest.mark.parametrize("least", [1, 3, 100_000])
+def test_context_tree_is_plain_weighting(spark, least):
     rows = [(1, "abba ab"), (2, None), (3, ""), (4, "ABBA abab\tba b"), (5, "cab bac"), (5, "x"), (6, "bab\xe9 abba"), (None, "abba ab")]
     out = [(7, "abba bab"), (8, "\u4e2d q"), (9, None)]
     docs = spark.createDataFrame([(i, t, False) for i, t in rows] + [(i, t, True) for i, t in out], "doc_id bigint, text string, out boolean")
-    got = context_tree.score(docs, F.col("out"), least=least, contexts=contexts).collect()
+    got = context_tree.score(docs.repartition(3), F.col("out"), least=least).collect()
     plain = plain_ctw([t for _, t in rows], least)
     want = [(i, plain(t)) for i, t in rows + out]
-    assert pairs((r["doc_id"], round(r["score"], 6)) for r in got) == pairs((i, round(x, 6)) for i, x in want)
+    assert len(got) == len(want)
+    assert all(a == b and abs(x - y) < 1e-4 for (a, x), (b, y) in zip(pairs((r["doc_id"], r["score"]) for r in got), pairs(want), strict=True))
 
 
-def test_context_tree_of_the_most_frequent(spark):
-    """A bound on contexts leaves a tree with every context that is more frequent than those that go."""
+def test_context_tree_without_training(spark):
+    docs = spark.createDataFrame([(1, "ab c", True), (2, None, True)], "doc_id bigint, text string, out boolean")
+    got = {r["doc_id"]: r for r in context_tree.score(docs, F.col("out")).collect()}
+    assert abs(got[1]["score"] - 6 * 8 * math.log10(0.5)) < 1e-4 and abs(got[2]["score"] - 8 * math.log10(0.5)) < 1e-4
+    assert got[1]["train_tokens"] == 0 and got[1]["base_score"] == 0 and got[1]["bits_per_byte"] == pytest.approx(8, abs=1e-4)
+
+
+def test_context_tree_in_many_batches(spark, monkeypatch):
+    """Small blocks, one partition or many: the same grams and the same scores."""
     rng = random.Random(5)
-    texts = ["".join(rng.choices("abc ", weights=(8, 4, 2, 1), k=300)) for _ in range(6)]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
-    for contexts in (30, 300):
-        tree = context_tree.train(docs, "text", least=2, contexts=contexts)
-        kept = {int(c).to_bytes(int(d), "big")[::-1] for c, d in zip(tree.context, tree.depth, strict=True)}
-        padded = [b"\xff" * 6 + t.encode() + b"\xff" for t in texts]
-        n = Counter(x[k - d : k] for x in padded for k in range(6, len(x)) for d in range(7))
-        longer = [c for c in kept if len(c) >= 3]
-        assert len(longer) <= contexts and all(c[1:] in kept for c in kept if c)
-        assert min(n[c] for c in longer) >= max(n[c] for c in n if len(c) >= 3 and c not in kept) * 0.9
-
-
-def test_context_tree_blocks(monkeypatch):
-    """Texts that cross the ends of blocks score as in one block, and all bytes' probabilities sum to 1."""
+    word = lambda: "".join(rng.choices(["ab", "ra", "ca", "dab", "ra\xe9"], k=rng.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    rows = [(i, t, i % 5 == 4) for i, t in enumerate(texts)] + [(100, texts[4], False)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, out boolean")
+    one = {r["doc_id"]: tuple(r) for r in context_tree.score(docs.coalesce(1), F.col("out")).collect()}
+    monkeypatch.setattr(context_tree, "BLOCK", 37)
+    monkeypatch.setattr(context_tree, "HELD", 50)
     import pyarrow as pa
 
-    raw, starts = context_tree.stream(pa.array(["abba ab", None, "", "ABBA" * 9, "b", "a b \xe9 abba"]))
+    words, places, n = context_tree.numbered(pa.array(texts))
+    raw, starts = context_tree.spelled(words, places, n)
+    train = np.array([i % 5 != 4 for i in range(40)])
+    keys, count = context_tree.distinct_grams(raw, starts, train)
+    monkeypatch.undo()
+    whole, all_ = context_tree.distinct_grams(raw, starts, train)
+    assert (keys == whole).all() and (count == all_).all() and count.sum() == sum(int(starts[i + 1] - starts[i]) for i in range(40) if train[i])
+    many = {r["doc_id"]: tuple(r) for r in context_tree.score(docs.repartition(13), F.col("out")).collect()}
+    assert one.keys() == many.keys() and all(np.allclose(one[k][2:], many[k][2:], atol=1e-4) for k in one)
+
+
+def test_texts_as_bytes():
+    import pyarrow as pa
+
+    texts = ["abba ab", None, "", " ABBA\tb ", "b", "a b \xe9 abba"]
+    words, places, n = context_tree.numbered(pa.array(texts))
+    raw, starts = context_tree.spelled(words, places, n)
+    want = ["".join(w + " " for w in words_of((t or "").lower())).encode() + b"\xff" for t in texts]
+    assert raw.tobytes() == b"".join(want) and starts.tolist() == np.cumsum([0, *map(len, want)]).tolist()
     keys = context_tree.grams(raw, starts, 0, len(raw))
-    assert [int(k >> 8).to_bytes(6, "big")[::-1] for k in keys[8:10]] == [b"\xff" * 6, b"\xff" * 6]
-    counts = [context_tree._merged([(keys & 255 | keys >> 8 * (7 - d) << 8, np.ones(len(keys)))]) for d in range(7)]
-    tree = context_tree.Tree.of(counts)
-    whole = tree.score_texts(raw, starts)
+    for k, key in enumerate(keys.tolist()):
+        text = int(np.searchsorted(starts, k, "right")) - 1
+        before = (b"\xff" * 6 + want[text])[k - int(starts[text]) :][:6]
+        assert key == int.from_bytes(before[::-1], "big") << 8 | raw[k]
+    for a, b in ((0, 3), (3, 11), (9, len(raw))):
+        assert (context_tree.grams(raw, starts, a, b) == keys[a:b]).all()
+
+
+def test_probabilities_sum_to_one():
+    import pyarrow as pa
+
+    raw, starts = context_tree.spelled(*context_tree.numbered(pa.array(["abba ab", "abba" * 9, "b", "a b \xe9 abba"])))
+    keys, n = context_tree.distinct_grams(raw, starts, np.ones(4, bool))
+    nodes, weights, below = context_tree.part_of(keys, n, 2)
+    *_, (_, k, m) = context_tree.shortened(keys, n, context_tree.TOP - 1)
+    levels, upper = context_tree.top_of((k, m), below, 2)
+    tree = context_tree.Tree([*levels, *context_tree.levels_of(nodes, weights, upper)[0]])
     for near in (b"ab", b" ", b"zz", b"abba a", b"\xff"):
         key = int.from_bytes((b"\xff" * 6 + near)[-6:][::-1], "big") << 8
         assert abs((10 ** tree.score(np.arange(256) | key)).sum() - 1) < 1e-9
-    for size in (1, 3, 7):
-        monkeypatch.setattr(context_tree, "BLOCK", size)
-        assert np.abs(tree.score_texts(raw, starts) - whole).max() < 1e-9
 
 
 def test_log_gamma():

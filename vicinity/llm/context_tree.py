@@ -1,19 +1,20 @@
 """Language-model scores by context-tree weighting over bytes.
 
-A text is its UTF-8 bytes, A-Z lower-cased, and an end byte that no text holds. A byte is coded bit by bit, high bit
-first; each bit has a context tree over the DEPTH bytes before it, whatever they are (before a text's start stands the end
-byte), whose nodes hold Krichevsky-Trofimov estimates. Weighting mixes the estimates of all depths: a node's probability
-is half its own estimate's and half the product of its children's, and the weights that training leaves are used for
-prediction. `score` is the log10 probability of all of the text's bytes, and sums to 1 over all texts.
-
-Memory: a context is a node of its own if it occurs at least `least` times in training, and before at least one byte in
-8 x `contexts`; the other contexts below a node share one leaf. `contexts` bounds the number of those of three bytes or
-more, since the tree is sent to every task: where more would qualify, the most frequent stay, so the tree grows with the
-corpus up to that bound. The counts behind it, and the words of the base model, are gathered without any bound.
-
-One pass counts grams: a task sends each shard (by the three nearest bytes) its distinct grams as one sorted, deflated
-array, and shards merge them. A second pass splits texts into words for the base model, numbers the words of each batch
-and scores the bytes. Word counts come back to the batches through joins; no dictionary is sent anywhere.
+A text is its words, A-Z lower-cased, each followed by a space, and an end byte that no text holds. A byte is coded bit
+by bit, high bit first; each bit has a context tree over the DEPTH bytes before it, whatever they are (before a text's
+start stands the end byte), whose nodes hold Krichevsky-Trofimov estimates. Weighting mixes the estimates of all depths:
+a node's probability is half its own estimate's and half the product of its children's, and the weights that training
+leaves are used for prediction. `score` is the log10 probability of all of the text's bytes, and sums to 1 over all
+sequences of words.
+
+A context is a node of its own if it occurs at least `least` times in training; the other contexts below a node share one
+leaf. Nothing else bounds the tree, which grows with the corpus, and no task holds it: contexts are dealt to shards by the
+two bytes next to the coded one, and only the levels above, at most 2^16 nodes, go through the driver.
+
+Texts are worked on in batches. A first pass sends each batch's distinct words and its distinct grams (a byte and the
+DEPTH before it, from all texts, counted in training) as arrays to their shards, sorted and deflated. Word shards answer
+with counts; gram shards first sum up what the levels above them need, then build their part of the tree and answer with
+a probability for each gram of each batch. Last, answers meet the batches' texts, which are kept as word numbers.
 
 Defined cases: a null or empty text is the end alone; a null doc_id is never held out; repeated rows are scored and
 counted each; without training texts every bit has probability 1/2; other columns are ignored.
@@ -22,7 +23,6 @@ counted each; without training texts every bit has probability 1/2; other column
 from __future__ import annotations
 
 import math
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -32,11 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import written
 
 DEPTH = 6
-LEAST, CONTEXTS = 2, 1 << 16
-#: Text of a batch, bytes that are scored at once, and distinct grams after which a task sends them: bounds of memory.
+LEAST = 4
+#: Levels of the tree above the shards.
+TOP = 2
+#: Text of a batch, bytes that are looked at at once, and distinct grams that are held before they are merged.
 BATCH_BYTES, BLOCK, HELD = 16 << 20, 2 << 20, 1_200_000
 #: Stands for the end of a text; no word holds it.
 END = "\n"
@@ -44,13 +46,23 @@ _END = 0xFF
 
 
 # --- texts as bytes ---------------------------------------------------------------------------------------------------
-def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(the bytes of all texts, each followed by the end byte; where each text starts, and the whole length)."""
-    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
-    raw = np.frombuffer(low.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
-    return np.insert(raw, offsets[1:], _END), offsets + np.arange(len(offsets))
+def spelled(words: pa.Array, places: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all texts; where each starts, and the whole length). places: each text's words and its end as
+    numbers among the words, of which the last is the end; n: how many each text has."""
+    raw = words.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    flat = np.insert(np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0], 0x20)
+    begin = offsets[:-1] - offsets[0] + np.arange(len(raw))
+    size = np.diff(offsets) + 1
+    flat[begin[-1]], size[-1] = _END, 1  # the end is one byte of its own
+    parts = []
+    for at in range(0, len(places), 1 << 18):
+        part = places[at : at + (1 << 18)]
+        each = size[part]
+        stop = np.cumsum(each)
+        parts.append(flat[np.arange(stop[-1]) + np.repeat(begin[part] - stop + each, each)])
+    starts = np.concatenate([[0], np.cumsum(size[places])])[np.concatenate([[0], np.cumsum(n)])]
+    return np.concatenate([*parts, np.zeros(0, np.uint8)]), starts
 
 
 def grams(raw: np.ndarray, starts: np.ndarray, begin: int, end: int) -> np.ndarray:
@@ -71,9 +83,24 @@ def grams(raw: np.ndarray, starts: np.ndarray, begin: int, end: int) -> np.ndarr
     return keys
 
 
-# --- the tree ----------------------------------------------------------------------------------------------------
+# --- the tree ---------------------------------------------------------------------------------------------------------
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    if not _SMALL.any():
+        x, y = np.divmod(np.arange(_SMALL.size, dtype=np.float64), len(_SMALL))
+        _SMALL[:] = _kt(x, y).reshape(_SMALL.shape)
+    a, b = np.asarray(a, np.float64), np.asarray(b, np.float64)
+    out, small = np.empty(len(a)), (a < len(_SMALL)) & (b < len(_SMALL))
+    out[small] = _SMALL[a[small].astype(np.int64), b[small].astype(np.int64)]
+    out[~small] = _kt(a[~small], b[~small])
+    return out
+
+
+#: Values for small counts.
+_SMALL = np.zeros((256, 256))
+
+
+def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi)
 
 
@@ -114,49 +141,6 @@ class Tree:
         self.known = np.zeros(0, np.int64)
         self.value = np.zeros(0)
 
-    @classmethod
-    def of(cls, counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-        """counts[d]: (context of d bytes << 8 | byte, number), for the contexts that are nodes."""
-        nodes = []
-        for keys, n in counts:
-            byte, context = keys & 255, keys >> 8 << 8
-            every, zero, one = [], [], []
-            for bit in range(8):
-                is_one = (byte >> (7 - bit)) & 1
-                every.append(context | 1 << bit | byte >> (8 - bit))
-                zero.append(np.where(is_one, 0, n))
-                one.append(np.where(is_one, n, 0))
-            u, back = np.unique(np.concatenate(every), return_inverse=True)
-            nodes.append((u, *(np.bincount(back, np.concatenate(x), len(u)) for x in (zero, one))))
-            del every, zero, one, back
-        above = lambda keys: keys >> 16 << 8 | keys & 255
-        weights, below = [], None
-        for u, a, b in reversed(nodes):
-            own = weighted = log_kt(a, b)
-            rest_a, rest_b, weight = a.copy(), b.copy(), np.ones(len(u))
-            if below is not None:
-                ku, ka, kb, kw = below
-                parent = np.searchsorted(u, above(ku))
-                rest_a -= np.bincount(parent, ka, len(u))
-                rest_b -= np.bincount(parent, kb, len(u))
-                under = np.bincount(parent, kw, len(u)) + log_kt(rest_a, rest_b)
-                weighted = np.logaddexp(own, under) - math.log(2)
-                weight = 1 / (1 + np.exp(np.clip(under - own, -700, 700)))
-            weights.append((weight, (rest_b + 0.5) / (rest_a + rest_b + 1)))
-            below = (u, a, b, weighted)
-        levels, upper = [], None
-        for (u, a, b), (weight, rest) in zip(nodes, reversed(weights), strict=True):
-            # what the nodes above have added, and the share that is left for this one and those below
-            sum_, left = np.zeros(len(u)), np.ones(len(u))
-            if upper is not None:
-                parent = np.searchsorted(upper[0], above(u))
-                sum_, left = upper[1][parent], upper[2][parent]
-            sum_ = sum_ + left * weight * (b + 0.5) / (a + b + 1)
-            left = left * (1 - weight)
-            levels.append((u, sum_ + left * rest, sum_ + left * 0.5))
-            upper = (u, sum_, left)
-        return cls(levels)
-
     def _evaluate(self, context: np.ndarray, depth: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """log10 probability of bytes whose deepest nodes are these (depth -1: there is none)."""
         out = np.zeros(len(byte))
@@ -199,15 +183,99 @@ class Tree:
         out[order] = self.value[np.searchsorted(self.known, pair)]
         return out
 
-    def score_texts(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each text of a stream, worked through in blocks."""
-        out = np.zeros(len(starts) - 1)
-        for begin in range(0, len(raw), BLOCK):
-            end = min(len(raw), begin + BLOCK)
-            first, last = np.searchsorted(starts, begin, "right") - 1, np.searchsorted(starts, end) - 1
-            cuts = np.maximum(starts[first : last + 1], begin) - begin
-            out[first : last + 1] += np.add.reduceat(self.score(grams(raw, starts, begin, end)), cuts)
-        return out
+def nodes_of(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context << 8 | bits so far, zeros, ones) of sorted keys (context << 8 | byte) with their numbers."""
+    byte, context = keys & 255, keys >> 8 << 8
+    every = np.concatenate([context | 1 << bit | byte >> (8 - bit) for bit in range(8)])
+    one = np.concatenate([(byte >> (7 - bit)) & 1 for bit in range(8)])
+    u, back = np.unique(every, return_inverse=True)
+    all_ = np.tile(n.astype(np.float64), 8)
+    ones = np.bincount(back, all_ * one, len(u))
+    return u, np.bincount(back, all_, len(u)) - ones, ones
+
+
+def above(keys: np.ndarray) -> np.ndarray:
+    """Keys with the farthest byte of their context left out."""
+    return keys >> 16 << 8 | keys & 255
+
+
+class Below:
+    """What the children of nodes say to them, by parent: sorted keys, sums of log weighted probabilities, zeros, ones."""
+
+    def __init__(self, keys: np.ndarray, logs: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
+        self.keys, back = np.unique(keys, return_inverse=True)
+        self.logs, self.zeros, self.ones = (np.bincount(back, x, len(self.keys)).astype(np.float64) for x in (logs, zeros, ones))
+
+
+def weighed(nodes: tuple, below: Below | None) -> tuple[np.ndarray, np.ndarray, Below]:
+    """(weight of each node's own estimate, chance of a one in the leaf its other contexts share, what parents hear)."""
+    u, a, b = nodes
+    own = weighted = log_kt(a, b)
+    rest_a, rest_b, weight = a.copy(), b.copy(), np.ones(len(u))
+    if below is not None:
+        under = np.zeros(len(u))
+        at = np.searchsorted(u, below.keys)
+        under[at], rest_a[at], rest_b[at] = below.logs, a[at] - below.zeros, b[at] - below.ones
+        under = under + log_kt(rest_a, rest_b)
+        weighted = np.logaddexp(own, under) - math.log(2)
+        weight = 1 / (1 + np.exp(np.clip(under - own, -700, 700)))
+    return weight, (rest_b + 0.5) / (rest_a + rest_b + 1), Below(above(u), weighted, a, b)
+
+
+def levels_of(nodes: list[tuple], weights: list[tuple], upper: tuple | None) -> tuple[list[tuple], tuple]:
+    """(levels of a tree, from the top; what the lowest of them leaves to those below: keys, sum, share)."""
+    levels = []
+    for (u, a, b), (weight, rest) in zip(nodes, weights, strict=True):
+        # what the nodes above have added, and the share that is left for this one and those below
+        sum_, left = np.zeros(len(u)), np.ones(len(u))
+        if upper is not None:
+            parent = np.searchsorted(upper[0], above(u))
+            sum_, left = upper[1][parent], upper[2][parent]
+        sum_ = sum_ + left * weight * (b + 0.5) / (a + b + 1)
+        left = left * (1 - weight)
+        levels.append((u, sum_ + left * rest, sum_ + left * 0.5))
+        upper = (u, sum_, left)
+    return levels, upper
+
+
+def frequent(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys whose contexts occur at least `least` times."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] >> 8 != keys[:-1] >> 8])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(first, append=len(keys))
+    good = np.repeat(np.add.reduceat(n, first) >= least, size) if len(keys) else np.zeros(0, bool)
+    return keys[good], n[good]
+
+
+def shortened(keys: np.ndarray, n: np.ndarray, to: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, keys, numbers) from DEPTH down to `to` bytes of context."""
+    for d in range(DEPTH, to - 1, -1):
+        if d < DEPTH:
+            keys, n = _merged([(above(keys), n)])
+        yield d, keys, n
+
+
+def part_of(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[list[tuple], list[tuple], Below | None]:
+    """(nodes, weights) of the levels from TOP on of the part of the tree below some contexts, and what the level above
+    hears. keys, n: the grams of training under these contexts."""
+    nodes, weights, below = [], [], None
+    for _, k, m in shortened(keys, n, TOP):
+        nodes.append(nodes_of(*frequent(k, m, least)))
+        *weight, below = weighed(nodes[-1], below)
+        weights.append(tuple(weight))
+    return nodes[::-1], weights[::-1], below
+
+
+def top_of(counts: tuple[np.ndarray, np.ndarray], below: Below, least: int) -> tuple[list[tuple], tuple]:
+    """levels_of() the levels above the shards. counts: keys of one byte of context, and their numbers."""
+    keys, n = counts
+    nodes, weights = [], []
+    for d in range(TOP - 1, -1, -1):
+        if d < TOP - 1:
+            keys, n = _merged([(above(keys), n)])
+        nodes.append(nodes_of(*frequent(keys, n, least)))
+        *weight, below = weighed(nodes[-1], below)
+        weights.append(tuple(weight))
+    return levels_of(nodes[::-1], weights[::-1], None)
 
 
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -220,8 +288,8 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
-    """By the three bytes nearest to the coded one."""
-    return ((keys >> 8 * (DEPTH - 2)) * 0x9E3779B1 & 0xFFFFFFFF) * shards >> 32
+    """By the TOP bytes nearest to the coded one."""
+    return ((keys >> 8 * (DEPTH - TOP + 1)) * 0x9E3779B1 & 0xFFFFFFFF) * shards >> 32
 
 
 def _packed(keys: np.ndarray, n: np.ndarray) -> bytes:
@@ -240,120 +308,7 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step), n
 
 
-def _binary(x: np.ndarray, n: np.ndarray) -> pa.Array:
-    """x cut into runs of n members, as bytes."""
-    ends = np.concatenate([[0], np.cumsum(n)]) * x.itemsize
-    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
-
-
-def train(docs: DataFrame, text: str, *, least: int = LEAST, contexts: int = CONTEXTS) -> Tree:
-    """The tree of the texts. The driver gets at most `contexts` contexts with the numbers of the bytes after them."""
-    spark = docs.sparkSession
-    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)) + F.count("*")).first()[0]
-    least = max(least, size // (8 * contexts))
-
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            keys, n = _merged(held)
-            held.clear()
-            shard = _shard(keys, shards)
-            order = np.argsort(shard, kind="stable")
-            keys, n, shard = keys[order], n[order], shard[order]
-            which, first = np.unique(shard, return_index=True)
-            parts = zip(np.split(keys, first[1:]), np.split(n, first[1:]), strict=True)
-            raw = [_packed(*x) for x in parts] if len(keys) else []
-            return pa.RecordBatch.from_arrays([pa.array(which[: len(raw)], pa.int32()), pa.array(raw, pa.binary())], names=["shard", "grams"])
-
-        size = 0
-        for batch in it:
-            raw, starts = stream(batch.column(0))
-            for begin in range(0, len(raw), BLOCK):
-                keys = np.sort(grams(raw, starts, begin, min(len(raw), begin + BLOCK)))
-                first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-                held.append((keys[first], np.diff(first, append=len(keys))))
-                size += len(first)
-                if size > HELD:
-                    held[:] = [_merged(held)]
-                    size = len(held[0][0])
-                    if size > HELD // 2:
-                        yield flush()
-                        size = 0
-        if held:
-            yield flush()
-
-    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = done = 0
-        for batch in it:
-            for raw in batch.column(1):
-                held.append(_unpacked(raw.as_buffer()))
-                size += len(held[-1][0])
-                if size > max(HELD, 2 * done):
-                    held[:] = [_merged(held)]
-                    done = size = len(held[0][0])
-        if not size:
-            return
-        keys, n = _merged(held)
-        for d in range(DEPTH, -1, -1):
-            if d < DEPTH:  # a byte less of context: keys that were sorted stay so, but for those of equal contexts
-                keys, n = _merged([(keys >> 16 << 8 | keys & 255, n)])
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] >> 8 != keys[:-1] >> 8]))
-            total = np.add.reduceat(n, first)
-            # contexts shorter than what shards are dealt by are summed over the shards before they are judged
-            good = total >= (least if d >= 3 else 1)
-            size_ = np.diff(first, append=len(keys))
-            which = np.repeat(good, size_)
-            cols = [
-                pa.array(np.full(good.sum(), d, np.int32)), pa.array(keys[first[good]] >> 8), pa.array(total[good]),
-                _binary((keys[which] & 255).astype(np.uint8), size_[good]), _binary(n[which].astype("<i8"), size_[good]),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["d", "context", "total", "bytes", "counts"])
-
-    schema = "d int, context bigint, total bigint, bytes binary, counts binary"
-    sent = docs.select(F.col(text).alias("text")).mapInArrow(count, "shard int, grams binary").repartition(shards, "shard")
-    table = written(sent.mapInArrow(merge, schema), "contexts")
-    # a few buckets: numbers of contexts by the logarithm of their total
-    step = F.floor(F.log2("total") * 8).cast("int").alias("step")
-    sizes = {r["step"]: r["n"] for r in table.where("d >= 3").groupBy(step).agg(F.count("*").alias("n")).collect()}
-    room, floor_ = contexts, 0
-    for k in sorted(sizes, reverse=True):
-        room -= sizes[k]
-        if room < 0:
-            floor_ = k + 1
-            break
-    often = table.where((F.col("d") >= 3) & (step >= floor_)).select("d", "context", "bytes", "counts").toArrow().combine_chunks()
-
-    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for d, context, raw, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                keys = context << 8 | np.frombuffer(raw, np.uint8).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), d, np.int32)), pa.array(keys), pa.array(np.frombuffer(n, "<i8"))], names=["d", "key", "n"])
-
-    # contexts of at most two bytes: at most 2^16, whatever the corpus
-    short = table.where("d < 3").select("d", "context", "bytes", "counts").mapInArrow(spread, "d int, key bigint, n bigint").groupBy("d", "key").agg(F.sum("n").alias("n")).toPandas()
-    counts = []
-    for d in range(DEPTH + 1):
-        if d < 3:
-            of = short[short["d"] == d].sort_values("key")
-            keys, n = of["key"].to_numpy(np.int64), of["n"].to_numpy(np.int64)
-            _, back = np.unique(keys >> 8, return_inverse=True)
-            total = np.bincount(back, n)[back] if len(n) else np.zeros(0)
-            good = (total >= least) & (np.floor(np.log2(np.maximum(total, 1)) * 8) >= floor_)
-            keys, n = keys[good], n[good]
-        else:
-            of = often.filter(pc.equal(often["d"], d)).sort_by("context")
-            size_ = pc.binary_length(of["bytes"]).to_numpy()
-            flat = lambda c: b"".join(of[c].to_pylist())  # noqa: B023, E731
-            keys = np.repeat(of["context"].to_numpy(), size_) << 8 | np.frombuffer(flat("bytes"), np.uint8)
-            n = np.frombuffer(flat("counts"), "<i8")
-        counts.append((keys, n.astype(np.float64)))
-    return Tree.of(counts)
-
-
-# --- the base model -----------------------------------------------------------------------------------------------
+# --- passes -----------------------------------------------------------------------------------------------------------
 def packed(places: np.ndarray) -> bytes:
     """Byte planes, the lowest first, deflated: the high planes of small numbers take next to nothing."""
     return zlib.compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
@@ -379,100 +334,270 @@ def numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, np.insert(places, np.cumsum(n), len(words) - 1), n + 1
 
 
-_SPLIT = "batch bigint, word string, place int, train bigint, doc_id array<bigint>, held array<boolean>, tokens array<int>, bytes array<bigint>, score array<double>, places binary"
-_trees: dict[str, Tree] = {}
+def distinct_grams(raw: np.ndarray, starts: np.ndarray, train: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct grams of a stream, how often each stands in a text for which train is true)."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = done = 0
+    for begin in range(0, len(raw), BLOCK):
+        end = min(len(raw), begin + BLOCK)
+        keys = grams(raw, starts, begin, end) << 1
+        if train is not None:
+            first, last = np.searchsorted(starts, begin, "right") - 1, np.searchsorted(starts, end) - 1
+            lengths = np.diff(np.clip(starts[first : last + 2], begin, end))
+            keys |= np.repeat(train[first : last + 1].astype(np.int64), lengths)
+        keys.sort()
+        one = keys & 1
+        keys >>= 1
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        held.append((keys[first], np.add.reduceat(one, first)))
+        size += len(first)
+        if size > max(HELD, 2 * done):
+            held = [_merged(held)]
+            done = size = len(held[0][0])
+    return _merged(held) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def by_shard(shard: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(stable order by shard, (shard, from, to) in that order)."""
+    order = np.argsort(shard, kind="stable")
+    which, first = np.unique(shard[order], return_index=True)
+    ends = np.append(first[1:], len(shard))[: len(first)]
+    return order, list(zip(which.tolist(), first.tolist(), ends.tolist(), strict=True))
 
 
-def _tree(name: str, state) -> Tree:
-    """One per worker, kept between its tasks."""
-    if name not in _trees:
-        _trees.clear()
-        _trees[name] = Tree(state.value)
-    return _trees[name]
+_FIRST = "batch bigint, shard int, words binary, counts binary, grams binary, doc_id array<bigint>, held array<boolean>, tokens array<int>, places binary"
 
 
-def split(docs: DataFrame, text: str, key: str, held_out: Column, levels: list) -> tuple[DataFrame, DataFrame]:
-    """(words: batch, word, place, train; texts: batch, doc_id, held, tokens, bytes, score, places), in one pass."""
-    state, name = docs.sparkSession.sparkContext.broadcast(levels), uuid.uuid4().hex
-    names = ["batch", "word", "place", "train", "doc_id", "held", "tokens", "bytes", "score", "places"]
-    kinds = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary())
+def first_pass(docs: DataFrame, text: str, key: str, held_out: Column, shards: int) -> DataFrame:
+    """Rows of words (with counts in training) and of grams by batch and shard, and one of texts for each batch."""
+    names = [x.split(" ")[0] for x in _FIRST.split(", ")]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
+
+    def rows(**cols) -> pa.RecordBatch:
+        n = len(next(iter(cols.values())))
+        return pa.RecordBatch.from_arrays([pa.array(cols[c], k) if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tree, number = _tree(name, state), TaskContext.get().partitionId() << 32
-        held: list[pa.RecordBatch] = []
+        number = TaskContext.get().partitionId() << 32
+        kept: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held.clear()
-            out, texts = pc.fill_null(batch.column(1), False).to_numpy(zero_copy_only=False), batch.column(2)
-            raw, starts = stream(texts)
-            score, sizes = tree.score_texts(raw, starts), np.diff(starts) - 1
+            batch = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+            kept.clear()
+            train = ~pc.fill_null(batch.column(1), False).to_numpy(zero_copy_only=False)
+            words, places, n = numbered(batch.column(2))
+            raw, starts = spelled(words, places, n)
+            keys, count = distinct_grams(raw, starts, train)
             del raw
-            words, places, n = numbered(texts)
-            k = len(words)
-            train_ = np.bincount(places[np.repeat(~out, n)], minlength=k)
-            head = [pa.array(np.full(k, number)), words.cast(pa.string()), pa.array(np.arange(k, dtype=np.int32)), pa.array(train_.astype(np.int64))]
-            whole = pa.RecordBatch.from_arrays([*head, *(pa.nulls(k, t) for t in kinds)], names=names)
-            for at in range(0, k, 100_000):
-                yield whole.slice(at, 100_000)
-            tail = [batch.column(0).to_pylist(), out, n.astype(np.int32), sizes, score, packed(places)]
-            one = [pa.array([x], t) for x, t in zip(tail, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.nulls(1, t) for t in (pa.string(), pa.int32(), pa.int64())), *one], names=names)
+            order, parts = by_shard(_shard(keys, shards))
+            keys, count = keys[order], count[order]
+            sent = [_packed(keys[a:b], count[a:b]) for _, a, b in parts]
+            yield rows(batch=[number] * len(parts), shard=[p[0] for p in parts], grams=sent)
+            del keys, count, sent
+            seen = np.bincount(places[np.repeat(train, n)], minlength=len(words))
+            raw_words = words.slice(0, len(words) - 1).cast(pa.large_binary()).to_pylist()
+            order, parts = by_shard(np.fromiter((zlib.crc32(w) % shards for w in raw_words), np.int64, len(raw_words)))
+            lists = [zlib.compress(b"\n".join([raw_words[k] for k in order[a:b].tolist()]), 1) for _, a, b in parts]
+            sums = [zlib.compress(_planes(seen[order[a:b]]), 1) for _, a, b in parts]
+            yield rows(batch=[number] * len(parts), shard=[p[0] for p in parts], words=lists, counts=sums)
+            # words are numbered in the order in which shards answer, the end last
+            new = np.empty(len(words), np.int64)
+            new[order], new[-1] = np.arange(len(order)), len(order)
+            yield rows(batch=[number], doc_id=[batch.column(0).to_pylist()], held=[~train], tokens=[n.astype(np.int32)], places=[packed(new[places])])
+            pa.default_memory_pool().release_unused()
 
         size = 0
         for whole in it:
             for at in range(0, whole.num_rows, 500):
-                held.append(whole.slice(at, 500))
-                size += pc.sum(pc.binary_length(held[-1].column(2))).as_py() or 0
+                kept.append(whole.slice(at, 500))
+                size += pc.sum(pc.binary_length(kept[-1].column(2))).as_py() or 0
                 if size >= BATCH_BYTES:
                     yield from flush()
-                    pa.default_memory_pool().release_unused()
                     number, size = number + 1, 0
-        if held:
+        if kept:
             yield from flush()
 
-    path = shared_path(docs.sparkSession, "split-texts")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text).alias("text"))
-    rows.mapInArrow(run, _SPLIT).write.parquet(path)
-    read = lambda: docs.sparkSession.read.schema(_SPLIT).parquet(path)
-    words = read().where("word IS NOT NULL").select("batch", "word", "place", "train")
-    return words, read().where("places IS NOT NULL").select("batch", "doc_id", "held", "tokens", "bytes", "score", "places")
+    given = docs.select(F.col(key).cast("long").alias("doc_id"), held_out.alias("held"), F.col(text).alias("text"))
+    return written(given.mapInArrow(run, _FIRST), "first-pass")
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _by_shard(it: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of sorted batches, shard by shard, blobs still deflated."""
+    key, held = None, []
+    for batch in it:
+        for row in batch.to_pylist():
+            if row["shard"] != key:
+                if held:
+                    yield held
+                key, held = row["shard"], []
+            held.append(row)
+    if held:
+        yield held
+
 
+def count_words(rows: DataFrame, shards: int) -> DataFrame:
+    """batch, shard, words, counts (in all of training); and for each shard a row without batch: total, distinct."""
 
-def score(docs: DataFrame, held_out: Column, *, text: str = "text", key: str = "doc_id", least: int = LEAST, contexts: int = CONTEXTS) -> DataFrame:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["batch", "shard", "words", "counts", "total", "distinct"]
+        for held in _by_shard(it):
+            place: dict[bytes, int] = {}
+            sums = np.zeros(1 << 10, np.int64)
+            for r in held:
+                words = zlib.decompress(r["words"]).split(b"\n")
+                at = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int64, len(words))
+                if len(place) > len(sums):
+                    sums = np.concatenate([sums, np.zeros(2 * len(place), np.int64)])
+                sums[at] += _numbers(r["counts"])  # a batch names each word once
+                r["at"] = zlib.compress(at.astype("<u4").tobytes(), 1)
+            del place
+            out = [(r["batch"], r["shard"], r["words"], zlib.compress(_planes(sums[np.frombuffer(zlib.decompress(r["at"]), "<u4")]), 1), None, None) for r in held]
+            out.append((None, held[0]["shard"], None, None, int(sums.sum()), int((sums > 0).sum())))
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
+
+    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "batch")
+    return written(dealt.mapInArrow(run, "batch bigint, shard int, words binary, counts binary, total bigint, distinct bigint"), "word-counts")
+
+
+def train(grams_: DataFrame, shards: int, least: int) -> tuple[DataFrame, tuple]:
+    """(the grams of training by shard; the tree above the shards). grams_: batch, shard, grams."""
+    spark = grams_.sparkSession
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shard", "grams", "kind", "key", "x", "a", "b"]
+
+        def table(kind: int, key: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            n = len(key)
+            cols = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(np.full(n, kind, np.int32)), pa.array(key, pa.int64()), *[pa.array(c, pa.float64()) for c in (x, a, b)]]
+            return pa.RecordBatch.from_arrays(cols, names=names)
+
+        for shard, keys, n in _merged_shards(it):
+            if not len(keys):
+                continue
+            none = [pa.nulls(1, t) for t in (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_packed(keys, n)], pa.binary()), *none], names=names)
+            below = part_of(keys, n, least)[2]
+            yield table(0, below.keys, below.logs, below.zeros, below.ones)
+            *_, (_, k, m) = shortened(keys, n, TOP - 1)
+            zero = np.zeros(len(k))
+            yield table(1, k, m.astype(np.float64), zero, zero)
+
+    dealt = grams_.select("shard", "grams").repartition(shards, "shard").sortWithinPartitions("shard")
+    found = written(dealt.mapInArrow(run, "shard int, grams binary, kind int, key bigint, x double, a double, b double"), "shard-grams")
+    # contexts of one byte, at most 2^8 with 2^8 bits or bytes each
+    sums = found.where("kind IS NOT NULL").groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in "xab"]).toPandas().sort_values("key")
+    part = lambda kind, c, t: sums.loc[sums["kind"] == kind, c].to_numpy(t)
+    below = Below(part(0, "key", np.int64), *(part(0, c, np.float64) for c in "xab"))
+    top = top_of((part(1, "key", np.int64), part(1, "x", np.float64)), below, least)
+    return found.where("grams IS NOT NULL").select("shard", "grams"), top
+
+
+def _merged_shards(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, sorted grams that training has, their numbers) of rows sorted by shard."""
+    key, held, size, done = None, [], 0, 0
+
+    def result() -> tuple[int, np.ndarray, np.ndarray]:
+        keys, n = _merged(held)
+        return key, keys[n > 0], n[n > 0]
+
+    for batch in it:
+        for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if shard != key:
+                if held:
+                    yield result()
+                key, held, size, done = shard, [], 0, 0
+            held.append(_unpacked(raw.as_buffer()))
+            size += len(held[-1][0])
+            if size > max(HELD, 2 * done):
+                held = [_merged(held)]
+                done = size = len(held[0][0])
+    if held:
+        yield result()
+
+
+def rate(grams_: DataFrame, trained: DataFrame, top: tuple, shards: int, least: int) -> DataFrame:
+    """batch, shard, values: log10 probabilities of the batch's grams in their order, as float32."""
+    sent = grams_.sparkSession.sparkContext.broadcast(top)  # levels above the shards: at most 2^16 nodes
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper_levels, upper = sent.value
+        key, tree = None, None
+        for batch in it:
+            out: list[tuple] = []
+            for number, shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                keys, n = _unpacked(raw.as_buffer())
+                if shard != key:  # a shard's own grams come first, if training has any of them
+                    tree, key = None, shard
+                    mine = (keys, n) if number is None else (keys[:0], n[:0])
+                    nodes, weights, _ = part_of(*mine, least)
+                    tree = Tree([*upper_levels, *levels_of(nodes, weights, upper)[0]])
+                if number is not None:
+                    out.append((number, shard, tree.score(keys).astype("<f4").tobytes()))
+            kinds = [pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["batch", "shard", "values"])
+
+    both = trained.select(F.lit(None).cast("long").alias("batch"), "shard", "grams").unionByName(grams_.select("batch", "shard", "grams"))
+    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("batch").asc_nulls_first())
+    return written(dealt.mapInArrow(run, "batch bigint, shard int, values binary"), "gram-scores")
+
+
+def score(docs: DataFrame, held_out: Column, *, text: str = "text", key: str = "doc_id", least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row.
 
     held_out: a boolean Column of docs; rows for which it is true are scored but not learned from. base_score is the
     add-one unigram model of the words and the end, for which all words that training lacks are one event. score is the
     tree's log10 probability of the text's bytes and their end; bits_per_byte its code length for each byte.
     """
-    tree = train(docs.where(~held_out), text, least=least, contexts=contexts)
-    words, texts = split(docs, text, key, held_out, tree.levels)
-    counts = written(words.groupBy("word").agg(F.sum("train").alias("n")), "word-counts")
-    facts = counts.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    n, v = facts["n"] or 0, facts["v"] or 0
-    back = words.select("batch", "word", "place").join(counts, "word").select("batch", "place", "n")
+    spark = docs.sparkSession
+    shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first = first_pass(docs, text, key, held_out, shards)
+    grams_ = first.where("grams IS NOT NULL").select("batch", "shard", "grams")
+    texts = first.where("places IS NOT NULL").select("batch", "doc_id", "held", "tokens", "places")
+    counted = count_words(first.where("words IS NOT NULL").select("batch", "shard", "words", "counts"), shards)
+    facts = counted.agg(F.sum("total").alias("n"), F.sum("distinct").alias("v")).first()
+    ends = texts.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
+    n, v = (facts["n"] or 0) + ends, (facts["v"] or 0) + (ends > 0)
+    trained, top = train(grams_, shards, least)
+    values = rate(grams_, trained, top, shards, least)
+    none = lambda c: F.lit(None).cast("binary").alias(c)
+    answers = counted.where("batch IS NOT NULL").select("batch", "shard", "words", "counts", none("values")).unionByName(values.select("batch", "shard", none("words"), none("counts"), "values"))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), *[pa.float64()] * 3]
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        place = right["place"].to_numpy()
-        base, known = np.zeros(len(place)), np.zeros(len(place))
-        of = right["n"].to_numpy()
-        base[place] = np.log10((of + 1) / (n + v + 1))
-        known[place] = of > 0
-        for row in left.to_pylist():
-            at = unpacked(row["places"])
-            tokens = np.array(row["tokens"])
-            starts = np.cumsum(tokens) - tokens
-            sums = [np.add.reduceat(x[at], starts) for x in (known, base)]
-            bits = -np.array(row["score"]) * math.log2(10) / np.maximum(1, np.array(row["bytes"]))
-            cols = [row["doc_id"], row["held"], tokens, sums[0].astype(np.int64), np.full(len(tokens), n), sums[1], row["score"], bits]
-            out.append(pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names))
-        return pa.concat_tables(out) if out else pa.table({a: pa.array([], k) for a, k in zip(names, kinds, strict=True)})
+        row = left.to_pylist()[0]
+        said = sorted(right.to_pylist(), key=lambda r: r["shard"])
+        of_words = [r for r in said if r["words"] is not None]
+        words = [w for r in of_words for w in zlib.decompress(r["words"]).split(b"\n")]
+        count = np.concatenate([*[_numbers(r["counts"]) for r in of_words], [ends]])
+        places, tokens = unpacked(row["places"]), np.array(row["tokens"], np.int64)
+        begin = np.cumsum(tokens) - tokens
+        known, base = (np.add.reduceat(x[places], begin) for x in ((count > 0).astype(np.float64), np.log10((count + 1) / (n + v + 1))))
+        raw, starts = spelled(pa.array([*words, END.encode()], pa.large_binary()), places, tokens)
+        del words, places
+        keys, _ = distinct_grams(raw, starts)
+        value = np.empty(len(keys))
+        order, _ = by_shard(_shard(keys, shards))
+        value[order] = np.frombuffer(b"".join([r["values"] for r in said if r["values"] is not None]), "<f4")
+        total = np.zeros(len(tokens))
+        for at in range(0, len(raw), BLOCK):
+            end = min(len(raw), at + BLOCK)
+            a, b = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, end) - 1
+            mine = grams(raw, starts, at, end)
+            turn = np.argsort(mine)
+            each = np.empty(len(mine))
+            each[turn] = value[np.searchsorted(keys, mine[turn])]
+            total[a : b + 1] += np.add.reduceat(each, np.maximum(starts[a : b + 1], at) - at)
+        bits = -total * math.log2(10) / np.diff(starts)
+        cols = [row["doc_id"], row["held"], tokens, known.astype(np.int64), np.full(len(tokens), n), base, total, bits]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
-    return texts.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(add, schema)
+    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(add, schema)
