@@ -182,7 +182,7 @@ def test_texts_as_bytes():
     for k, key in enumerate(keys.tolist()):
         text = int(np.searchsorted(starts, k, "right")) - 1
         before = (b"\xff" * 6 + want[text])[k - int(starts[text]) :][:6]
-        assert key == int.from_bytes(before[::-1], "big") << 8 | raw[k]
+        assert key == int.from_bytes(before[::-1], "big") << 8 | int(raw[k])
     for a, b in ((0, 3), (3, 11), (9, len(raw))):
         assert (context_tree.grams(raw, starts, a, b) == keys[a:b]).all()
 
@@ -192,8 +192,8 @@ def test_probabilities_sum_to_one():
 
     raw, starts = context_tree.spelled(*context_tree.numbered(pa.array(["abba ab", "abba" * 9, "b", "a b \xe9 abba"])))
     keys, n = context_tree.distinct_grams(raw, starts, np.ones(4, bool))
-    nodes, weights, below = context_tree.part_of(keys, n, 2)
-    *_, (_, k, m) = context_tree.shortened(keys, n, context_tree.TOP - 1)
+    nodes, weights = context_tree.part_of(keys, n, 2)
+    below, k, m = context_tree.heard(keys, n, 2)
     levels, upper = context_tree.top_of((k, m), below, 2)
     tree = context_tree.Tree([*levels, *context_tree.levels_of(nodes, weights, upper)[0]])
     for near in (b"ab", b" ", b"zz", b"abba a", b"\xff"):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import drop, scope, shared_path, written
 
-__all__ = ["NOT_WORD", "WORD_SPACE", "drop", "lower_ascii", "scope", "shared_path", "table", "words_of", "written"]
+__all__ = ["NOT_WORD", "WORD_SPACE", "drop", "lower_ascii", "released", "scope", "shared_path", "table", "words_of", "written"]
 
 #: White space that separates words: space and the five controls 0x09-0x0D.
 WORD_SPACE = "\x20\x09-\x0d"
@@ -37,3 +39,12 @@ _ODD_ASCII = re.compile("[\x1c-\x1f]")
 def lower_ascii(text: str) -> str:
     """Lower-cases A-Z and nothing else."""
     return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
+def released() -> None:
+    """Gives memory that a task has freed back to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

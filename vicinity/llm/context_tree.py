@@ -32,14 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 DEPTH = 6
 LEAST = 4
 #: Levels of the tree above the shards.
 TOP = 2
 #: Text of a batch, bytes that are looked at at once, and distinct grams that are held before they are merged.
-BATCH_BYTES, BLOCK, HELD = 16 << 20, 2 << 20, 1_200_000
+BATCH_BYTES, BLOCK, HELD = 12 << 20, 2 << 20, 1_000_000
 #: Stands for the end of a text; no word holds it.
 END = "\n"
 _END = 0xFF
@@ -171,7 +171,7 @@ class Tree:
         u = np.unique(pair)
         new = np.setdiff1d(u, self.known, assume_unique=True)
         if len(new):
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 600_000:
                 self.known, self.value, new = np.zeros(0, np.int64), np.zeros(0), u
             at = new >> 8
             none = at < 0
@@ -185,13 +185,15 @@ class Tree:
 
 def nodes_of(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context << 8 | bits so far, zeros, ones) of sorted keys (context << 8 | byte) with their numbers."""
-    byte, context = keys & 255, keys >> 8 << 8
-    every = np.concatenate([context | 1 << bit | byte >> (8 - bit) for bit in range(8)])
-    one = np.concatenate([(byte >> (7 - bit)) & 1 for bit in range(8)])
-    u, back = np.unique(every, return_inverse=True)
-    all_ = np.tile(n.astype(np.float64), 8)
-    ones = np.bincount(back, all_ * one, len(u))
-    return u, np.bincount(back, all_, len(u)) - ones, ones
+    found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+    for bit in range(8 if len(keys) else 0):
+        u = keys >> 8 << 8 | 1 << bit | (keys & 255) >> (8 - bit)  # sorted, as the keys are
+        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        ones = np.add.reduceat(np.where(keys >> (7 - bit) & 1, n, 0), first).astype(np.float64)
+        found.append((u[first], np.add.reduceat(n, first) - ones, ones))
+    u, zeros, ones = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(u)
+    return u[order], zeros[order], ones[order]
 
 
 def above(keys: np.ndarray) -> np.ndarray:
@@ -254,15 +256,24 @@ def shortened(keys: np.ndarray, n: np.ndarray, to: int) -> Iterator[tuple[int, n
         yield d, keys, n
 
 
-def part_of(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[list[tuple], list[tuple], Below | None]:
-    """(nodes, weights) of the levels from TOP on of the part of the tree below some contexts, and what the level above
-    hears. keys, n: the grams of training under these contexts."""
+def part_of(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[list[tuple], list[tuple]]:
+    """(nodes, weights) of the levels from TOP on of the part of the tree below some contexts. keys, n: the grams of
+    training under these contexts."""
     nodes, weights, below = [], [], None
     for _, k, m in shortened(keys, n, TOP):
         nodes.append(nodes_of(*frequent(k, m, least)))
         *weight, below = weighed(nodes[-1], below)
         weights.append(tuple(weight))
-    return nodes[::-1], weights[::-1], below
+    return nodes[::-1], weights[::-1]
+
+
+def heard(keys: np.ndarray, n: np.ndarray, least: int) -> tuple[Below, np.ndarray, np.ndarray]:
+    """(what the levels above a part of the tree hear from it; its grams with TOP - 1 bytes of context, their numbers)."""
+    below = None
+    for d, k, m in shortened(keys, n, TOP - 1):
+        if d >= TOP:
+            below = weighed(nodes_of(*frequent(k, m, least)), below)[2]
+    return below, k, m
 
 
 def top_of(counts: tuple[np.ndarray, np.ndarray], below: Below, least: int) -> tuple[list[tuple], tuple]:
@@ -406,7 +417,8 @@ def first_pass(docs: DataFrame, text: str, key: str, held_out: Column, shards: i
             new = np.empty(len(words), np.int64)
             new[order], new[-1] = np.arange(len(order)), len(order)
             yield rows(batch=[number], doc_id=[batch.column(0).to_pylist()], held=[~train], tokens=[n.astype(np.int32)], places=[packed(new[places])])
-            pa.default_memory_pool().release_unused()
+            del words, places, order, lists, sums, new, raw_words
+            released()
 
         size = 0
         for whole in it:
@@ -483,11 +495,12 @@ def train(grams_: DataFrame, shards: int, least: int) -> tuple[DataFrame, tuple]
                 continue
             none = [pa.nulls(1, t) for t in (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([_packed(keys, n)], pa.binary()), *none], names=names)
-            below = part_of(keys, n, least)[2]
+            below, k, m = heard(keys, n, least)
+            del keys, n
             yield table(0, below.keys, below.logs, below.zeros, below.ones)
-            *_, (_, k, m) = shortened(keys, n, TOP - 1)
             zero = np.zeros(len(k))
             yield table(1, k, m.astype(np.float64), zero, zero)
+            released()
 
     dealt = grams_.select("shard", "grams").repartition(shards, "shard").sortWithinPartitions("shard")
     found = written(dealt.mapInArrow(run, "shard int, grams binary, kind int, key bigint, x double, a double, b double"), "shard-grams")
@@ -529,23 +542,23 @@ def rate(grams_: DataFrame, trained: DataFrame, top: tuple, shards: int, least:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upper_levels, upper = sent.value
         key, tree = None, None
-        for batch in it:
-            out: list[tuple] = []
-            for number, shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                keys, n = _unpacked(raw.as_buffer())
-                if shard != key:  # a shard's own grams come first, if training has any of them
-                    tree, key = None, shard
-                    mine = (keys, n) if number is None else (keys[:0], n[:0])
-                    nodes, weights, _ = part_of(*mine, least)
-                    tree = Tree([*upper_levels, *levels_of(nodes, weights, upper)[0]])
-                if number is not None:
-                    out.append((number, shard, tree.score(keys).astype("<f4").tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["batch", "shard", "values"])
+        kinds, names = [pa.int64(), pa.int32(), pa.binary()], ["batch", "shard", "values"]
+        for whole in it:
+            for at in range(0, whole.num_rows, 16):
+                batch, out = whole.slice(at, 16), []
+                for number, shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    keys, n = _unpacked(raw.as_buffer())
+                    if shard != key:  # a shard's own grams come first, if training has any of them
+                        tree, key = None, shard
+                        released()
+                        tree = Tree([*upper_levels, *levels_of(*part_of(*((keys, n) if number is None else (keys[:0], n[:0])), least), upper)[0]])
+                    if number is not None:
+                        out.append((number, shard, tree.score(keys).astype("<f4").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=names)
 
     both = trained.select(F.lit(None).cast("long").alias("batch"), "shard", "grams").unionByName(grams_.select("batch", "shard", "grams"))
     dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", F.col("batch").asc_nulls_first())
-    return written(dealt.mapInArrow(run, "batch bigint, shard int, values binary"), "gram-scores")
+    return dealt.mapInArrow(run, "batch bigint, shard int, values binary")
 
 
 def score(docs: DataFrame, held_out: Column, *, text: str = "text", key: str = "doc_id", least: int = LEAST) -> DataFrame:
@@ -596,6 +609,8 @@ def score(docs: DataFrame, held_out: Column, *, text: str = "text", key: str = "
             each[turn] = value[np.searchsorted(keys, mine[turn])]
             total[a : b + 1] += np.add.reduceat(each, np.maximum(starts[a : b + 1], at) - at)
         bits = -total * math.log2(10) / np.diff(starts)
+        del raw, keys, value, said, of_words
+        released()
         cols = [row["doc_id"], row["held"], tokens, known.astype(np.int64), np.full(len(tokens), n), base, total, bits]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
