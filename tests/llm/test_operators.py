@@ -335,6 +335,8 @@ def test_blocks_decode_segment_by_segment():
     for place in (50, len(raw) - 1):
         with pytest.raises(ValueError):
             token_store.Block(raw[:place] + bytes([raw[place] ^ 1]) + raw[place + 1 :], t)
+    some = [None, -(1 << 63), None, 0, (1 << 63) - 1]
+    assert token_store.Block(token_store.encode_block(t, some, [1] * 5, ids[:5]), t).doc_ids == some
     one = token_store.Table.scaled({7: 3}, 10)
     assert token_store.Block(token_store.encode_block(one, [1], [3], np.array([7, 7, 7])), one).tokens().tolist() == [7, 7, 7]
 
