@@ -27,6 +27,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import resident
+
 CACHE = 400_000
 #: Longer chunks aren't kept.
 CACHED_CHARS = 64
@@ -160,14 +162,9 @@ class Codec:
         return out[out != 0].tobytes()[:-1]
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """One per worker and vocabulary."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return resident(("codec", path), lambda: Codec(path))
 
 
 def _slices(it: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import drop, scope, shared_path, written
 
-__all__ = ["NOT_WORD", "WORD_SPACE", "drop", "lower_ascii", "released", "scope", "shared_path", "table", "words_of", "written"]
+__all__ = ["NOT_WORD", "WORD_SPACE", "drop", "lower_ascii", "released", "resident", "scope", "shared_path", "table", "words_of", "written"]
 
 #: White space that separates words: space and the five controls 0x09-0x0D.
 WORD_SPACE = "\x20\x09-\x0d"
@@ -48,3 +49,17 @@ def released() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass
+
+
+_resident: tuple = (None, None)
+
+
+def resident(name: object, make: Callable[[], object] | None = None) -> object:
+    """The one object that a Python worker keeps between its tasks: a model or codec with its cache. Whatever another
+    operator has left there goes first, so a worker that serves many stages holds one of them at a time."""
+    global _resident
+    if _resident[0] != name:
+        _resident = (None, None)
+        released()
+        _resident = (name, make() if make else None)
+    return _resident[1]

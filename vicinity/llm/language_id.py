@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import resident, written
 
 UNKNOWN = "und"
 CACHE = 800_000
@@ -270,15 +270,9 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text", keep: t
 
 #: Units of evidence that a posterior counts at most.
 TEMPER = 25
-_models: dict[str, Model | None] = {}
-
-
 def _model(name: str, state) -> Model | None:
     """One per worker, kept between its tasks."""
-    if name not in _models:
-        _models.clear()
-        _models[name] = state.value and Model(*state.value)
-    return _models[name]
+    return resident(("language", name), lambda: state.value and Model(*state.value))
 
 
 def learn_and_predict(docs: DataFrame, model: str, held_out, keep: tuple[str, ...] = ("doc_id",), **fit_options) -> DataFrame:

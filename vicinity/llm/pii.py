@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from .common import resident
+
 #: Order of the kinds in results.
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -255,6 +257,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     place = keep.index(text) if text in keep else len(keep)  # the text crosses to Python once
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("personal data")
         for whole in it:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, words_of, written
+from .common import lower_ascii, resident, words_of, written
 from .components import stars
 from .shingle_sets import alike, number_of, shards_of, shingle_set
 
@@ -309,6 +309,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.
     radius, width = radius_of(similarity, bits), bits // 8
 
     def sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        resident("near duplicates")
         for whole in it:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)

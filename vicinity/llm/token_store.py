@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_characters
-from .common import shared_path
+from .common import resident, shared_path
 
 PROB_BITS = 22
 LANES = 1024
@@ -262,13 +262,8 @@ class Encoder:
         return [x.tobytes() for x in np.split(ids, np.cumsum(per)[:-1])] if texts else []
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
 def _slices(it: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
