@@ -244,6 +244,31 @@ def test_many_configurations_at_once(spark):
     assert knn.distances(q, refs).count() == 30 * 299
 
 
+def test_ties_and_common_vectors():
+    """Many equal distances, references in any order, many blocks: the k nearest by distance, then id."""
+    from vicinity.operators.vectors import Best, partial, prepared
+
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 3, (900, 4)).astype(float)
+    v[::3] = 1
+    q, ids, y = v[:70], rng.permutation(5000)[:900], rng.integers(0, 2, 900)
+    asked, own = prepared(q)
+    best = Best(70, 5)
+    for at in range(0, 900, 130):
+        part = np.arange(at, min(900, at + 130))
+        part = part[np.argsort(ids[part])]
+        for rows in (np.arange(0, 40), np.arange(40, 70)):
+            d = partial(asked[rows], v[part])
+            d[ids[rows][:, None] == ids[part][None, :]] = np.inf
+            best.meet(rows, d, own[rows], ids[part], y[part])
+    i, r, labels, d = best.found()
+    for k in range(70):
+        dist = ((v - q[k]) ** 2).sum(1).astype(int)
+        want = sorted((int(dist[j]), int(ids[j]), int(y[j])) for j in range(900) if j != k)[:5]
+        mine = i == k
+        assert list(zip(d[mine].tolist(), r[mine].tolist(), labels[mine].tolist(), strict=True)) == want
+
+
 def test_best_configuration(spark):
     rows = [(1, 0, 0, 1, 5), (2, 0, 0, 0, 9), (4, 12, 0, 0, 7), (8, 0, 0, 0, 7)]
     results = spark.createDataFrame(rows, "nprobe int, nprobe_border int, fp int, fn int, p99 int")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import Best, blocks, matrix, squared, waves
+from .vectors import Best, blocks, matrix, partial, prepared, squared, waves
 
 _NAMES = ("qid", "ref_id", "is_fraud", "dist")
 
@@ -28,13 +28,16 @@ def top_k(queries: DataFrame, refs: DataFrame, k: int = 5, *, key: str = "qid",
         def scan(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
             best, every = Best(len(ids), k), np.arange(len(ids))
+            asked, own = prepared(q)
             for b in blocks(it):
                 if len(ids) and b.num_rows:
-                    ref = b.column(0).to_numpy()
-                    d = squared(q, matrix(b, 2))
+                    ref, y, v = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False), matrix(b, 2)
+                    order = np.argsort(ref, kind="stable")
+                    ref = ref[order]
+                    d = partial(asked, v[order])
                     if other_than_self:
                         d[ids[:, None] == ref[None, :]] = np.inf
-                    best.meet(every, d, ref, b.column(1).to_numpy(zero_copy_only=False))
+                    best.meet(every, d, own, ref, y[order])
             i, r, y, d = best.found()
             cols = [pa.array(ids[i]), pa.array(r), pa.array(y.astype(np.int32)), pa.array(d)]
             yield pa.RecordBatch.from_arrays(cols, names=_NAMES)

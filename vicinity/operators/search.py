@@ -15,7 +15,7 @@ from ..functions.rules import approved, borderline, fraud_score
 from ..storage import written
 from . import kmeans
 from .knn import fraud_counts, ranked
-from .vectors import WAVE_BYTES, Best, blocks, matrix, squared
+from .vectors import WAVE_BYTES, Best, blocks, matrix, partial, prepared
 
 FAR = (1 << 31) - 1
 #: Boxes are sent to every task; an index has one for each cluster, and k is its parameter.
@@ -64,6 +64,7 @@ def scan(asked: DataFrame, postings: DataFrame, k: int, *, other_than_self: bool
         def look(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             slot, qid, q, into, row = sent.value
             best = Best(len(qid), k)
+            asked, own = prepared(q)
             for b in blocks(it):
                 if not b.num_rows:
                     continue
@@ -71,12 +72,13 @@ def scan(asked: DataFrame, postings: DataFrame, k: int, *, other_than_self: bool
                 for c in np.unique(cluster):
                     who = row[np.searchsorted(into, c) : np.searchsorted(into, c, "right")]
                     here = np.flatnonzero(cluster == c)
+                    here = here[np.argsort(ref[here], kind="stable")]
                     for at in range(0, len(who), 4096):
                         part = who[at : at + 4096]
-                        d = squared(q[part], v[here])
+                        d = partial(asked[part], v[here])
                         if other_than_self:
                             d[qid[part][:, None] == ref[here][None, :]] = np.inf
-                        best.meet(part, d, ref[here], y[here])
+                        best.meet(part, d, own[part], ref[here], y[here])
             i, r, y, d = best.found()
             cols = [pa.array(slot[i]), pa.array(qid[i]), pa.array(r), pa.array(y.astype(np.int32)), pa.array(d)]
             yield pa.RecordBatch.from_arrays(cols, names=["slot", "qid", "ref_id", "is_fraud", "dist"])

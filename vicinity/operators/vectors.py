@@ -31,6 +31,16 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
 
 
+def prepared(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(queries for partial(), their own squares)."""
+    return np.hstack([-2 * q, np.ones((len(q), 1))]), (q * q).sum(1)
+
+
+def partial(asked: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Squared distances less the queries' own squares, in one product; asked: from prepared()."""
+    return asked @ np.hstack([v, (v * v).sum(1)[:, None]]).T
+
+
 class Best:
     """The k nearest that each query of a set has met: dist, ref and y, ascending by (dist, ref)."""
 
@@ -40,19 +50,31 @@ class Best:
         self.ref = np.full((n, k), np.iinfo(np.int64).max)
         self.y = np.zeros((n, k), np.int64)
 
-    def meet(self, rows: np.ndarray, dist: np.ndarray, ref: np.ndarray, y: np.ndarray) -> None:
-        """dist: of each of the rows' queries to each reference; infinite ones don't count."""
-        near = dist <= self.dist[rows, -1][:, None]
-        some = np.flatnonzero(near.any(axis=1))
-        width = int(near.sum(axis=1).max(initial=0))  # references beyond the kth nearest so far are no news
-        if not width:
+    def meet(self, rows: np.ndarray, part: np.ndarray, own: np.ndarray, ref: np.ndarray, y: np.ndarray) -> None:
+        """part: the rows' distances to references that ascend by ref, less `own` of each row, as partial() gives them;
+        infinite ones don't count."""
+        k = self.k
+        near = part <= (self.dist[rows, -1] - own)[:, None]
+        count = near.sum(axis=1)
+        many = np.flatnonzero(count > 4 * k)
+        if len(many):  # the k nearest of the block are enough, of those that tie at its kth distance the first k
+            t = part[many]
+            kth = np.partition(t, k - 1, axis=1)[:, k - 1 : k]
+            tie = t == kth
+            near[many] &= (t < kth) | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k))
+        r, c = np.nonzero(near)
+        if not len(r):
             return
-        rows, dist = rows[some], dist[some]
-        at = np.argpartition(dist, min(width, dist.shape[1]) - 1, axis=1)[:, :width]
-        d = np.hstack([self.dist[rows], np.take_along_axis(dist, at, 1)])
-        r, c = np.hstack([self.ref[rows], ref[at]]), np.hstack([self.y[rows], y[at]])
-        order = np.lexsort((r, d), axis=1)[:, : self.k]
-        self.dist[rows], self.ref[rows], self.y[rows] = (np.take_along_axis(x, order, 1) for x in (d, r, c))
+        some = np.unique(r)
+        row = np.concatenate([np.repeat(some, k), r])
+        dist = np.concatenate([self.dist[rows[some]].ravel(), part[r, c] + own[r]])
+        refs = np.concatenate([self.ref[rows[some]].ravel(), ref[c]])
+        labels = np.concatenate([self.y[rows[some]].ravel(), y[c]])
+        order = np.lexsort((refs, dist, row))
+        row = row[order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        order = order[np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row))) < k]
+        self.dist[rows[some]], self.ref[rows[some]], self.y[rows[some]] = (x[order].reshape(-1, k) for x in (dist, refs, labels))
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(query, ref, y, dist) of all that was met."""
