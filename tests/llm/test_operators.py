@@ -170,6 +170,32 @@ def test_context_tree_in_many_batches(spark, monkeypatch):
     assert one.keys() == many.keys() and all(np.allclose(one[k][2:], many[k][2:], atol=1e-4) for k in one)
 
 
+def test_slices_of_columns():
+    """What operators read from a slice of a column is what they read from its rows alone."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = [None if k % 11 == 0 else " ".join(rng.choice(["Aa", "b.", "C", "dé", "e\nf"]) for _ in range(rng.randint(0, 9))) for k in range(300)]
+    column, e = pa.array(texts, pa.string()), token_store.Encoder(WORDS)
+    for a, n in ((0, 300), (7, 20), (100, 100), (250, 50), (299, 1)):
+        part, alone = column.slice(a, n), pa.array(texts[a : a + n], pa.string())
+        counts, words = topics.profiles(part)
+        assert (counts == topics.profiles(alone)[0]).all() and words.tolist() == [len(words_of(t or "")) for t in texts[a : a + n]]
+        raw, starts = context_tree.spelled(*context_tree.numbered(part))
+        assert raw.tobytes() == context_tree.spelled(*context_tree.numbered(alone))[0].tobytes() and len(starts) == n + 1
+        ids, per = e.encode_column(part, 2)
+        want = [[*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts[a : a + n]]
+        assert ids.tolist() == [i for x in want for i in x] and per.tolist() == [len(x) for x in want]
+
+
+def test_topics_do_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices([f"{'ABCD'[i % 4]}{k}" for k in range(50)], k=60))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    models = [topics.fit(x, 4, sample_rows=900) for x in (df.coalesce(1), df.repartition(5), df.repartition(3))]
+    assert all(np.allclose(models[0][0], m[0]) and np.allclose(models[0][1], m[1]) for m in models[1:])
+
+
 def test_texts_as_bytes():
     import pyarrow as pa
 

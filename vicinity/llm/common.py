@@ -6,12 +6,14 @@ import ctypes
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import drop, scope, shared_path, written
 
-__all__ = ["NOT_WORD", "WORD_SPACE", "drop", "lower_ascii", "released", "resident", "scope", "shared_path", "table", "words_of", "written"]
+__all__ = ["NOT_WORD", "WORD_SPACE", "drop", "lower_ascii", "released", "resident", "scope", "shared_path", "strings", "table", "words_of", "written"]
 
 #: White space that separates words: space and the five controls 0x09-0x0D.
 WORD_SPACE = "\x20\x09-\x0d"
@@ -42,6 +44,12 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_LOWER)
 
 
+def strings(texts: pa.Array) -> pa.Array:
+    """The texts as large strings, null as empty, in buffers of their own: some kernels misread a slice that was cast."""
+    own = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts))))
+    return own.cast(pa.large_string())
+
+
 def released() -> None:
     """Gives memory that a task has freed back to the machine, where the C library can."""
     pa.default_memory_pool().release_unused()

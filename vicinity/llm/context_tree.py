@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import released, strings, written
 
 DEPTH = 6
 LEAST = 4
@@ -332,7 +332,7 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 def numbered(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct words with the end; for each text its words and the end as places among them; their number)."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(strings(texts)))
     coded = split.flatten().dictionary_encode()
     words, places = coded.dictionary, coded.indices.to_numpy()
     n = np.diff(split.offsets.to_numpy())

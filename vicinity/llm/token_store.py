@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_characters
-from .common import resident, shared_path
+from .common import resident, shared_path, strings
 
 PROB_BITS = 22
 LANES = 1024
@@ -203,21 +203,41 @@ class Encoder:
     def _whole(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _encode(self, chunk: str) -> bytes:
-        """The chunk's ids, from the library's merges piece by piece where its normaliser can't change more than case.
+    def _plain(self, chunks: list[str]) -> list[bytes]:
+        """The chunks' ids, from the library's merges piece by piece where its normaliser can't change more than case.
 
         That holds for characters below U+0100 outside special tokens: the canonical form leaves them and lower case
         maps them one by one. Anything else takes the library's whole path.
         """
-        if self.plain and chunk.isascii():
-            low = chunk.lower()
-            if low.isalpha():
-                return self._piece(low)
-            if low[-1:] in _ENDS and low[:-1].isalpha():
-                return self._piece(low[:-1]) + self._piece(low[-1])
-        if not self.plain or self.marked(chunk) or not (chunk.isascii() or max(chunk) < "\u0100"):
-            return self._whole(chunk)
-        return b"".join(map(self._piece, _PIECES.findall(chunk.lower())))
+        out, known, piece = [], self.pieces.get, self._piece
+        for x in chunks:
+            if x.isascii():
+                low = x.lower()
+                ids = known(low)
+                if ids is None:
+                    if low.isalpha():
+                        ids = piece(low)
+                    elif low[-1:] in _ENDS and low[:-1].isalpha():
+                        ids = piece(low[:-1]) + piece(low[-1])
+                    else:
+                        ids = self._whole(x) if self.marked(x) else b"".join(map(piece, _PIECES.findall(low)))
+            elif self.marked(x) or max(x) >= "\u0100":
+                ids = self._whole(x)
+            else:
+                ids = b"".join(map(piece, _PIECES.findall(x.lower())))
+            out.append(ids)
+        return out
+
+    def _other(self, chunks: list[str]) -> list[bytes]:
+        """The chunks' ids by the library's whole path."""
+        cache = self.cache
+        found = list(map(cache.get, chunks))
+        for k, x in enumerate(chunks):
+            if found[k] is None:
+                found[k] = ids = self._whole(x)
+                if len(x) <= CACHED_CHARS:
+                    cache[x] = ids
+        return found
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
@@ -229,22 +249,18 @@ class Encoder:
     def encode_column(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end ids included, one after the other, and how many each text has.
 
-        Arrow cuts the texts at spaces and finds the distinct chunks; only these cross into Python.
+        Arrow cuts the texts at spaces, or white space, and finds the distinct chunks; only these cross into Python.
         """
-        cache = self.cache
-        if len(cache) >= CACHE:
-            cache.clear()
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
         if len(self.pieces) >= PIECES:
             self.pieces.clear()
-        split = pc.split_pattern(pc.fill_null(texts.cast(pa.large_string()), ""), " ")
+        filled = strings(texts)
+        # no piece of the plain cut holds white space
+        split = pc.ascii_split_whitespace(filled) if self.plain else pc.split_pattern(filled, " ")
         coded = split.flatten().dictionary_encode()
         chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(cache.get, chunks))
-        for k, x in enumerate(chunks):
-            if found[k] is None:
-                found[k] = ids = self._encode(x)
-                if len(x) <= CACHED_CHARS:
-                    cache[x] = ids
+        found = self._plain(chunks) if self.plain else self._other(chunks)
         found.append(self.kind(end).tobytes())
         size = np.fromiter(map(len, found), np.int64, len(found)) // self.kind().itemsize
         flat = np.frombuffer(b"".join(found), self.kind)
@@ -282,7 +298,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end: int, vocabulary: int, text: s
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
         names, seen = ["doc_id", "width", "ids", "counts"], np.zeros(vocabulary, np.int64)
-        for batch in _slices(it, 2000):
+        for batch in _slices(it, 5000):
             ids, n = e.encode_column(batch.column(1), end)
             seen += np.bincount(ids, minlength=vocabulary)
             at = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
