@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vicinity import schema
 from vicinity.config import NormConfig, SearchConfig, read_flat
 from vicinity.functions import distance, features
-from vicinity.operators import evaluate, index, kmeans, knn, metrics, search
+from vicinity.operators import evaluate, index, kmeans, knn, metrics, search, vectors
 from vicinity.sources import readers, sinks
 from vicinity.streaming import scoring
 
@@ -208,3 +208,35 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     batch = work(spark.read.schema(schema.TRANSACTION).json(str(tmp_path / "in"))).collect()
     assert sorted(map(str, got)) == sorted(map(str, batch)) and len(got) == 31
+
+
+def test_requests_of_one_id_have_answers_of_their_own(spark):
+    """Requests are told apart by their vectors: two of one id have two answers, equal vectors one search."""
+    refs = spark.createDataFrame([(i, [0 if i < 5 else 10000] * 14, int(i >= 5)) for i in range(10)], "ref_id bigint, v array<int>, is_fraud int")
+    c = np.array([[0.0] * 14, [10000.0] * 14])
+    posts = index.assign(refs, c)
+    low = request(id="r", transaction={"amount": 0.0, "installments": 0, "requested_at": "2026-03-09T00:00:00Z"}, terminal={"card_present": False}, merchant={"mcc": "5411"})
+    high = request(id="r", transaction={"amount": 1e6, "installments": 12, "requested_at": "2026-03-15T23:00:00Z"}, customer={"tx_count_24h": 20, "known_merchants": []}, merchant={"mcc": "7995", "avg_amount": 1e6}, terminal={"is_online": True, "km_from_home": 1e6}, last_transaction=None)
+    rows = spark.createDataFrame([(json.dumps(x),) for x in (low, high, low | {"id": "s"}, request(id="bad", merchant={"id": None}))], "body string")
+    got = scoring.score(readers.parse_transactions(rows), c, posts, index.boxes(posts, c, 14), SearchConfig(nprobe=1)).collect()
+    assert sorted((r["id"], r["fraud_count"]) for r in got if r["id"] != "bad") == [("r", 0), ("r", 5), ("s", 0)] and len(got) == 4
+
+
+def test_cells_leave_out_most_pairs_and_no_neighbour():
+    """The search by cells gives what all pairs give, ties to the smaller id and the query itself left out."""
+    rng = np.random.default_rng(5)
+    v = rng.integers(0, 20_000, (12_000, 2)).astype(float)
+    v[rng.integers(len(v), size=3000)] = v[:3000]  # copies, which tie
+    ref, y = rng.permutation(len(v)), rng.integers(0, 2, len(v))
+    at = rng.integers(len(v), size=2000)
+    q, ids = v[at], ref[at]
+    q, ids = (x[vectors.halved(q, vectors.ASKED)[0]] for x in (q, ids))
+    best, pairs = vectors.Best(len(q), 5), 0
+    for a in range(0, len(v), 4000):
+        part = slice(a, a + 4000)
+        pairs += best.meet_all(np.arange(len(q)), q, *vectors.prepared(q), v[part], ref[part], y[part], ids)
+    d = vectors.squared(q, v)
+    d[ids[:, None] == ref[None, :]] = np.inf
+    want = np.array([np.lexsort((ref, x))[:5] for x in d])
+    assert (best.ref == ref[want]).all() and (best.y == y[want]).all() and (best.dist == np.take_along_axis(d, want, 1)).all()
+    assert pairs < 0.4 * d.size

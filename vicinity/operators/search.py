@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ..functions.rules import approved, borderline, fraud_score
 from ..storage import written
 from . import kmeans
 from .knn import fraud_counts, ranked
-from .vectors import WAVE_BYTES, Best, blocks, matrix, partial, prepared
+from .vectors import ASKED, WAVE_BYTES, Best, chunks, halved, matrix, prepared
 
 FAR = (1 << 31) - 1
 #: Boxes are sent to every task; an index has one for each cluster, and k is its parameter.
@@ -43,7 +44,8 @@ def scan(asked: DataFrame, postings: DataFrame, k: int, *, other_than_self: bool
     """slot, qid, ref_id, is_fraud, dist of at most k for each task and row of asked (slot, qid, v, clusters).
 
     Rows of asked go to the tasks in waves of about WAVE_BYTES, whatever their number; a task works through its postings
-    in blocks, the part of each cluster against the rows that look into it.
+    in chunks, the part of each cluster against the rows that look into it, cell by cell, so that only cells are compared
+    that may hold something near enough.
     """
     spark = postings.sparkSession
     size = asked.agg(F.sum(F.size("v") * 8 + F.size("clusters") * 12 + 32)).first()[0] or 0
@@ -51,34 +53,32 @@ def scan(asked: DataFrame, postings: DataFrame, k: int, *, other_than_self: bool
     rows = postings.select("cluster_id", F.col("ref_id").cast("long"), "is_fraud", "v")
     parts = []
     for w in range(n):
-        got = asked.where(F.pmod(F.xxhash64("slot", "qid"), F.lit(n)) == w).collect()  # bounded: a wave
-        if not got:
+        got = asked.where(F.pmod(F.xxhash64("slot", "qid"), F.lit(n)) == w).select("slot", "qid", "v", "clusters").toArrow().combine_chunks()  # bounded: a wave
+        if not got.num_rows:
             continue
-        into = np.array([c for r in got for c in r["clusters"]], np.int64)
-        row = np.repeat(np.arange(len(got)), [len(r["clusters"]) for r in got])
+        got = got.to_batches()[0]
+        q = matrix(got, 2)
+        order, _ = halved(q, ASKED)  # neighbours stand together
+        got, q = got.take(pa.array(order)), q[order]
+        into, counts = got.column(3).flatten().to_numpy(), pc.list_value_length(got.column(3)).to_numpy()
+        row = np.repeat(np.arange(len(q)), counts)
         order = np.argsort(into, kind="stable")
-        names = np.array([r["slot"] for r in got], np.int32), np.array([r["qid"] for r in got], np.int64)
-        q = np.array([r["v"] for r in got], np.float64)
-        sent = spark.sparkContext.broadcast((*names, q, into[order], row[order]))
+        sent = spark.sparkContext.broadcast((got.column(0).to_numpy(), got.column(1).to_numpy(), q, into[order], row[order]))
 
         def look(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             slot, qid, q, into, row = sent.value
             best = Best(len(qid), k)
             asked, own = prepared(q)
-            for b in blocks(it):
+            for b in chunks(it, 3):
                 if not b.num_rows:
                     continue
+                b = b.to_batches()[0]
                 cluster, ref, y, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False), matrix(b, 3)
                 for c in np.unique(cluster):
                     who = row[np.searchsorted(into, c) : np.searchsorted(into, c, "right")]
-                    here = np.flatnonzero(cluster == c)
-                    here = here[np.argsort(ref[here], kind="stable")]
-                    for at in range(0, len(who), 4096):
-                        part = who[at : at + 4096]
-                        d = partial(asked[part], v[here])
-                        if other_than_self:
-                            d[qid[part][:, None] == ref[here][None, :]] = np.inf
-                        best.meet(part, d, own[part], ref[here], y[here])
+                    if len(who):
+                        here = np.flatnonzero(cluster == c)
+                        best.meet_all(who, q, asked, own, v[here], ref[here], y[here], qid if other_than_self else None)
             i, r, y, d = best.found()
             cols = [pa.array(slot[i]), pa.array(qid[i]), pa.array(r), pa.array(y.astype(np.int32)), pa.array(d)]
             yield pa.RecordBatch.from_arrays(cols, names=["slot", "qid", "ref_id", "is_fraud", "dist"])

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Bytes of queries that a wave sends to every task.
 WAVE_BYTES = 32 << 20
 BLOCK = 4096
+#: Bytes of vectors that a task holds to put them in cells; queries and vectors of a cell.
+CHUNK_BYTES = 16 << 20
+ASKED, CELL = 64, 256
 
 
 def matrix(batch: pa.RecordBatch, column: int) -> np.ndarray:
@@ -26,6 +29,19 @@ def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BLOCK)
 
 
+def chunks(it: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
+    """Batches put together until their vectors come to CHUNK_BYTES."""
+    held, size = [], 0
+    for b in it:
+        held.append(b)
+        size += len(b.column(column).flatten()) * 8
+        if size >= CHUNK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances; exact for whole numbers whose results stay below 2^53."""
     return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
@@ -41,6 +57,31 @@ def partial(asked: np.ndarray, v: np.ndarray) -> np.ndarray:
     return asked @ np.hstack([v, (v * v).sum(1)[:, None]]).T
 
 
+def halved(v: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): rows in cells of at most `size`, made by halving the widest side of the box again and again."""
+    order, starts, todo = np.arange(len(v)), [], [(0, len(v))]
+    while todo:
+        a, b = todo.pop()
+        if b - a <= size:
+            starts.append(a)
+            continue
+        part = v[order[a:b]]
+        side, middle = np.ptp(part, axis=0).argmax(), (b - a) // 2
+        order[a:b] = order[a:b][np.argpartition(part[:, side], middle)]
+        todo += [(a + middle, b), (a, a + middle)]
+    return order, np.array(starts)
+
+
+def gaps(low: np.ndarray, high: np.ndarray, others_low: np.ndarray, others_high: np.ndarray) -> np.ndarray:
+    """Least squared distances between boxes of one kind and boxes of another."""
+    out = np.zeros((len(low), len(others_low)))
+    for i in range(low.shape[1]):
+        gap = np.maximum(others_low[:, i][None] - high[:, i][:, None], low[:, i][:, None] - others_high[:, i][None])
+        np.maximum(gap, 0, out=gap)
+        out += gap * gap
+    return out
+
+
 class Best:
     """The k nearest that each query of a set has met: dist, ref and y, ascending by (dist, ref)."""
 
@@ -76,6 +117,42 @@ class Best:
         order = order[np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row))) < k]
         self.dist[rows[some]], self.ref[rows[some]], self.y[rows[some]] = (x[order].reshape(-1, k) for x in (dist, refs, labels))
 
+    def meet_all(self, rows: np.ndarray, q: np.ndarray, asked: np.ndarray, own: np.ndarray, v: np.ndarray, ref: np.ndarray, y: np.ndarray, ids: np.ndarray | None = None) -> int:
+        """The rows of the queries q (asked, own: from prepared()) meet all of v; ids: the queries' ids, where a
+        reference of that id doesn't count. Returns the number of pairs that were compared.
+
+        Both sides lie in cells; those of queries are runs of `rows`, which should be near each other. A cell of
+        references that is farther off than the kth of each query of a cell can't change them; one as far still can by a
+        smaller id.
+        """
+        order, starts = halved(v, CELL)
+        ends = np.append(starts[1:], len(v))
+        for a, b in zip(starts, ends, strict=True):
+            order[a:b] = order[a:b][np.argsort(ref[order[a:b]], kind="stable")]
+        v, ref, y = v[order], ref[order], y[order]
+        right = np.hstack([v, (v * v).sum(1)[:, None]]).T
+        low, high = np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
+        step, pairs = ASKED * max(1, (1 << 21) // len(starts)), 0
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            cuts = np.arange(0, len(some), ASKED)
+            far = gaps(np.minimum.reduceat(q[some], cuts), np.maximum.reduceat(q[some], cuts), low, high)
+            worst = np.maximum.reduceat(self.dist[some, -1], cuts)
+            for i in np.flatnonzero(far.min(axis=1) <= worst):
+                part = some[cuts[i] : cuts[i] + ASKED]
+                left = asked[part]
+                close = np.flatnonzero(far[i] <= worst[i])
+                for c in close[np.argsort(far[i, close], kind="stable")]:
+                    if far[i, c] > self.dist[part, -1].max():
+                        break
+                    a, b = starts[c], ends[c]
+                    d = left @ right[:, a:b]
+                    if ids is not None:
+                        d[ids[part][:, None] == ref[a:b][None, :]] = np.inf
+                    self.meet(part, d, own[part], ref[a:b], y[a:b])
+                    pairs += d.size
+        return pairs
+
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(query, ref, y, dist) of all that was met."""
         at = np.nonzero(np.isfinite(self.dist))

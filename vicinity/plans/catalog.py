@@ -15,7 +15,7 @@ from ..functions.features import quantise_f32
 from ..operators import evaluate, index, kmeans, knn, metrics, search
 from ..sources import readers, sinks
 from ..sources.readers import table
-from ..storage import shared_path
+from ..storage import shared_path, written
 from ..streaming import scoring
 from . import tables as t
 
@@ -744,9 +744,9 @@ def q_stream_score(spark: SparkSession, sf: str) -> DataFrame:
     )
     folder, out = shared_path(spark, "requests"), shared_path(spark, "scores")
     table(spark, sf, "events").select(body.alias("b")).select("b.*").write.json(folder)
-    refs = event_vectors(spark, sf).select(F.col("event_id").alias("ref_id"), "v", (F.col("value") > 50).cast("int").alias("is_fraud"))
+    refs = written(event_vectors(spark, sf).select(F.col("event_id").alias("ref_id"), "v", (F.col("value") > 50).cast("int").alias("is_fraud")), "refs")
     c, at = kmeans.seeds(refs, 64), shared_path(spark, "index")
-    postings = index.assign(refs, c)
+    postings = written(index.assign(refs, c), "postings")
     sinks.write_index(at, {"k": len(c), "dims": 14}, index.boxes(postings, c, 14), postings)
     _, boxes, postings = readers.index(spark, at)
     work = lambda df: scoring.score(df, c, postings, boxes, SearchConfig(nprobe=1))

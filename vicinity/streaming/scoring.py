@@ -14,8 +14,8 @@ from ..config import NormConfig, SearchConfig
 from ..functions.features import vectorise
 from ..functions.rules import response
 from ..operators import metrics, search
-from ..sources.readers import parse_transactions, split_valid
-from ..storage import scope
+from ..sources.readers import parse_transactions
+from ..storage import scope, written
 
 
 def read_requests(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -24,12 +24,13 @@ def read_requests(spark: SparkSession, path: str, files_per_batch: int = 100) ->
 
 
 def score(requests: DataFrame, centroids: np.ndarray, postings: DataFrame, boxes: DataFrame, config: SearchConfig, norm: NormConfig | None = None) -> DataFrame:
-    """id, fraud_count, fraud_score, approved, body for a batch of requests; rejected ones have only an id."""
-    good, bad = split_valid(requests)
-    rows = vectorise(good, norm).select("id", F.xxhash64("id").alias("qid"), "v")
-    queries = rows.select("qid", "v").dropDuplicates(["qid"])
+    """id, fraud_count, fraud_score, approved, body for a batch of requests; rejected ones have only an id. Requests of one
+    vector are searched for once."""
+    read = written(vectorise(requests, norm).select("id", "v"), "requests")
+    rows, bad = read.where("v IS NOT NULL"), read.where("v IS NULL")  # rejected ones have none
+    queries = written(rows.select("v").distinct().select(F.monotonically_increasing_id().alias("qid"), "v"), "queries")
     got = search.answer(queries, search.search(queries, centroids, postings, boxes, config, border=True))
-    scored = rows.join(got, "qid").select("id", "fraud_count", "fraud_score", "approved", response(F.col("fraud_count")).alias("body"))
+    scored = rows.join(queries.join(got, "qid"), "v").select("id", "fraud_count", "fraud_score", "approved", response(F.col("fraud_count")).alias("body"))
     return scored.unionByName(bad.select("id"), allowMissingColumns=True)
 
 
