@@ -196,6 +196,21 @@ def test_topics_do_not_depend_on_partitions(spark):
     assert all(np.allclose(models[0][0], m[0]) and np.allclose(models[0][1], m[1]) for m in models[1:])
 
 
+def test_topics_are_learned_from_every_row(spark):
+    """A model is that of all rows, whatever bound is named: how rare places are, and centres that are means of theirs."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"{'ABC'[i % 3]}{k}" for k in range(40)], k=50)) for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rarity, c = topics.fit(df, 3, sample_rows=60)
+    counts = np.array(topics.profiles(pa.array(texts))[0], float)
+    assert np.allclose(rarity, np.log(601 / (1 + (counts > 0).sum(axis=0))) + 0.05)
+    x = topics.scaled(counts, rarity)
+    sums = np.array([x[(x @ c.T).argmax(axis=1) == i].sum(axis=0) for i in range(len(c))])
+    assert len(c) == 3 and np.allclose(c, sums / np.sqrt((sums * sums).sum(axis=1, keepdims=True)), atol=1e-4)
+
+
 def test_texts_as_bytes():
     import pyarrow as pa
 
