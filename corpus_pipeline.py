@@ -23,8 +23,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts in no language that was learned; the others carry the predicted language."""
-    model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Rejects texts in no language that was learned, from every labelled text; the others carry the predicted language."""
+    model = language_id.fit(docs, public_tokenizers.path("piece_bpe_32k.model"), sample_rows=None)
     found = language_id.predict(docs.select(*COLUMNS), model, keep=COLUMNS)
     good = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= 0.5))
     return good.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)

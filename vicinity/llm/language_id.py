@@ -4,9 +4,9 @@ Each language has a probability for every piece of a fixed public vocabulary. A
 sum, over all ways to cut it into pieces, of the product of their probabilities; a forward pass over the word gives it.
 A text's log probability is the sum over its words, so each distinct word is scored once per worker.
 
-Training: expectation-maximisation on the distinct words of at most `sample_rows` labelled texts (whole texts, taken by
-a hash of key and text, spread over the languages); the expected counts of a round are summed by Spark, at most one row
-for each language and piece.
+Training: expectation-maximisation on the distinct words of the labelled texts, all of them or at most `sample_rows`
+(whole texts, taken by a hash of key and text, spread over the languages); words are counted by Spark, and so are the
+expected counts of a round, at most one row for each language and piece.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; ties go to the language that sorts first;
 repeated rows get the same answer; without labelled texts everything with a letter is `und`; only text and language
@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,6 +35,8 @@ CACHE = 800_000
 LONG = 48
 #: Labels that are learned, the most frequent ones: a model holds a probability for each of them and each piece.
 LANGUAGES = 200
+#: Words and letters of texts that a task counts before it hands them on, and distinct words of a task that learns.
+HELD, HELD_LETTERS, PART = 200_000, 1 << 25, 100_000
 #: What a character costs that no piece covers, and the smoothing of a piece's count.
 CHARACTER = 1e-7
 SMOOTH = 0.05
@@ -184,32 +187,48 @@ class Model:
         return out, np.array([len(x) for x in found]), np.array([len("".join(x)) for x in found])
 
 
-def fit(docs: DataFrame, model: str, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = 2_000, rounds: int = 2, languages: int = LANGUAGES) -> Model | None:
+def fit(docs: DataFrame, model: str, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int | None = 2_000, rounds: int = 2, languages: int = LANGUAGES) -> Model | None:
     """Learns from the labelled rows it is given; None if there are none. Each of the `languages` most frequent labels
-    gets an equal part of sample_rows, rows with the least hashes of key and text, or all that it has."""
+    gets an equal part of sample_rows, rows with the least hashes of key and text, or all that it has; with None, all."""
     rows = docs.select(F.xxhash64(F.col(key), F.col(text), F.lit(7)).alias("_h"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     by = {r["lang"]: r["n"] for r in often.collect()}
     if not by:
         return None
     languages = sorted(by)
-    each = max(1, sample_rows // len(languages))
-    # about twice as many as are wanted, of which the window takes the first
-    share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, 2 * each / n))) for x, n in by.items()])
-    some = rows.where(F.pmod("_h", F.lit(1 << 30)) < share * (1 << 30))
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h"))
-    picked = some.withColumn("_turn", turn).where(F.col("_turn") <= each).select("text", "lang")
+    if sample_rows is None:
+        picked = rows.where(F.col("lang").isin(languages)).select("text", "lang")
+    else:
+        each = max(1, sample_rows // len(languages))
+        # about twice as many as are wanted, of which the window takes the first
+        share = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1.0, 2 * each / n))) for x, n in by.items()])
+        some = rows.where(F.pmod("_h", F.lit(1 << 30)) < share * (1 << 30))
+        turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h"))
+        picked = some.withColumn("_turn", turn).where(F.col("_turn") <= each).select("text", "lang")
+
+    def counted(found: dict[str, Counter[str]]) -> pa.RecordBatch:
+        names = [y for y, n in found.items() for _ in n]
+        cols = [pa.array(names, pa.string()), pa.array(chain.from_iterable(found.values()), pa.string()), pa.array(chain.from_iterable(n.values() for n in found.values()), pa.int64())]
+        return pa.RecordBatch.from_arrays(cols, names=["lang", "word", "n"])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            n: dict[tuple[str, str], int] = {}
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for w in units(x):
-                    n[y, w] = n.get((y, w), 0) + 1
-            cols = [pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(n.values(), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["lang", "word", "n"])
+        found: dict[str, Counter[str]] = defaultdict(Counter)
+        held = letters = 0
+        for whole in it:
+            for at in range(0, whole.num_rows, 500):
+                for x, y in zip(*[c.to_pylist() for c in whole.slice(at, 500).columns], strict=True):
+                    n = found[y]
+                    held -= len(n)
+                    n.update(units(x))
+                    held, letters = held + len(n), letters + len(x)
+                    if held >= HELD or letters >= HELD_LETTERS:
+                        yield counted(found)
+                        found.clear()
+                        held = letters = 0
+        yield counted(found)
 
     words = written(picked.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
+    words = words.repartition(1 + words.count() // PART)  # what a word costs is time, not bytes
     pieces = pieces_of(model)
     logs = np.full((len(pieces), len(languages)), -math.log(len(pieces)))
     place = {x: i for i, x in enumerate(languages)}
@@ -226,9 +245,9 @@ def fit(docs: DataFrame, model: str, *, text: str = "text", lang: str = "lang",
             a, b = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(total[a, b])], names=["l", "p", "n"])
 
-        got = words.mapInArrow(expect, "l int, p int, n double").groupBy("l", "p").agg(F.sum("n").alias("n")).toPandas()
+        got = words.mapInArrow(expect, "l int, p int, n double").groupBy("l", "p").agg(F.sum("n").alias("n")).toArrow()
         total = np.full((len(pieces), len(languages)), SMOOTH)
-        total[got["p"].to_numpy(int), got["l"].to_numpy(int)] += got["n"].to_numpy(float)
+        total[got["p"].to_numpy(), got["l"].to_numpy()] += got["n"].to_numpy()
         logs = np.log(total / total.sum(axis=0))
     return Model(languages, pieces, logs)
 
