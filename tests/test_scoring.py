@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from vicinity import schema
 from vicinity.config import NormConfig, SearchConfig, read_flat
 from vicinity.functions import distance, features
-from vicinity.operators import evaluate, index, kmeans, knn, metrics, search, vectors
+from vicinity.operators import dealt, evaluate, index, kmeans, knn, metrics, search, vectors
 from vicinity.sources import readers, sinks
+from vicinity.storage import written
 from vicinity.streaming import scoring
 
 
@@ -240,3 +241,28 @@ def test_cells_leave_out_most_pairs_and_no_neighbour():
     want = np.array([np.lexsort((ref, x))[:5] for x in d])
     assert (best.ref == ref[want]).all() and (best.y == y[want]).all() and (best.dist == np.take_along_axis(d, want, 1)).all()
     assert pairs < 0.4 * d.size
+
+
+def test_as_many_queries_as_references(spark, monkeypatch):
+    """Dealt to small shards, queries (some equal) get the counts of the search in waves, and postings are read twice at
+    most, however small a wave."""
+    rng = np.random.default_rng(1)
+
+    def rows(n, names):
+        v = rng.integers(0, 6, (n, 14)) * 1500
+        v[rng.integers(n, size=n // 3)] = v[0]
+        return written(spark.createDataFrame([(i, x.tolist(), int(rng.integers(2))) for i, x in enumerate(v)], names), "rows")
+
+    refs, q = rows(2000, "ref_id bigint, v array<int>, is_fraud int"), rows(1500, "qid bigint, v array<int>, is_fraud int").drop("is_fraud")
+    c = kmeans.seeds(refs, 8)
+    posts = written(index.assign(refs, c), "postings")
+    boxes = index.boxes(posts, c, 14)
+    config = SearchConfig(nprobe=1, nprobe_border=2)
+    want = search.answer(q, search.search(q, c, posts, boxes, config, border=True)).select("qid", "fraud_count").collect()
+    asks, dealt_ = [], dealt._dealt
+    monkeypatch.setattr(dealt, "_dealt", lambda *a: asks.append(1) or dealt_(*a))
+    for name, n in (("SHARD_ROWS", 300), ("GROUP_ROWS", 16), ("HELD", 8)):
+        monkeypatch.setattr(dealt, name, n)
+    monkeypatch.setattr(vectors, "WAVE_BYTES", 1000)
+    got = dealt.fraud_counts(q, c, posts, boxes, config, border=True).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(asks) == 2

@@ -57,8 +57,12 @@ def flag(x: Column) -> Column:
 
 
 def unknown_merchant(known: Column, merchant: Column) -> Column:
-    """0 if the merchant is among the first MAX_KNOWN known ones, else 1."""
-    return F.when(F.coalesce(F.array_contains(F.slice(known, 1, MAX_KNOWN), merchant), F.lit(False)), f32(0.0)).otherwise(f32(1.0))
+    """0 if the merchant is among the first MAX_KNOWN known ones, else 1.
+
+    exists() also keeps the projection out of whole-stage code, where 14 features make one method that is too long for the
+    JVM to compile."""
+    known = F.exists(F.slice(known, 1, MAX_KNOWN), lambda x: x == merchant)
+    return F.when(F.coalesce(known, F.lit(False)), f32(0.0)).otherwise(f32(1.0))
 
 
 def risk(mcc: Column, risks: dict[str, float]) -> Column:
@@ -109,12 +113,14 @@ def feature_vector(c: dict[str, Column], config: NormConfig) -> Column:
 def vectorise(requests: DataFrame, config: NormConfig | None = None) -> DataFrame:
     """id, rejected and v of transactions in the fixed schema; v is null where the request is rejected."""
     c = F.col
-    at, last = parse_time(c("transaction.requested_at")), parse_time(c("last_transaction.timestamp"))
+    valid = c("transaction.requested_at").isNotNull() & c("merchant.id").isNotNull()
+    # columns of their own, else each feature that needs a time would parse it anew
+    times = (parse_time(c("transaction.requested_at")).alias("_at"), parse_time(c("last_transaction.timestamp")).alias("_last"))
+    rows, at, last = requests.select("*", (~valid).alias("rejected"), *times), c("_at"), c("_last")
     columns = {
         "amount": c("transaction.amount"), "installments": c("transaction.installments"), "avg_amount": c("customer.avg_amount"),
         "at": at, "last_at": last, "km_from_last": c("last_transaction.km_from_current"), "km_from_home": c("terminal.km_from_home"),
         "tx_count_24h": c("customer.tx_count_24h"), "is_online": c("terminal.is_online"), "card_present": c("terminal.card_present"),
         "known_merchants": c("customer.known_merchants"), "merchant_id": c("merchant.id"), "mcc": c("merchant.mcc"), "merchant_avg": c("merchant.avg_amount"),
     }
-    valid = c("transaction.requested_at").isNotNull() & c("merchant.id").isNotNull()
-    return requests.select("*", (~valid).alias("rejected"), F.when(valid, feature_vector(columns, config or NormConfig())).alias("v"))
+    return rows.select(*requests.columns, "rejected", F.when(~c("rejected"), feature_vector(columns, config or NormConfig())).alias("v"))

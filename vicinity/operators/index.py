@@ -18,11 +18,11 @@ BLOCK_ROWS = 8
 
 def assign(refs: DataFrame, centroids: np.ndarray, *, balance: bool = False) -> DataFrame:
     """Postings: cluster_id, ref_id, v, is_fraud, dist_centroid."""
-    near = kmeans.nearest(refs.withColumn("_v", F.col("v")), centroids, 2, keep=("_v", "is_fraud"))
+    near = kmeans.nearest(refs, centroids, 2 if balance else 1, keep=("v", "is_fraud"))
     near = near.withColumn("pick", F.lit(0)) if not balance else balanced(near, len(centroids))
     c = F.get("clusters", F.col("pick"))
     return near.select(
-        c["cluster_id"].alias("cluster_id"), F.col("ref_id").cast("long"), F.col("_v").alias("v"), "is_fraud", F.sqrt(F.greatest(c["dist"], F.lit(0.0))).alias("dist_centroid")
+        c["cluster_id"].alias("cluster_id"), F.col("ref_id").cast("long"), "v", "is_fraud", F.sqrt(F.greatest(c["dist"], F.lit(0.0))).alias("dist_centroid")
     )
 
 

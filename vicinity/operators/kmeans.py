@@ -17,6 +17,19 @@ def seeds(points: DataFrame, k: int, key: str = "ref_id") -> np.ndarray:
     return np.array([r["v"] for r in points.select(key, "v").orderBy(key).limit(k).collect()], np.float64)
 
 
+def least(d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, values) of the n least of each row, ties to the smaller column. Overwrites d where n is small."""
+    if n > 4:
+        order = np.argsort(d, axis=1, kind="stable")[:, :n]
+        return order, np.take_along_axis(d, order, 1)
+    order, near, every = np.zeros((len(d), n), np.int64), np.zeros((len(d), n)), np.arange(len(d))
+    for i in range(n):
+        order[:, i] = d.argmin(axis=1)
+        near[:, i] = d[every, order[:, i]]
+        d[every, order[:, i]] = np.inf
+    return order, near
+
+
 def nearest(points: DataFrame, centroids: np.ndarray, n: int, *, key: str = "ref_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, kept columns, and clusters: the n nearest as (cluster_id, dist), ties to the smaller id.
 
@@ -24,21 +37,21 @@ def nearest(points: DataFrame, centroids: np.ndarray, n: int, *, key: str = "ref
     """
     sent = points.sparkSession.sparkContext.broadcast(centroids)
     n = min(n, len(centroids))
-    rows = points.select(key, *keep, "v")
+    rows = points.select(key, *keep, *(() if "v" in keep else ("v",)))
+    at = rows.columns.index("v")
     inner = pa.struct([("cluster_id", pa.int32()), ("dist", pa.float64())])
-    schema = rows.drop("v").withColumn("clusters", F.expr("CAST(NULL AS ARRAY<STRUCT<cluster_id: INT, dist: DOUBLE>>)")).schema
+    schema = rows.select(key, *keep).withColumn("clusters", F.expr("CAST(NULL AS ARRAY<STRUCT<cluster_id: INT, dist: DOUBLE>>)")).schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = sent.value
         for b in blocks(it):
             if not b.num_rows:
                 continue
-            d = squared(matrix(b, b.num_columns - 1), c)
-            order = np.argsort(d, axis=1, kind="stable")[:, :n]
-            near = np.take_along_axis(d, order, 1)
+            d = squared(matrix(b, at), c)
+            order, near = least(d, n)
             flat = pa.StructArray.from_arrays([pa.array(order.ravel().astype(np.int32)), pa.array(near.ravel())], fields=list(inner))
             ends = pa.array(np.arange(0, n * b.num_rows + 1, n, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.ListArray.from_arrays(ends, flat)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*b.columns[: 1 + len(keep)], pa.ListArray.from_arrays(ends, flat)], names=[f.name for f in schema])
 
     return rows.mapInArrow(run, schema)
 

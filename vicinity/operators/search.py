@@ -34,10 +34,10 @@ def probed(queries: DataFrame, centroids: np.ndarray, configs: list[SearchConfig
     for c in configs:
         c.check(len(centroids))
     most = max(max(c.nprobe, c.nprobe_border if border else 0) for c in configs)
-    near = kmeans.nearest(queries.withColumn("_v", F.col("v")), centroids, most, key="qid", keep=("_v",))
-    limits = [F.when(borderline(F.col("_v")), F.lit(c.nprobe_border)).otherwise(F.lit(c.nprobe)) if border and c.nprobe_border > 0 else F.lit(c.nprobe) for c in configs]
+    near = kmeans.nearest(queries, centroids, most, key="qid", keep=("v",))
+    limits = [F.when(borderline(F.col("v")), F.lit(c.nprobe_border)).otherwise(F.lit(c.nprobe)) if border and c.nprobe_border > 0 else F.lit(c.nprobe) for c in configs]
     slots = F.posexplode(F.array(*limits)).alias("slot", "_n")
-    return near.select(slots, "qid", F.col("_v").alias("v"), F.col("clusters.cluster_id").alias("_c")).select("slot", "qid", "v", F.slice("_c", 1, F.col("_n")).alias("clusters"))
+    return near.select(slots, "qid", "v", F.col("clusters.cluster_id").alias("_c")).select("slot", "qid", "v", F.slice("_c", 1, F.col("_n")).alias("clusters"))
 
 
 def scan(asked: DataFrame, postings: DataFrame, k: int, *, other_than_self: bool = False) -> DataFrame:

@@ -15,6 +15,8 @@ BLOCK = 4096
 #: Bytes of vectors that a task holds to put them in cells; queries and vectors of a cell.
 CHUNK_BYTES = 16 << 20
 ASKED, CELL = 64, 256
+#: Cells of references that are compared at once at most.
+GROUP = 32
 
 
 def matrix(batch: pa.RecordBatch, column: int) -> np.ndarray:
@@ -121,15 +123,21 @@ class Best:
         """The rows of the queries q (asked, own: from prepared()) meet all of v; ids: the queries' ids, where a
         reference of that id doesn't count. Returns the number of pairs that were compared.
 
-        Both sides lie in cells; those of queries are runs of `rows`, which should be near each other. A cell of
-        references that is farther off than the kth of each query of a cell can't change them; one as far still can by a
-        smaller id.
+        Both sides lie in cells; those of queries are runs of `rows`, which should be near each other.
         """
         order, starts = halved(v, CELL)
         ends = np.append(starts[1:], len(v))
         for a, b in zip(starts, ends, strict=True):
             order[a:b] = order[a:b][np.argsort(ref[order[a:b]], kind="stable")]
-        v, ref, y = v[order], ref[order], y[order]
+        return self.meet_cells(rows, q, asked, own, v[order], ref[order], y[order], starts, ids)
+
+    def meet_cells(self, rows: np.ndarray, q: np.ndarray, asked: np.ndarray, own: np.ndarray, v: np.ndarray, ref: np.ndarray, y: np.ndarray, starts: np.ndarray, ids: np.ndarray | None = None) -> int:
+        """meet_all() for references that lie in cells already, which begin at `starts` and ascend by ref inside.
+
+        A cell of references that is farther off than the kth of each query of a cell can't change them; one as far still
+        can by a smaller id. The nearest cell comes first, then groups of twice as many each time of those still near enough.
+        """
+        ends = np.append(starts[1:], len(v))
         right = np.hstack([v, (v * v).sum(1)[:, None]]).T
         low, high = np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
         step, pairs = ASKED * max(1, (1 << 21) // len(starts)), 0
@@ -142,15 +150,18 @@ class Best:
                 part = some[cuts[i] : cuts[i] + ASKED]
                 left = asked[part]
                 close = np.flatnonzero(far[i] <= worst[i])
-                for c in close[np.argsort(far[i, close], kind="stable")]:
-                    if far[i, c] > self.dist[part, -1].max():
-                        break
-                    a, b = starts[c], ends[c]
-                    d = left @ right[:, a:b]
+                close, size = close[np.argsort(far[i, close], kind="stable")], 1
+                while len(close):
+                    group, close = close[:size], close[size:]
+                    at_ = np.concatenate([np.arange(starts[c], ends[c]) for c in group]) if len(group) > 1 else slice(starts[group[0]], ends[group[0]])
+                    if len(group) > 1:
+                        at_ = at_[np.argsort(ref[at_], kind="stable")]
+                    d = left @ right[:, at_]
                     if ids is not None:
-                        d[ids[part][:, None] == ref[a:b][None, :]] = np.inf
-                    self.meet(part, d, own[part], ref[a:b], y[a:b])
+                        d[ids[part][:, None] == ref[at_][None, :]] = np.inf
+                    self.meet(part, d, own[part], ref[at_], y[at_])
                     pairs += d.size
+                    close, size = close[far[i, close] <= self.dist[part, -1].max()], min(2 * size, GROUP)
         return pairs
 
     def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

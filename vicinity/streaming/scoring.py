@@ -12,8 +12,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from .. import schema
 from ..config import NormConfig, SearchConfig
 from ..functions.features import vectorise
-from ..functions.rules import response
-from ..operators import metrics, search
+from ..functions.rules import approved, fraud_score, response
+from ..operators import dealt, metrics
 from ..sources.readers import parse_transactions
 from ..storage import scope, written
 
@@ -28,9 +28,9 @@ def score(requests: DataFrame, centroids: np.ndarray, postings: DataFrame, boxes
     vector are searched for once."""
     read = written(vectorise(requests, norm).select("id", "v"), "requests")
     rows, bad = read.where("v IS NOT NULL"), read.where("v IS NULL")  # rejected ones have none
-    queries = written(rows.select("v").distinct().select(F.monotonically_increasing_id().alias("qid"), "v"), "queries")
-    got = search.answer(queries, search.search(queries, centroids, postings, boxes, config, border=True))
-    scored = rows.join(queries.join(got, "qid"), "v").select("id", "fraud_count", "fraud_score", "approved", response(F.col("fraud_count")).alias("body"))
+    got = dealt.fraud_counts(rows.select(F.col("id").alias("qid"), "v"), centroids, postings, boxes, config, border=True)
+    n = F.col("fraud_count")
+    scored = got.select(F.col("qid").alias("id"), n, fraud_score(n).alias("fraud_score"), approved(n).alias("approved"), response(n).alias("body"))
     return scored.unionByName(bad.select("id"), allowMissingColumns=True)
 
 
